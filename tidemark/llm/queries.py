@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import decontaminate, language, licenses, packing, quality, tokens
+from tidemark.llm import decontaminate, language, licenses, near_dedup, packing, passages, quality, suffix_dedup, tokens, topk
 from tidemark.llm.common import held_out
 
 
@@ -20,6 +20,10 @@ def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan_licenses(_table(spark, sf_dir, "documents")).drop("spans")
 
 
+def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(_table(spark, sf_dir, "documents"))
+
+
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.decontaminate(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")).drop("item_ids")
 
@@ -28,6 +32,10 @@ def op4_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op5_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.nearest(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
 def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = language.identify_languages(_table(spark, sf_dir, "documents"), ~held_out("doc_id", 4, 2))
     return found.select("doc_id", held_out("doc_id", 4, 2).alias("held_out"), "lang_pred", "score")
@@ -37,13 +45,21 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.token_counts(_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(_table(spark, sf_dir, "documents"))
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = quality.classify_quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), ~held_out("doc_id", 3, 1))
     return found.select("doc_id", held_out("doc_id", 3, 1).alias("held_out"), "score", "predicted")
 
 
+def op10_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.passage_classes(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_license_scan, op3_decontaminate, op4_pack, op6_language, op7_token_counts, op9_quality)}
+    return {f.__name__: f for f in (op1_license_scan, op2_near_duplicates, op3_decontaminate, op4_pack, op5_nearest, op6_language, op7_token_counts, op8_suffix_dedup, op9_quality, op10_passages)}
 
 
 def oracle_sql() -> dict[str, str]:
