@@ -114,10 +114,10 @@ def shingle_hashes(word_hash: np.ndarray, first: np.ndarray, k: int) -> tuple[np
     keep = place <= np.maximum(count[row] - k, 0)
     short = np.flatnonzero((count > 0) & (count < k))
     for i in short:  # a few words each
-        x = np.uint64(0)
-        for w in word_hash[first[i] : first[i + 1]]:
-            x = mix64(np.array([x * np.uint64(0x100000001B3) + w], np.uint64))[0] if x else mix64(np.array([w]))[0]
-        h[first[i]] = x
+        x = mix64(word_hash[first[i] : first[i] + 1])
+        for j in range(first[i] + 1, first[i + 1]):
+            x = mix64(x * np.uint64(0x100000001B3) + word_hash[j : j + 1])
+        h[first[i]] = x[0]
     return h[keep], np.concatenate([[0], np.cumsum(np.maximum(count - k + 1, np.minimum(count, 1)))])
 
 
