@@ -1 +1 @@
-"""Point-in-time risk analytics on Spark."""
+"""Joins, windows, fitted statistics, document analytics, quality, evaluation and models."""

@@ -1 +1 @@
-"""Point-in-time risk analytics on Spark."""
+"""Whole jobs composed of operators."""

@@ -1 +1 @@
-"""Point-in-time risk analytics on Spark."""
+"""Readers, writers and normalisers."""
