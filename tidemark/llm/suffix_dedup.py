@@ -26,6 +26,7 @@ each other; equal ids with different texts are told apart by a hash of the text.
 from __future__ import annotations
 
 import hashlib
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,11 +35,11 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import mix64, slices, span_hashes, staged, utf8
+from tidemark.llm.common import mix64, slices, staged, utf8
 
 K = 16
-#: Text behind one bucket task and behind one group of documents.
-BUCKET_BYTES, GROUP_BYTES = 36 << 20, 16 << 20
+#: Text behind one bucket task, behind one group of documents, and settled at a time by the first pass.
+BUCKET_BYTES, GROUP_BYTES, EMIT_BYTES = 12 << 20, 8 << 20, 16 << 20
 #: A difference cover of 16: any two residues have an offset below 16 that takes both into it.
 COVER = (0, 1, 2, 5, 8)
 PERIOD = 16
@@ -128,7 +129,7 @@ def _ids(column: pa.Array) -> np.ndarray:
 
 
 def _tags(blob: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    return (span_hashes(blob, offsets[:-1], offsets[1:]) >> np.uint64(32)).astype(np.uint32)
+    return np.array([zlib.crc32(blob[a:b]) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist())], np.uint32)
 
 
 def _group(ids: np.ndarray, groups: int) -> np.ndarray:
@@ -168,7 +169,7 @@ def _split(key: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
 
 def _emit(window: int, buckets: int, groups: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
+        for whole in (part for batch in batches for part in slices(batch, 1, EMIT_BYTES)):
             found, ids, tags, base = [], [], [], 0
             for batch in slices(whole, 1, 2 << 20):
                 blob, offsets = utf8(batch.column(1))
