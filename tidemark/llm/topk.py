@@ -4,8 +4,9 @@ A vector's code is one bit per dimension (set where the value is above 0).  Code
 about log2(rows) bits.  If two codes differ in at most ``m * r + m - 1`` bits, then one of their m segments
 differs in at most r bits.  So each round looks up, in every segment, all values within one bit more of the
 query's, verifies the distances of what it finds, and ends the queries whose kth distance is covered.
-Queries for which a lookup would touch more values than there are codes are compared with all codes instead,
-in blocks of bounded size.
+A value that is looked up is a row that is shuffled, which costs as much as many comparisons of codes.  So
+queries whose lookups would come to more than a ``LOOKUP_COST``th of all codes are compared with all codes
+instead, in blocks of bounded size.
 
 Equal codes are one entry with their k + 1 smallest ids, so a hot vector is one row; equal query codes are
 searched once.  Lookups and index are dealt by segment value, and each task keeps k per query.
@@ -29,6 +30,8 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import staged
 
 WORD = 63  # bits of a code word, so that it stays positive
+#: Comparisons in a scan that cost as much as one looked-up value.
+LOOKUP_COST = 64
 #: Queries that one scan of all codes takes along.
 BLOCK = 4096
 
@@ -168,7 +171,7 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 10, id_col: str = "ve
     active = wanted
     while active.count():
         touched = sum(math.comb(hi - lo, r) for lo, hi in segments for r in range(radius + 1))
-        if touched > rows or radius > max(hi - lo for lo, hi in segments):
+        if touched > max(m, rows // LOOKUP_COST) or radius > max(hi - lo for lo, hi in segments):
             rest = _scan_all(entries, active, k)
             found = rest if found is None else found.join(active, "query", "left_anti").unionByName(rest)
             break
