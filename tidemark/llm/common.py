@@ -36,7 +36,7 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def slices(batch: pa.RecordBatch, text: int, max_bytes: int = 4 << 20):
+def slices(batch: pa.RecordBatch, text: int, max_bytes: int = 2 << 20):
     """Consecutive parts of a batch with about max_bytes of text each, so that numpy temporaries stay small.
 
     One longer text is a part of its own.
@@ -79,27 +79,35 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def _powers(n: int, _kept: dict = {}) -> tuple[np.ndarray, np.ndarray]:  # noqa: B006
-    base = 0x9E3779B97F4A7C15 | 1
-    if len(_kept.get("p", ())) < n:
-        size = max(n, 1 << 16)
-        inverse = pow(base, -1, 1 << 64)
-        for name, b in (("p", base), ("q", inverse)):
-            row = np.full(size, b, np.uint64)
-            row[0] = 1
-            _kept[name] = np.multiply.accumulate(row)
-    return _kept["p"][:n], _kept["q"][:n]
-
-
+_BASE = 0x9E3779B97F4A7C15 | 1
 _SPREAD = mix64(np.arange(1, 257, dtype=np.uint64))
+#: Bytes whose span hashes are made at a time.
+_STRETCH = 1 << 20
+_powers: dict[str, np.ndarray] = {}
 
 
 def span_hashes(blob: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each byte range, by differences of prefix sums of a polynomial in mixed bytes."""
-    p, q = _powers(len(blob) + 1)
-    total = np.zeros(len(blob) + 1, np.uint64)
-    np.cumsum(_SPREAD[blob] * p[: len(blob)], out=total[1:])
-    return mix64((total[ends] - total[starts]) * q[starts] + (ends - starts).astype(np.uint64))
+    """A 64-bit hash of each byte range, by differences of prefix sums of a polynomial in mixed bytes.
+
+    starts must not fall.  Ranges are taken a stretch of bytes at a time, which bounds the temporaries.
+    """
+    out = np.zeros(len(starts), np.uint64)
+    cuts = np.flatnonzero(np.diff(starts // _STRETCH)) + 1
+    for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(starts)]):
+        if a == b:
+            continue
+        s, e = starts[a:b], ends[a:b]
+        lo, hi = int(s[0]), max(int(e.max()), int(s[0]))
+        if len(_powers.get("p", ())) < hi - lo + 1:
+            for name, base in (("p", _BASE), ("q", pow(_BASE, -1, 1 << 64))):
+                row = np.full(max(hi - lo + 1, _STRETCH + (1 << 16)), base, np.uint64)
+                row[0] = 1
+                _powers[name] = np.multiply.accumulate(row)
+        total = np.zeros(hi - lo + 1, np.uint64)
+        np.cumsum(_SPREAD[blob[lo:hi]] * _powers["p"][: hi - lo], out=total[1:])
+        s, e = s - lo, e - lo
+        out[a:b] = mix64((total[e] - total[s]) * _powers["q"][s] + (e - s).astype(np.uint64))
+    return out
 
 
 def shingle_hashes(word_hash: np.ndarray, first: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
