@@ -93,10 +93,10 @@ def _candidates(window: Column, evidence: Column, last: int | None = None) -> Co
     return F.filter(found, lambda x: x["value"].isNotNull() & ~F.isnan(x["value"]) & ~year(x))
 
 
-def keyword_hits(text: Column, keyword: str) -> Column:
+def keyword_hits(text: Column, keyword: str | Column) -> Column:
     """start (characters before) and length of each occurrence: gaps and occurrences interleave."""
-    pattern = F.lit(f"(?iuU)(?:{keyword})")
-    gaps, hits = F.split(text, f"(?iuU)(?:{keyword})", -1), F.regexp_extract_all(text, pattern, F.lit(0))
+    pattern = F.concat(F.lit("(?iuU)(?:"), keyword, F.lit(")")) if isinstance(keyword, Column) else F.lit(f"(?iuU)(?:{keyword})")
+    gaps, hits = F.split(text, pattern, -1), F.regexp_extract_all(text, pattern, F.lit(0))
     sizes = F.zip_with(F.slice(gaps, 1, F.size(hits)), hits, lambda g, h: F.struct(F.length(g).alias("gap"), F.length(h).alias("size")))
     none = F.array().cast("array<struct<start:int,size:int>>")
     step = lambda m, x: F.struct((m["at"] + x["gap"] + x["size"]).alias("at"), F.concat(m["all"], F.array(F.struct((m["at"] + x["gap"]).alias("start"), x["size"].alias("size")))).alias("all"))
@@ -108,12 +108,12 @@ def _around(text: Column, start: Column, end: Column) -> Column:
     return F.substring(text, begin + 1, F.greatest(end - begin, F.lit(0)))
 
 
-def candidates_after(text: Column, keyword: str) -> Column:
+def candidates_after(text: Column, keyword: str | Column) -> Column:
     """Numbers in the 260 characters after each occurrence."""
     return F.flatten(F.transform(keyword_hits(text, keyword), lambda h: _candidates(_around(text, h["start"] + h["size"], h["start"] + h["size"] + AFTER), F.trim(_around(text, h["start"] - 80, h["start"] + AFTER)))))
 
 
-def candidates_before(text: Column, keyword: str) -> Column:
+def candidates_before(text: Column, keyword: str | Column) -> Column:
     """The last three numbers in the 180 characters before each occurrence."""
     return F.flatten(F.transform(keyword_hits(text, keyword), lambda h: _candidates(_around(text, h["start"] - BEFORE, h["start"]), F.trim(_around(text, h["start"] - BEFORE, h["start"] + h["size"] + 80)), 3)))
 
@@ -123,31 +123,42 @@ def best_candidate(candidates: Column) -> Column:
     return F.coalesce(F.get(F.filter(candidates, lambda x: F.abs(x["value"]) > TINY), F.lit(0)), F.get(candidates, F.lit(0)))
 
 
+def _is(metric: str):
+    return lambda x: x["metric"] == metric
+
+
 def extract_metrics(df: DataFrame, text: str = "text", metrics: Mapping[str, Sequence[str]] = METRICS, keep: Sequence[str] = ()) -> DataFrame:
     """keep, and value and evidence of each metric.  Texts without a metric's keywords skip its expressions."""
     marked = df.select(*keep, normalise(F.coalesce(F.col(text), F.lit(""))).alias("_t"))
-    found = []
-    for metric, words in metrics.items():
-        any_ = F.regexp_like("_t", F.lit("(?iuU)" + "|".join(words)))
-        every = F.concat(*(c for w in words for c in (candidates_after(F.col("_t"), w), candidates_before(F.col("_t"), w))))
-        found.append(F.when(any_, best_candidate(every)).alias(f"_{metric}"))
-    out = marked.select(*keep, *found)
+    # the patterns of the metrics that occur, as data: the expressions on them stand in the plan once
+    none = F.array().cast("array<struct<metric:string,keyword:string>>")
+    wanted = [F.when(F.regexp_like("_t", F.lit("(?iuU)" + "|".join(words))), F.array(*(F.struct(F.lit(m).alias("metric"), F.lit(w).alias("keyword")) for w in words))).otherwise(none) for m, words in metrics.items()]
+    marked = marked.withColumn("_k", F.concat(*wanted))
+    every = F.transform("_k", lambda k: F.struct(k["metric"].alias("metric"), F.concat(candidates_after(F.col("_t"), k["keyword"]), candidates_before(F.col("_t"), k["keyword"])).alias("found")))
+    marked = marked.withColumn("_f", every).drop("_k", "_t")
+    best = {m: best_candidate(F.flatten(F.transform(F.filter("_f", _is(m)), lambda x: x["found"]))).alias(f"_{m}") for m in metrics}
+    out = marked.select(*keep, *best.values())
     return out.select(*keep, *(F.col(f"_{m}.value").alias(m) for m in metrics), *(F.substring(F.col(f"_{m}.evidence"), 1, EVIDENCE).alias(f"{m}_evidence") for m in metrics))
 
 
-def text_signals(text: Column, signals: Mapping[str, Sequence[str]] = SIGNALS) -> dict[str, Column]:
-    """Counts and flags of risk terms, text length, words, total and density."""
+def signal_counts(text: Column, signals: Mapping[str, Sequence[str]] = SIGNALS) -> dict[str, Column]:
+    """Text length, words, and the occurrences of each group of risk terms."""
     clean = F.lower(normalise(F.coalesce(text, F.lit(""))))
     count = lambda p: F.regexp_count(clean, F.lit(p)).cast("double")
     out = {"report_text_length": F.length(clean).cast("double"), "report_word_count": count(r"(?U)\w+")}
-    total = F.lit(0.0)
     for name, patterns in signals.items():
         n = count("(?iuU)" + patterns[0])
         for p in patterns[1:]:
             n = n + count("(?iuU)" + p)
-        out |= {f"report_{name}_count": n, f"report_{name}_flag": (n > 0).cast("double")}
-        total = total + n
-    return out | {"report_text_risk_terms_total": total, "report_text_risk_density": total / F.greatest(out["report_word_count"], F.lit(1.0))}
+        out[f"report_{name}_count"] = n
+    return out
+
+
+def signal_flags(signals: Mapping[str, Sequence[str]] = SIGNALS) -> dict[str, Column]:
+    """Flags, total and density, from the counts as columns."""
+    total = sum((F.col(f"report_{n}_count") for n in list(signals)[1:]), F.col(f"report_{list(signals)[0]}_count"))
+    flags = {f"report_{n}_flag": (F.col(f"report_{n}_count") > 0).cast("double") for n in signals}
+    return flags | {"report_text_risk_terms_total": total, "report_text_risk_density": total / F.greatest("report_word_count", F.lit(1.0))}
 
 
 def _ratio(a: Column, b: Column) -> Column:
@@ -208,8 +219,7 @@ def report_features(registry: DataFrame, files: DataFrame | None = None, text: s
     df = df.withColumn("parse_status", status).withColumn("_text", F.when(own, F.col(text)).when(other, F.col("_file"))).drop("_file")
     df = extract_metrics(df, "_text", metrics, keep=[*columns, "parse_status", "_text"])
     has = F.col("_text").isNotNull()
-    df = df.withColumns({k: F.when(has, v) for k, v in text_signals(F.col("_text"), signals).items()})
-    for step in (report_ratios(), report_scores(tuple(metrics))):
+    for step in (signal_counts(F.col("_text"), signals), signal_flags(signals), report_ratios(), report_scores(tuple(metrics))):
         df = df.withColumns({k: F.when(has, v) for k, v in step.items()})
     return previous_change(df.withColumn("report_document_available", has.cast("double")).drop("_text"))
 

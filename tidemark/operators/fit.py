@@ -13,39 +13,28 @@ CLASSES = ("low", "medium", "high")
 MISSING = "__MISSING__"
 
 
-def ecdf(train: DataFrame, value: str, parts: int = 64) -> DataFrame:
-    """(value, share): the share of train values <= value, for each distinct value.
-
-    Values are dealt by range into parts; a part's running counts start at the counts of the parts before,
-    so no task sees all values.
-    """
-    counts = train.filter(F.col(value).isNotNull()).groupBy(F.col(value).cast("double").alias("value")).agg(F.count("*").alias("n"))
-    bounds = counts.agg(F.percentile_approx("value", [i / parts for i in range(1, parts)], 10_000).alias("b"))
-    dealt = counts.crossJoin(F.broadcast(bounds)).withColumn("part", F.coalesce(F.expr("size(filter(b, x -> x < value))"), F.lit(0))).drop("b")
-    sums = dealt.groupBy("part").agg(F.sum("n").alias("s"))
-    before = sums.select("part", F.coalesce(F.sum("s").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"), F.sum("s").over(Window.partitionBy()).alias("total"))
-    running = F.sum("n").over(Window.partitionBy("part").orderBy("value"))
-    return dealt.withColumn("r", running).join(F.broadcast(before), "part").select("value", (F.col("r") + F.col("before")).alias("rank"), ((F.col("r") + F.col("before")) / F.col("total")).alias("share"))
-
-
 def ecdf_rank(df: DataFrame, train: DataFrame, columns: list[str], suffix: str = "_rank") -> DataFrame:
     """Adds the share of train values <= x for each column; null stays null, all is null without train values.
 
-    Each column is an as-of lookup of the distinct values of df in the train steps, then an equi-join.
+    The distinct values of df are looked up in the train steps of all columns at once, then joined by equal
+    value.  Both inputs are read several times, so callers should persist what is costly to make.
     """
+    long = lambda x: x.select(*(F.col(c).cast("double").alias(c) for c in columns)).unpivot([], columns, "_c", "_v").filter("_v is not null")
+    counts = long(train).groupBy("_c", "_v").agg(F.count("*").alias("n"))
+    asked = long(df).select("_c", "_v").distinct()
+    parts = 64
+    bounds = counts.groupBy("_c").agg(F.percentile_approx("_v", [i / parts for i in range(1, parts)], 10_000).alias("b"))
+    both = asked.withColumn("n", F.lit(0).cast("long")).unionByName(counts).groupBy("_c", "_v").agg(F.sum("n").alias("n"), F.count_if(F.col("n") == 0).alias("asked"))
+    # one row of bounds per column; a value's part is the number of bounds below it
+    dealt = both.join(F.broadcast(bounds), "_c").withColumn("part", F.expr("size(filter(b, x -> x < _v))")).drop("b")
+    sums = dealt.groupBy("_c", "part").agg(F.sum("n").alias("s"))
+    by = Window.partitionBy("_c")
+    before = sums.select("_c", "part", F.coalesce(F.sum("s").over(by.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"), F.sum("s").over(by).alias("total"))
+    running = F.sum("n").over(Window.partitionBy("_c", "part").orderBy("_v"))
+    found = dealt.withColumn("r", running).filter("asked > 0").join(F.broadcast(before), ["_c", "part"]).select("_c", "_v", ((F.col("r") + F.col("before")) / F.col("total")).alias("share"))
     for c in columns:
-        steps = ecdf(train, c)
-        asked = df.select(F.col(c).cast("double").alias("value")).filter("value is not null").distinct()
-        both = asked.select("value", F.lit(1).alias("s"), F.lit(None).cast("double").alias("share")).unionByName(steps.select("value", F.lit(0).alias("s"), "share"))
-        seen = Window.partitionBy("part").orderBy("value", "s")
-        bounds = steps.agg(F.percentile_approx("value", [i / 64 for i in range(1, 64)], 10_000).alias("b"))
-        dealt = both.crossJoin(F.broadcast(bounds)).withColumn("part", F.coalesce(F.expr("size(filter(b, x -> x < value))"), F.lit(0))).drop("b")
-        tops = dealt.groupBy("part").agg(F.max("share").alias("top"))
-        before = tops.select("part", F.max("top").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)).alias("before"))
-        some = steps.agg(F.count("*").alias("steps"))
-        found = dealt.withColumn("f", F.last("share", ignorenulls=True).over(seen)).filter("s = 1").join(F.broadcast(before), "part").crossJoin(F.broadcast(some))
-        found = found.select("value", F.when(F.col("steps") > 0, F.coalesce("f", "before", F.lit(0.0))).alias(f"{c}{suffix}"))
-        df = df.withColumn("_v", F.col(c).cast("double")).join(found.withColumnRenamed("value", "_v"), "_v", "left").drop("_v")
+        mine = found.filter(F.col("_c") == c).select("_v", F.col("share").alias(f"{c}{suffix}"))
+        df = df.withColumn("_v", F.col(c).cast("double")).join(mine, "_v", "left").drop("_v")
     return df
 
 
@@ -70,8 +59,8 @@ def label(score: Column, low: float | None, high: float | None) -> Column:
 
 def prepare_targets(panel: DataFrame, is_train: Column) -> DataFrame:
     """Ranks, score and risk_class by train statistics; rows without a class go."""
-    train = panel.filter(is_train)
-    scored = risk_score(ecdf_rank(panel, train, list(WEIGHTS)))
+    panel = panel.persist()
+    scored = risk_score(ecdf_rank(panel, panel.filter(is_train), list(WEIGHTS))).persist()
     low, high = terciles(scored.filter(is_train))
     return scored.withColumn("risk_class", label(F.col("risk_score"), low, high)).na.drop(subset=["risk_class"])
 

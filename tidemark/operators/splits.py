@@ -27,11 +27,10 @@ def walk_forward(df: DataFrame, initial: int = 12, test: int = 3, step: int = 3,
     Folds open while initial + n * step + test months exist.  The months are few; df is only read for them.
     """
     months = df.select(F.trunc(date, "month").alias("month")).filter("month is not null").distinct().withColumn("month_index", F.row_number().over(Window.orderBy("month")) - 1)
-    n = F.count("*").over(Window.partitionBy())
-    folds = months.withColumn("fold", F.explode(F.sequence(F.lit(1), F.greatest(F.lit(1), F.floor((n - initial - test) / step).cast("int") + 1)))).withColumn("n", n)
-    total = months.agg(F.count("*").alias("months"))
+    total = months.agg(F.count("*").cast("int").alias("months"))
+    last = F.floor((F.col("months") - initial - test) / step).cast("int") + 1
     start = F.lit(initial) + (F.col("fold") - 1) * step
-    folds = folds.drop("n").crossJoin(F.broadcast(total)).filter(start + test <= F.col("months")).withColumn("start", start)
+    folds = months.crossJoin(F.broadcast(total)).withColumn("fold", F.explode(F.sequence(F.lit(1), F.greatest(F.lit(1), last)))).filter(start + test <= F.col("months")).withColumn("start", start)
     role = F.when((F.col("month_index") < F.col("start") - validation) | (F.col("month_index") < F.col("start")) & (F.col("start") <= validation), "train").when(F.col("month_index") < F.col("start"), "validation").when(F.col("month_index") < F.col("start") + test, "test")
     return folds.withColumn("role", role).filter("role is not null").select("month", "month_index", "fold", "role")
 

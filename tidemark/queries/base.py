@@ -127,7 +127,8 @@ def keys(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def components(spark: SparkSession, sf: str) -> DataFrame:
-    return target_components(keys(spark, sf), daily(spark, sf))
+    """Means over equal rows in another order may differ in the last bit, which would part their ranks: hence the rounding."""
+    return target_components(keys(spark, sf), daily(spark, sf)).withColumn("future_cvar_95", F.round("future_cvar_95", 12))
 
 
 def is_train() -> Column:
@@ -170,7 +171,7 @@ CTES: dict[str, tuple[tuple[str, ...], str]] = {
     "ahead": (("numbered", "keys"), "SELECT k.ticker, k.decision_date, f.n, f.close, f.ret, f.value FROM keys k JOIN numbered p ON p.ticker = k.ticker AND p.date = k.decision_date JOIN numbered f ON f.ticker = k.ticker AND f.n > p.n AND f.n <= p.n + 126"),
     "cut": (("ahead",), "SELECT ticker, decision_date, quantile_cont(ret, 0.05) AS c, count(*) AS rows_ FROM ahead GROUP BY 1, 2"),
     "tops": (("ahead",), "SELECT *, max(close) OVER (PARTITION BY ticker, decision_date ORDER BY n) AS top FROM ahead"),
-    "comp": (("tops", "cut", "keys"), "SELECT k.ticker, k.decision_date, x.dd AS future_max_drawdown, x.dv AS future_downside_volatility, x.cv AS future_cvar_95, x.il AS future_illiquidity FROM keys k LEFT JOIN (SELECT t.ticker, t.decision_date, abs(least(min(close / (top + 1e-12) - 1), 0)) AS dd, CASE WHEN count(*) FILTER (ret < 0) <= 1 THEN 0.0 ELSE stddev_samp(ret) FILTER (ret < 0) END AS dv, abs(avg(ret) FILTER (ret <= c)) AS cv, avg(abs(ret) / (abs(value) + 1e-12)) AS il FROM tops t JOIN cut ON cut.ticker = t.ticker AND cut.decision_date = t.decision_date WHERE rows_ >= 42 GROUP BY 1, 2) x ON x.ticker = k.ticker AND x.decision_date = k.decision_date"),
+    "comp": (("tops", "cut", "keys"), "SELECT k.ticker, k.decision_date, x.dd AS future_max_drawdown, x.dv AS future_downside_volatility, x.cv AS future_cvar_95, x.il AS future_illiquidity FROM keys k LEFT JOIN (SELECT t.ticker, t.decision_date, abs(least(min(close / (top + 1e-12) - 1), 0)) AS dd, CASE WHEN count(*) FILTER (ret < 0) <= 1 THEN 0.0 ELSE stddev_samp(ret) FILTER (ret < 0) END AS dv, round(abs(avg(ret) FILTER (ret <= c)), 12) AS cv, avg(abs(ret) / (abs(value) + 1e-12)) AS il FROM tops t JOIN cut ON cut.ticker = t.ticker AND cut.decision_date = t.decision_date WHERE rows_ >= 42 GROUP BY 1, 2) x ON x.ticker = k.ticker AND x.decision_date = k.decision_date"),
     "train": (("comp",), f"SELECT * FROM comp WHERE decision_date BETWEEN DATE '{_R['train'][0]}' AND DATE '{_R['train'][1]}'"),
     "ranked": (("comp", "train"), "SELECT c.*, " + ", ".join(f"CASE WHEN {x} IS NOT NULL THEN (SELECT count(*) FROM train t WHERE t.{x} <= c.{x}) / (SELECT count({x}) FROM train)::DOUBLE END AS {x}_rank" for x in COMPONENTS) + " FROM comp c"),
     "score": (("ranked",), "SELECT *, 0.35 * future_max_drawdown_rank + 0.30 * future_downside_volatility_rank + 0.20 * future_cvar_95_rank + 0.15 * future_illiquidity_rank AS risk_score FROM ranked"),
