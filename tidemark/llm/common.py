@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import tempfile
 import uuid
@@ -36,6 +37,19 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
+def release_memory() -> None:
+    """Gives freed buffers back to the system: workers live on, and two of them share an executor's memory."""
+    pa.default_memory_pool().release_unused()
+    if _trim is not None:
+        _trim(0)
+
+
+try:
+    _trim = ctypes.CDLL(None).malloc_trim
+except (AttributeError, OSError):  # not a GNU system
+    _trim = None
+
+
 def slices(batch: pa.RecordBatch, text: int, max_bytes: int = 2 << 20):
     """Consecutive parts of a batch with about max_bytes of text each, so that numpy temporaries stay small.
 
@@ -47,6 +61,7 @@ def slices(batch: pa.RecordBatch, text: int, max_bytes: int = 2 << 20):
         to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + max_bytes, side="right")) - 1)
         yield batch.slice(at, to - at)
         at = to
+    release_memory()
 
 
 def words(blob: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:

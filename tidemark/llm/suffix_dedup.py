@@ -35,7 +35,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import mix64, slices, staged, utf8
+from tidemark.llm.common import mix64, release_memory, slices, staged, utf8
 
 K = 16
 #: Text behind one bucket task, behind one group of documents, and settled at a time by the first pass.
@@ -228,6 +228,7 @@ def _decision_table(rows: list[tuple]) -> pa.Table:
 
 def _resolve(buckets: int, groups: int):
     def run(table: pa.Table) -> pa.Table:
+        release_memory()
         key = table.column("key")[0].as_py()
         if key >= buckets:  # settled in their batch
             return _decision_table([(key - buckets, False, d, e) for d, e in zip(table.column("docs").to_pylist(), table.column("entries").to_pylist())])
@@ -264,6 +265,7 @@ def _pack(groups: int):
                 keys.append(g)
                 raw.append(dump_table(pa.Table.from_batches([batch]).take(pa.array(part))))
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int32()), pa.array(raw, pa.binary())], names=["dg", "rows"])
+            release_memory()
 
     return run
 
@@ -298,6 +300,7 @@ _MARKED = "key int, bytes boolean, docs binary, entries binary, text binary"
 
 def _mark(window: int, buckets: int, groups: int, text: str):
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        release_memory()
         rows = []
         if left.num_rows and right.num_rows:
             docs = pa.concat_tables([load_table(r) for r in left.column("rows").to_pylist()])
@@ -385,6 +388,7 @@ def suffix_order(text: np.ndarray, at: np.ndarray, depth: int) -> np.ndarray:
 
 def _sort(window: int, groups: int):
     def run(table: pa.Table) -> pa.Table:
+        release_memory()
         x = _read_entries(table.column("docs").to_pylist(), table.column("entries").to_pylist())
         text = np.concatenate([load(t)["text"] for t in table.column("text").to_pylist()])
         n = x["size"] + window - 1
@@ -423,6 +427,7 @@ def _sort(window: int, groups: int):
 
 def _finish(names: list[str], text: str, out_text: bool, schema: pa.Schema):
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        release_memory()
         if not left.num_rows:
             return schema.empty_table()
         docs = pa.concat_tables([load_table(r) for r in left.column("rows").to_pylist()])
