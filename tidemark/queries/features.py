@@ -189,8 +189,8 @@ _DRIFT_SQL = (
     "l AS (" + " UNION ALL ".join(f"SELECT split, '{c}' AS feature, {c} AS x FROM b" for c in _DRIFT) + "), "
     "e0 AS (SELECT feature, list_sort(list_distinct(quantile_cont(x, [0.0, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 1.0]))) AS e FROM l WHERE split = 'train' GROUP BY 1), "
     "st AS (SELECT feature, split, count(x) AS n, avg(x) AS mean, min(x) AS lo, max(x) AS hi FROM l GROUP BY 1, 2), "
-    "p AS (SELECT s.feature, s.split AS period, s.n, s.mean, t.n AS tn, t.mean AS tmean, CASE WHEN len(e) <= 2 THEN list_transform(range(0, 11), i -> least(s.lo, t.lo) + (greatest(s.hi, t.hi) - least(s.lo, t.lo)) * i / 10) ELSE e END AS e FROM st s JOIN st t ON t.feature = s.feature AND t.split = 'train' JOIN e0 ON e0.feature = s.feature WHERE s.split <> 'train'), "
-    "c AS (SELECT p.feature, p.period, len(list_filter(e[2:len(e) - 1], v -> v < x)) AS bin, count(*) FILTER (split = 'train') AS ec, count(*) FILTER (split <> 'train') AS ac FROM p JOIN l ON l.feature = p.feature AND l.split IN ('train', p.period) GROUP BY 1, 2, 3), "
+    "p AS (SELECT s.feature, s.split AS period, s.n, s.mean, t.n AS tn, t.mean AS tmean, CASE WHEN len(e) <= 2 THEN list_transform(range(0, 11), lambda i: least(s.lo, t.lo) + (greatest(s.hi, t.hi) - least(s.lo, t.lo)) * i / 10) ELSE e END AS e FROM st s JOIN st t ON t.feature = s.feature AND t.split = 'train' JOIN e0 ON e0.feature = s.feature WHERE s.split <> 'train'), "
+    "c AS (SELECT p.feature, p.period, len(list_filter(e[2:len(e) - 1], lambda v: v < x)) AS bin, count(*) FILTER (split = 'train') AS ec, count(*) FILTER (split <> 'train') AS ac FROM p JOIN l ON l.feature = p.feature AND l.split IN ('train', p.period) GROUP BY 1, 2, 3), "
     "g AS (SELECT feature, period, n, tn, unnest(range(0, len(e) - 1)) AS bin FROM p), "
     "z AS (SELECT g.feature, g.period, greatest(coalesce(ec, 0) / tn::DOUBLE, 1e-6) AS ep, greatest(coalesce(ac, 0) / n::DOUBLE, 1e-6) AS ap FROM g LEFT JOIN c ON c.feature = g.feature AND c.period = g.period AND c.bin = g.bin), "
     "s AS (SELECT feature, period, sum((ap - ep) * ln(ap / ep)) AS psi FROM z GROUP BY 1, 2) "
