@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import decontaminate, language, licenses, near_dedup, packing, passages, quality, suffix_dedup, tokens, topk
-from tidemark.llm.common import held_out
+from tidemark.llm.common import WORD_PATTERN, held_out
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -62,5 +62,40 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (op1_license_scan, op2_near_duplicates, op3_decontaminate, op4_pack, op5_nearest, op6_language, op7_token_counts, op8_suffix_dedup, op9_quality, op10_passages)}
 
 
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_WORDS = f"regexp_extract_all({_LOWER}, '{WORD_PATTERN}')"
+
+
+def _op1_sql() -> str:
+    places = {k: f"list_filter(range(0, len(w)), lambda i: {' AND '.join(f'w[i + {j + 1}] = {x!r}' for j, x in enumerate(v.split()))})" for k, v in licenses.BASE.items()}
+    full = {k: " OR ".join(f"regexp_matches(t, '{licenses.as_regex(licenses.parse(m))} ')" for m in v) for k, v in licenses.TEMPLATES.items()}
+    named = lambda x: f"array_to_string(list_sort(list_distinct(list_filter([{x}], lambda v: v IS NOT NULL))), ',')"
+    base = ", ".join(f"CASE WHEN len({c}) > 0 THEN '{k}' END" for k, c in zip(places, ("a", "b", "c")))
+    more = ", ".join(f"CASE WHEN {e} THEN '{k}' END" for k, e in full.items())
+    return (
+        f"WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents), "
+        f"p AS (SELECT doc_id, len(w) AS n_words, ' ' || array_to_string(w, ' ') || ' ' AS t, {', '.join(f'{e} AS {c}' for e, c in zip(places.values(), ('a', 'b', 'c')))} FROM d) "
+        f"SELECT doc_id, n_words, len(a) + len(b) + len(c) AS n_base, list_min(a || b || c) AS first_word, list_max(a || b || c) AS last_word, {named(base)} AS base_labels, {named(base + ', ' + more)} AS labels, "
+        f"CASE WHEN {' OR '.join(full.values())} THEN 1.0 WHEN len(a || b || c) > 0 THEN 0.5 ELSE 0.0 END::DOUBLE AS score FROM p"
+    )
+
+
+_OP3_SQL = (
+    f"WITH i AS (SELECT item_id, {_WORDS} AS w FROM benchmark WHERE item_id IS NOT NULL), "
+    "x AS (SELECT DISTINCT item_id, least(len(w), 10) AS m, array_to_string(w[s:s + least(len(w), 10) - 1], ' ') AS k FROM (SELECT item_id, w, unnest(range(1, greatest(len(w) - 9, least(len(w), 1)) + 1)) AS s FROM i)), "
+    f"d AS (SELECT doc_id, {_WORDS} AS w FROM documents), sizes AS (SELECT DISTINCT m FROM x), "
+    "y AS (SELECT doc_id, m, s, array_to_string(w[s:s + m - 1], ' ') AS k FROM (SELECT doc_id, w, m, unnest(range(1, len(w) - m + 2)) AS s FROM d, sizes WHERE len(w) >= m)), "
+    "h AS (SELECT y.doc_id, y.s, y.m, x.item_id FROM y JOIN x ON x.m = y.m AND x.k = y.k), "
+    "n AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(s, s + m)) AS p FROM h) GROUP BY 1), "
+    "t AS (SELECT doc_id, count(DISTINCT item_id) AS n_items, array_to_string(list_sort(list_distinct(list(CAST(item_id AS VARCHAR)))), ',') AS ids FROM h GROUP BY 1) "
+    "SELECT d.doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated FROM d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN t ON t.doc_id = d.doc_id"
+)
+_OP5_SQL = (
+    "WITH c AS (SELECT DISTINCT vec_id, list_transform(embedding, lambda x: CASE WHEN x > 0 AND NOT isnan(x) THEN 1.0::FLOAT ELSE -1.0::FLOAT END) AS b FROM embeddings WHERE vec_id IS NOT NULL AND len(embedding) > 0), "
+    "d AS (SELECT q.vec_id AS query_id, o.vec_id AS neighbor_id, CAST((len(q.b) - list_dot_product(q.b, o.b)) / 2 AS INT) AS distance FROM c q JOIN c o ON o.vec_id <> q.vec_id WHERE q.vec_id % 100 = 0) "
+    "SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY distance, neighbor_id) AS INT) AS rank, neighbor_id, distance FROM d QUALIFY rank <= 10"
+)
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op1_license_scan": _op1_sql(), "op3_decontaminate": _OP3_SQL, "op5_nearest": _OP5_SQL}
