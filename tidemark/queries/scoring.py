@@ -196,23 +196,23 @@ _NUMERIC = ["rolling_vol_20d", "downside_vol_60d", "beta_60d", "log_market_cap",
 @query()
 def m9_leaderboard(spark: SparkSession, sf: str) -> DataFrame:
     rows = training.with_split(_data(spark, sf)).persist()
-    return training.fit_bundle(rows, _NUMERIC, ["sector"], ("forest", "extra"), trees=12).leaderboard(spark)
+    return training.fit_bundle(rows, _NUMERIC, ["sector"], ("forest", "extra"), trees=6).leaderboard(spark)
 
 
 @query()
 def m20_importances(spark: SparkSession, sf: str) -> DataFrame:
     rows = training.with_split(_data(spark, sf)).persist()
-    return training.fit_bundle(rows, _NUMERIC, ["sector"], ("forest",), trees=12).importances(spark)
+    return training.fit_bundle(rows, _NUMERIC, ["sector"], ("forest",), trees=6).importances(spark)
 
 
 @query()
 def m21_walk_forward(spark: SparkSession, sf: str) -> DataFrame:
-    return training.walk_forward_scores(_data(spark, sf).persist(), _NUMERIC, trees=8, step=12)
+    return training.walk_forward_scores(_data(spark, sf).persist(), _NUMERIC, trees=4, step=24)
 
 
 @query()
 def m25_training_run(spark: SparkSession, sf: str) -> DataFrame:
     """M18, M19, M22 and M25: fits the architectures, chooses one, and scores the test period."""
-    return training.run(_data(spark, sf), _NUMERIC, ["key_rate", "fx_rate", "curve_slope", "market_vol_20d", "market_corr_60d"], trees=10).predictions
+    return training.run(_data(spark, sf), _NUMERIC, ["key_rate", "fx_rate", "curve_slope", "market_vol_20d", "market_corr_60d"], trees=5).predictions
 
 
