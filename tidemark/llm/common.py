@@ -37,8 +37,19 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
+_memos: list[dict] = []
+
+
+def memo() -> dict:
+    """A worker's memo for one operator; it is emptied when the worker goes on to an operator that releases memory."""
+    _memos.append({})
+    return _memos[-1]
+
+
 def release_memory() -> None:
     """Gives freed buffers back to the system: workers live on, and two of them share an executor's memory."""
+    for kept in _memos:
+        kept.clear()
     pa.default_memory_pool().release_unused()
     if _trim is not None:
         _trim(0)
@@ -144,6 +155,19 @@ def shingle_hashes(word_hash: np.ndarray, first: np.ndarray, k: int) -> tuple[np
     return h[keep], np.concatenate([[0], np.cumsum(np.maximum(count - k + 1, np.minimum(count, 1)))])
 
 
+#: Rows of text that cross to Python at a time, at most.
+BATCH_ROWS = 2000
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Lowers the session's Arrow batch size where it is larger: whole texts are long rows, and each batch is
+    held several times over on its way to Python and back.  Results don't depend on it."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(name, "10000"))
+    if now <= 0 or now > BATCH_ROWS:
+        spark.conf.set(name, str(BATCH_ROWS))
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder of the cluster; one of our own only where none is set, as in tests."""
     found = spark.conf.get("spark.checkpoint.dir", None)

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import staged
+from tidemark.llm.common import memo, staged
 
 #: Characters whose lower-casing, composition and classes are alike in the library and in Python; other texts
 #: go through the library whole.
@@ -47,7 +47,7 @@ def _tokenizer(path: str):
     return found
 
 
-_memo: dict[str, dict[str, bytes]] = {}
+_memo: dict[str, dict[str, bytes]] = memo()
 
 
 def _raw(lib, texts: list[str]) -> list[bytes]:
@@ -60,18 +60,18 @@ def encode(texts: list[str], path: str) -> list[bytes]:
     Tokens never cross white space and depend on their run alone, so distinct runs are encoded once.  Texts
     with special strings or unusual characters go to the library as they are.
     """
-    lib, memo = _tokenizer(path), _memo.setdefault(path, {})
+    lib, seen = _tokenizer(path), _memo.setdefault(path, {})
     plain = [_PLAIN.fullmatch(t) is not None and "<|" not in t for t in texts]
     runs = [t.lower().split() if ok else None for t, ok in zip(texts, plain)]
-    new = set().union(*(r for r in runs if r)).difference(memo)
-    if len(memo) + len(new) > MEMO:
-        memo.clear()
+    new = set().union(*(r for r in runs if r)).difference(seen)
+    if len(seen) + len(new) > MEMO:
+        seen.clear()
         new = set().union(*(r for r in runs if r))
     parts = {w: _PRETOKEN.findall(w) for w in new}
-    atoms = list({a for p in parts.values() for a in p}.difference(memo))
+    atoms = list({a for p in parts.values() for a in p}.difference(seen))
     ids = dict(zip(atoms, _raw(lib, atoms)))
-    memo.update((w, b"".join(ids[a] if a in ids else memo[a] for a in p)) for w, p in parts.items())
-    get = memo.__getitem__
+    seen.update((w, b"".join(ids[a] if a in ids else seen[a] for a in p)) for w, p in parts.items())
+    get = seen.__getitem__
     return [b"".join(map(get, r)) if r is not None else _raw(lib, [t])[0] for t, r in zip(texts, runs)]
 
 

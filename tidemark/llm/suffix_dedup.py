@@ -35,7 +35,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import mix64, release_memory, slices, staged, utf8
+from tidemark.llm.common import bounded_batches, mix64, release_memory, slices, staged, utf8
 
 K = 16
 #: Text behind one bucket task, behind one group of documents, and settled at a time by the first pass.
@@ -476,6 +476,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         raise ValueError("windows of 24 bytes or more")
     from pyspark.sql.pandas.types import to_arrow_schema
 
+    bounded_batches(docs.sparkSession)
     pair = docs.select(id_col, text_col)
     total = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
     buckets, groups = max(12, -(-total // bucket_bytes)), max(12, -(-total // group_bytes))

@@ -16,23 +16,24 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from tidemark.llm.bpe import piece_model
+from tidemark.llm.common import memo
 
 _PRETOKEN = re.compile("▁*[^▁\n]+|▁+|\n")
 #: Entries of the memo of a worker; it is emptied when full, which changes no result.
 MEMO = 400_000
-_memo: dict[str, dict[str, int]] = {}
+_memo: dict[str, dict[str, int]] = memo()
 
 
 def count_tokens(texts: list[str], path: str) -> list[int]:
     """Tokens of each text, as the library gives them without begin, end or added special tokens."""
-    model, memo = piece_model(path), _memo.setdefault(path, {})
+    model, seen = piece_model(path), _memo.setdefault(path, {})
     parts = [_PRETOKEN.findall("▁" + t.replace(" ", "▁")) if t else [] for t in texts]
-    new = list(set().union(*parts).difference(memo))
-    if len(memo) + len(new) > MEMO:
-        memo.clear()
+    new = list(set().union(*parts).difference(seen))
+    if len(seen) + len(new) > MEMO:
+        seen.clear()
         new = list(set().union(*parts))
-    memo.update(zip(new, model.counts(new)))
-    get = memo.__getitem__
+    seen.update(zip(new, model.counts(new)))
+    get = seen.__getitem__
     return [sum(map(get, p)) for p in parts]
 
 
