@@ -112,3 +112,13 @@ def test_components(spark):
         a, b = sorted((find(a), find(b)))
         parent[b] = a
     assert got == {x: find(x) for x in parent if any(x in e and e[0] != e[1] for e in links)}
+
+
+def test_repetition_does_not_part_equal_sets(spark):
+    r = random.Random(8)
+    rows = []
+    for i in range(60):
+        u, v = ([f"w{r.randrange(10**6)}" for _ in range(60)] for _ in range(2))
+        rows += [(2 * i, " ".join(u + v)), (2 * i + 1, " ".join(u + v * 20))]
+    got = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), bands=6).collect()
+    assert {x.doc_id: x.class_id for x in got} == {i: i - i % 2 for i in range(120)}

@@ -1,10 +1,10 @@
 """Operator 2: near-duplicate classes by ProbMinHash, banding and verification.
 
-The shingles of a text are its runs of five words (all its words, if fewer), weighted 1 + ln(times).
-ProbMinHash: every shingle is a Poisson process with its weight as rate; each arrival goes to a random
+The shingles of a text are its runs of five words (all its words, if fewer), with equal weights: links are decided
+by sets, and repetition must not part what they join.  ProbMinHash: every shingle is a Poisson process with its weight as rate; each arrival goes to a random
 register, which keeps the earliest.  Arrivals are generated up to a time by which the registers are full;
 texts with an open register go on to twice that time, all others stop.  Two texts agree in a register with
-their probability Jaccard similarity.
+their probability Jaccard similarity, which for equal weights is the Jaccard similarity of the sets.
 
 Registers are cut into bands.  Texts that share a band are compared: first by a sketch of one bit a register,
 then exactly, by the Jaccard similarity of their shingle sets (as 32-bit fingerprints).  Classes are the
@@ -103,8 +103,8 @@ def _sign(id_type: str, k: int, bands: int, rows: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in slices(whole, 1, 4 << 20):
-                row, h, times, n, digests = shingle_sets(*utf8(batch.column(1)), k)
-                marks = prob_min_hash(row, h, 1 + np.log(times), batch.num_rows, registers)
+                row, h, _, n, digests = shingle_sets(*utf8(batch.column(1)), k)
+                marks = prob_min_hash(row, h, np.ones(len(h)), batch.num_rows, registers)
                 signed = [m.tobytes() if c else None for m, c in zip(marks, n.tolist())]
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([int.from_bytes(d[:8], "little", signed=True) for d in digests], pa.int64()), pa.array(signed, pa.binary())], names=["id", "node", "signature"])
 
