@@ -122,3 +122,21 @@ def test_repetition_does_not_part_equal_sets(spark):
         rows += [(2 * i, " ".join(u + v)), (2 * i + 1, " ".join(u + v * 20))]
     got = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), bands=6).collect()
     assert {x.doc_id: x.class_id for x in got} == {i: i - i % 2 for i in range(120)}
+
+
+def test_pairs_inside_a_large_bucket(spark):
+    # 150 pairs edited from one base; pairs are near copies, others are not; one register makes the buckets large
+    r = random.Random(9)
+    base = [f"w{r.randrange(10**6)}" for _ in range(200)]
+    rows = []
+    for i in range(150):
+        text = list(base)
+        for j in r.sample(range(200), 8):
+            text[j] = f"x{i}-{j}"
+        rows += [(2 * i, " ".join(text)), (2 * i + 1, " ".join(text[:-1] + [f"y{i}"]))]
+    assert not any(len(shingles(a) & shingles(b)) >= 0.8 * len(shingles(a) | shingles(b)) for (_, a), (_, b) in itertools.combinations(rows[::2], 2))
+    row, h, _, _, _ = near_dedup.shingle_sets(*near_dedup.utf8(near_dedup.pa.array([t for _, t in rows])), 5)
+    mark = near_dedup.prob_min_hash(row, h, np.ones(len(h)), len(rows), 1)[:, 0]
+    assert np.bincount(np.unique(mark, return_inverse=True)[1]).max() > near_dedup.SMALL_LATER
+    got = {x.doc_id: x.class_id for x in near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), bands=1, rows=1).collect()}
+    assert got == {i: i - i % 2 if mark[i] == mark[i - i % 2] else i for i in range(300)}

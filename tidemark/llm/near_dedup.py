@@ -13,7 +13,7 @@ connected components of the links at ``threshold`` or more.
 Texts with the same words are one node from the start, so exact copies never meet in a bucket.  In a bucket
 all nodes are compared with its smallest node, and small buckets in full.  Buckets whose nodes are
 still in different classes after that are compared anew: small ones in full, larger ones with other nodes
-of the bucket.  No group is collected, and no bucket emits all its pairs unless it is small.
+of the bucket first, and then all nodes whose classes still differ.  Only small buckets are collected.
 
 Null text counts as empty.  Wordless texts are copies of each other only if their bytes are equal.  Rows with
 equal ids are classed by their texts; a class is named by its smallest id (null if it has none).
@@ -207,7 +207,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     more = open_.filter(f"n > {SMALL_LATER}").withColumn("star", stars).filter("star.component <> component").select(F.col("star.node").alias("a"), F.col("star.s0").alias("t0"), F.col("star.s1").alias("t1"), F.col("node").alias("b"), "s0", "s1").filter(_alike(registers, threshold))
     more = more.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).unionByName(_full(open_.filter(f"n <= {SMALL_LATER}"), registers, threshold)).distinct()
     again = verified(more.join(tried, ["a", "b"], "left_anti"))
-    classes = connected_components(tried.filter("linked").unionByName(again.filter("linked")))
+    tried = tried.unionByName(again)
+    classes = connected_components(tried.filter("linked"))
+    # third pass: all pairs of different classes that the stars of larger buckets left untried
+    rest = open_.filter(f"n > {SMALL_LATER}").select("bucket", "node", "s0", "s1").join(classes, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    still = rest.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("bucket")
+    rest = staged(rest.join(still, "bucket", "left_semi"), "rest")
+    if not rest.isEmpty():
+        x = rest.select("bucket", F.col("node").alias("a"), F.col("s0").alias("t0"), F.col("s1").alias("t1"), F.col("component").alias("other"))
+        across = rest.join(x, "bucket").filter("a < node and other <> component").filter(_alike(registers, threshold))
+        last = verified(across.select("a", F.col("node").alias("b")).distinct().join(tried, ["a", "b"], "left_anti"))
+        classes = connected_components(tried.unionByName(last).filter("linked"))
 
     rows_ = signed.select("id", "node").join(classes, "node", "left").withColumn("component", F.coalesce("component", "node"))
     named = rows_.groupBy("component").agg(F.min("id").alias("class_id"), F.count("*").alias("class_size"))
