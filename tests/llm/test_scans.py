@@ -78,6 +78,9 @@ def test_packing(spark):
     lib = Tokenizer.from_file(path)
     r = random.Random(3)
     texts = [*ODD, "it's  The\tDog's 12² don't_"] + [" ".join("".join(r.choice("abcdé") for _ in range(r.randint(1, 7))) for _ in range(r.randint(0, 400))) for _ in range(120)]
+    # runs the memo must not mistake: quotes, dashes, combining marks, added strings in either case, odd white space
+    pool = ["“Hi”", "it’s", "—", "…", "e\u0301", "\u0301a", "ΟΔΟΣ", "Σς", "<|endoftext|>", "x<|startoftext|>y", "<|ENDOFTEXT|>", "a\x1cb", "\x85", "\u2003", "\x01", "don't", "WE'LL", "12²", "ﬁ", "word", "Word,"]
+    texts += [r.choice(["", " "]).join(r.choice(pool) for _ in range(r.randint(1, 12))) for _ in range(400)]
     df = frame(spark, texts, "piece string, _group int")
     got = packing.pack_documents(df, path, capacity=100, group_rows=40).collect()
     ids = {i: [*lib.encode(t or "", add_special_tokens=False).ids, 1] for i, t in enumerate(texts)}

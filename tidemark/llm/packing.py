@@ -12,8 +12,11 @@ Null text counts as empty: a piece of one end id.  Rows with equal or null ids a
 
 from __future__ import annotations
 
+import json
+import os
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -21,57 +24,92 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from tokenizers import Tokenizer
 
 from tidemark.llm.common import memo, staged
 
-#: Characters whose lower-casing, composition and classes are alike in the library and in Python; other texts
-#: go through the library whole.
-_PLAIN = re.compile("[\t\n\r\x20-\x7e -±´-¸º»¿-įı-ɏ]*")
+#: Characters whose lower-casing, composition and classes are alike in the library and in Python.
+_PLAIN = re.compile("[\t\n\r\x20-\x7e -±´-¸º»¿-įı-ɏ]*")
 _PRETOKEN = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\s\w]|_)+")
+#: White space in Python but not in the library.
+_NO_SPACE = re.compile("[\x1c-\x1f]")
+#: The settings of a tokenizer file that _PLAIN and _PRETOKEN stand for.
+_NORMALIZERS = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]}
+_SPLIT = {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True}
 #: Entries of a worker's memo of ids by white-space-free run; emptied when full, which changes no result.
 MEMO = 600_000
 #: Pieces that one task packs at a time, and neighbouring groups whose loose bins are pooled.
 GROUP_ROWS, FAN = 20_000, 8
+#: Pre-tokens that go to the library as one text.
+ATOMS = 256
 
 
 @lru_cache(maxsize=2)
-def _tokenizer(path: str):
-    import os
-
+def _tokenizer(path: str) -> tuple[Tokenizer, tuple[str, ...] | None, np.ndarray]:
+    """The library's tokenizer, its added strings (None if its settings are others than those stated above), and
+    which ids end a pre-token."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    from tokenizers import Tokenizer
-
     found = Tokenizer.from_file(path)
     found.no_padding()
     found.no_truncation()
-    return found
+    made = json.loads(found.to_str())
+    added, suffix = made["added_tokens"], made["model"].get("end_of_word_suffix")
+    known = made["normalizer"] == _NORMALIZERS and made["pre_tokenizer"].get("pretokenizers", [])[:1] == [_SPLIT] and made["pre_tokenizer"]["pretokenizers"][1]["type"] == "ByteLevel" and suffix
+    known = known and not any(a["normalized"] or a["lstrip"] or a["rstrip"] or a["single_word"] or a["content"].split() != [a["content"].lower()] for a in added)
+    ends = np.zeros(found.get_vocab_size(), bool)
+    for token, i in found.get_vocab().items():
+        ends[i] = bool(suffix) and token.endswith(suffix)
+    return found, tuple(a["content"] for a in added) if known else None, ends
 
 
 _memo: dict[str, dict[str, bytes]] = memo()
 
 
-def _raw(lib, texts: list[str]) -> list[bytes]:
-    return [np.array(e.ids, "<u4").tobytes() for e in lib.encode_batch(texts, add_special_tokens=False)]
+def _raw(lib: Tokenizer, texts: list[str]) -> list[bytes]:
+    return [array("I", e.ids).tobytes() for e in lib.encode_batch_fast(texts, add_special_tokens=False)]
+
+
+def _raw_atoms(lib: Tokenizer, ends: np.ndarray, atoms: list[str]) -> list[bytes]:
+    """The ids of each pre-token: many of them are one text, whose ids are cut at ends of words."""
+    some = _raw(lib, [" ".join(atoms[at : at + ATOMS]) for at in range(0, len(atoms), ATOMS)])
+    raw = b"".join(some)
+    cuts = (4 * np.flatnonzero(ends[np.frombuffer(raw, "<u4")]) + 4).tolist()
+    if len(cuts) != len(atoms) or cuts[-1:] != [len(raw)] * bool(atoms):
+        raise ValueError("pre-tokens that don't end where words end")
+    return [raw[a:b] for a, b in zip([0, *cuts], cuts)]
 
 
 def encode(texts: list[str], path: str) -> list[bytes]:
     """Little-endian 32-bit ids of each text, as the library gives them.
 
-    Tokens never cross white space and depend on their run alone, so distinct runs are encoded once.  Texts
-    with special strings or unusual characters go to the library as they are.
+    Tokens never cross white space and depend on their run alone, so distinct runs are encoded once, and the
+    pre-tokens of plain runs, too.  Runs with unusual characters or added strings go to the library as they are.
+    So do texts with white space of Python's that the library does not count as such, and all texts of a
+    tokenizer with other settings.
     """
-    lib, seen = _tokenizer(path), _memo.setdefault(path, {})
-    plain = [_PLAIN.fullmatch(t) is not None and "<|" not in t for t in texts]
-    runs = [t.lower().split() if ok else None for t, ok in zip(texts, plain)]
+    lib, added, ends = _tokenizer(path)
+    if added is None:
+        return _raw(lib, texts)
+    seen = _memo.setdefault(path, {})
+    runs = []
+    for t in texts:
+        low = t.lower() if _PLAIN.fullmatch(t) else None
+        if low is not None and not any(a in low for a in added):
+            runs.append(low.split())
+        else:
+            runs.append(None if _NO_SPACE.search(t) else t.split())
     new = set().union(*(r for r in runs if r)).difference(seen)
     if len(seen) + len(new) > MEMO:
         seen.clear()
         new = set().union(*(r for r in runs if r))
-    parts = {w: _PRETOKEN.findall(w) for w in new}
+    odd = [w for w in new if not _PLAIN.fullmatch(w) or any(a in w.lower() for a in added)]
+    parts = {w: _PRETOKEN.findall(w.lower()) for w in new.difference(odd)}
     atoms = list({a for p in parts.values() for a in p}.difference(seen))
-    ids = dict(zip(atoms, _raw(lib, atoms)))
-    seen.update((w, b"".join(ids[a] if a in ids else seen[a] for a in p)) for w, p in parts.items())
+    seen.update(zip(atoms, _raw_atoms(lib, ends, atoms)))
     get = seen.__getitem__
+    seen.update([(w, b"".join(map(get, p))) for w, p in parts.items() if len(p) > 1 or p[0] != w])
+    seen.update(zip(odd, _raw(lib, odd)))
     return [b"".join(map(get, r)) if r is not None else _raw(lib, [t])[0] for t, r in zip(texts, runs)]
 
 
@@ -145,8 +183,6 @@ def pack(rows: DataFrame, capacity: int, group_rows: int = GROUP_ROWS) -> DataFr
 
     rows must be stored (read again with the same rows); lengths are 1 to capacity.
     """
-    from pyspark.sql import types as T
-
     full = rows.filter(F.col("length") >= capacity).withColumns({"sequence_id": -1 - F.monotonically_increasing_id(), "offset": F.lit(0).cast("long"), "certified": F.lit(True)})
     rest = rows.filter(F.col("length") < capacity)
     groups = max(1, -(-rest.count() // group_rows))
