@@ -52,3 +52,37 @@ def test_wide_codes_and_few_rows(spark):
     check(spark, [(i, r.normal(size=150).tolist()) for i in range(40)], k=60)
     df = spark.createDataFrame([], "vec_id long, embedding array<float>")
     assert topk.nearest(df, F.col("vec_id") % 10 == 0).count() == 0
+
+
+def test_index_gives_every_pair_once():
+    r = np.random.default_rng(4)
+    codes, queries = r.integers(0, 1 << 20, (300, 1)), r.integers(0, 1 << 20, (9, 1))
+    index = topk.MultiIndex(codes, 20)
+    query = [topk._values(queries, lo, hi) for lo, hi in index.cuts]
+    seen = {}
+    for radius in range(21):
+        for segment, (lo, hi) in enumerate(index.cuts):
+            for q, c, d in index.found(query, segment, radius) if radius <= hi - lo else ():
+                for pair, n in zip(zip(q.tolist(), c.tolist()), d.tolist()):
+                    assert pair not in seen and n == (int(queries[pair[0], 0]) ^ int(codes[pair[1], 0])).bit_count()
+                    seen[pair] = n
+            # what is covered has been found
+            reach = len(index.cuts) * radius + segment
+            near = np.bitwise_count(queries ^ codes[:, 0]) <= reach
+            assert all((q, c) in seen for q, c in np.argwhere(near).tolist())
+    assert len(seen) == 9 * 300
+
+
+def test_near_codes_end_a_search_early():
+    r = np.random.default_rng(5)
+    centres = r.integers(0, 1 << 60, 200)
+    codes = np.unique(np.concatenate([centres ^ (1 << r.integers(0, 60, 200)) for _ in range(20)]))[:, None]
+    index = topk.MultiIndex(codes, 60)
+    ids, bounds = np.arange(len(codes)), np.arange(len(codes) + 1)
+    q, d, i = index.nearest(centres[:, None], ids, bounds, 5)
+    assert len(q) == 1000 and (d <= 2).all() and index.verified < len(codes) * 200 / 20
+
+
+def test_id_with_several_codes(spark):
+    rows = [(i, [float((i * 7 + j * j) % 5 - 2) for j in range(8)]) for i in range(40)] + [(i, [float((i + j) % 3 - 1) for j in range(8)]) for i in range(0, 40, 2)]
+    check(spark, rows, k=6)

@@ -1,39 +1,41 @@
 """Operator 5: exact top-k by Hamming distance with incremental multi-index hashing.
 
-A vector's code is one bit per dimension (set where the value is above 0).  Codes are cut into segments of
-about log2(rows) bits.  If two codes differ in at most ``m * r + m - 1`` bits, then one of their m segments
-differs in at most r bits.  So each round looks up, in every segment, all values within one bit more of the
-query's, verifies the distances of what it finds, and ends the queries whose kth distance is covered.
-A value that is looked up is a row that is shuffled, which costs as much as many comparisons of codes.  So
-queries whose lookups would come to more than a ``LOOKUP_COST``th of all codes are compared with all codes
-instead, in blocks of bounded size.
+A vector's code is one bit per dimension (set where the value is above 0).  Codes are dealt by hash into blocks
+of bounded size, and so are the queries; each pair of a code block and a query block is one task.  It indexes its
+codes by m segments of about log2(rows) bits, each with a table from segment values to codes.  If two codes differ
+in at most ``m * r + a`` bits, then one of the segments up to a differs in at most r bits, or a later one in fewer.
+So a task looks up all values at distance r in one segment after the other, then those at distance r + 1, verifies
+the distances of what it finds, and ends each query as soon as its kth verified distance is covered.  No query is
+compared with all codes.  Spark then merges what the blocks found, k + 1 rows of each.
 
 Equal codes are one entry with their k + 1 smallest ids, so a hot vector is one row; equal query codes are
-searched once.  Lookups and index are dealt by segment value, and each task keeps k per query.
+searched once.
 
 Results: the k nearest rows with another id, ordered by distance and id.  Null vectors, ids and vectors of
 another length than the first are left out; a null or NaN value counts as not above 0.  Fewer than k other
-rows give fewer results.  Equal (id, code) rows count once.
+rows give fewer results, an empty table none.  Equal (id, code) rows count once; of an id with several codes the
+nearest counts.  Other columns are not read, so clashing names do no harm.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
+from functools import lru_cache
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import staged
 
 WORD = 63  # bits of a code word, so that it stays positive
-#: Comparisons in a scan that cost as much as one looked-up value.
-LOOKUP_COST = 64
-#: Queries that one scan of all codes takes along.
-BLOCK = 4096
+#: Codes and queries of one task at most (on average, as both are dealt by hash), and tasks at least.
+BLOCK_CODES, BLOCK_QUERIES, TASKS = 1 << 20, 1 << 16, 12
+#: Values that a task looks up at a time, and pairs that it verifies at a time.
+PROBES, PAIRS = 1 << 20, 1 << 20
 
 
 def binary_codes(vectors: DataFrame, id_col: str, vector_col: str) -> tuple[DataFrame, int]:
@@ -47,7 +49,8 @@ def binary_codes(vectors: DataFrame, id_col: str, vector_col: str) -> tuple[Data
     return rows.filter(F.size("v") == bits).select("id", F.array(*word).alias("code")), bits
 
 
-def _segments(bits: int, rows: int) -> list[tuple[int, int]]:
+def segments(bits: int, rows: int) -> list[tuple[int, int]]:
+    """Cuts codes into parts of about log2(rows) bits, 4 to 20."""
     m = max(1, round(bits / max(4, min(20, math.log2(max(rows, 2))))))
     cuts = [bits * i // m for i in range(m + 1)]
     return list(zip(cuts[:-1], cuts[1:]))
@@ -67,174 +70,132 @@ def _matrix(column) -> np.ndarray:
     return column.flatten().to_numpy().reshape(len(column), -1) if len(column) else np.zeros((0, 1), np.int64)
 
 
-def _best(query: np.ndarray, code: np.ndarray, distance: np.ndarray, members: np.ndarray, k: int) -> np.ndarray:
-    """The entries that hold the first k + 1 rows of each query, and all at the last one's distance."""
-    order = np.lexsort((distance, query))
-    q, d, n = query[order], distance[order], members[order]
+@lru_cache(maxsize=64)
+def _flips(bits: int, radius: int) -> np.ndarray:
+    """All numbers of ``bits`` bits of which ``radius`` are set."""
+    return np.array([sum(1 << b for b in c) for c in combinations(range(bits), radius)], np.int64)
+
+
+class MultiIndex:
+    """Codes with a table per segment: the codes in the order of its values, and where each value begins."""
+
+    def __init__(self, codes: np.ndarray, bits: int):
+        self.cuts = segments(bits, len(codes))
+        self.values = [_values(codes, lo, hi) for lo, hi in self.cuts]
+        self.order = [np.argsort(v, kind="stable").astype(np.int32) for v in self.values]
+        self.begin = [np.searchsorted(v[o], np.arange((1 << (hi - lo)) + 1)).astype(np.int32) for v, o, (lo, hi) in zip(self.values, self.order, self.cuts)]
+        #: Values looked up and pairs verified so far.
+        self.looked_up = self.verified = 0
+
+    def found(self, query: list[np.ndarray], segment: int, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(query, code, distance) of the pairs that differ in radius bits of this segment, in no fewer of any other one,
+        and in more of those before it: all that an earlier step has not given."""
+        lo, hi = self.cuts[segment]
+        flips, begin, order = _flips(hi - lo, radius), self.begin[segment], self.order[segment]
+        own = query[segment]
+        step = max(1, PROBES // len(flips))
+        for at in range(0, len(own), step):
+            want = (own[at : at + step, None] ^ flips).ravel()
+            self.looked_up += len(want)
+            first, size = begin[want], begin[want + 1] - begin[want]
+            some = np.flatnonzero(size)
+            first, size, asker = first[some].astype(np.int64), size[some].astype(np.int64), at + some // len(flips)
+            ends = np.cumsum(size)
+            x = 0
+            while x < len(some):
+                y = max(x + 1, int(np.searchsorted(ends, (ends[x - 1] if x else 0) + PAIRS, side="right")))
+                n = size[x:y]
+                code = order[np.arange(n.sum()) - np.repeat(np.cumsum(n) - n - first[x:y], n)]
+                asks = np.repeat(asker[x:y], n)
+                self.verified += len(asks)
+                distance, new = np.zeros(len(asks), np.int64), np.ones(len(asks), bool)
+                for j, values in enumerate(self.values):
+                    part = np.bitwise_count(values[code] ^ query[j][asks])
+                    distance += part
+                    new &= part >= radius + (j < segment)
+                yield asks[new], code[new].astype(np.int64), distance[new]
+                x = y
+
+    def nearest(self, queries: np.ndarray, ids: np.ndarray, bounds: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(query, distance, id) of the first k ids of each query by distance and id; ids[bounds[c]:bounds[c + 1]] are those of code c."""
+        none = np.zeros(0, np.int64)
+        q, d, i = none, none, none
+        done = [(none, none, none)]
+        active = np.arange(len(queries))
+        query = [_values(queries, lo, hi) for lo, hi in self.cuts]
+        m = len(self.cuts)
+        for radius in range(max((hi - lo for lo, hi in self.cuts), default=0) + 1):
+            for segment, (lo, hi) in enumerate(self.cuts):
+                if radius <= hi - lo:
+                    for asks, code, distance in self.found([v[active] for v in query], segment, radius):
+                        n = bounds[code + 1] - bounds[code]
+                        member = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n - bounds[code], n)
+                        q, d, i = _first(np.concatenate([q, np.repeat(active[asks], n)]), np.concatenate([d, np.repeat(distance, n)]), np.concatenate([i, ids[member]]), k)
+                covered = np.bincount(q[d <= m * radius + segment], minlength=len(queries)) >= k
+                over = covered[q]
+                done.append((q[over], d[over], i[over]))
+                q, d, i = q[~over], d[~over], i[~over]
+                active = active[~covered[active]]
+                if not len(active):
+                    break
+            if not len(active):
+                break
+        done.append((q, d, i))
+        return tuple(np.concatenate(x) for x in zip(*done))
+
+
+def _first(q: np.ndarray, d: np.ndarray, i: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each query's (distance, id) pairs the first k, the nearest of each id only."""
+    order = np.lexsort((d, i, q))
+    q, d, i = q[order], d[order], i[order]
+    keep = np.ones(len(q), bool)
+    keep[1:] = (q[1:] != q[:-1]) | (i[1:] != i[:-1])
+    q, d, i = q[keep], d[keep], i[keep]
+    order = np.lexsort((i, d, q))
+    q, d, i = q[order], d[order], i[order]
     start = np.flatnonzero(np.concatenate([[True], q[1:] != q[:-1]])) if len(q) else np.zeros(0, np.int64)
-    before = np.cumsum(n) - n
-    before = before - np.repeat(before[start], np.diff(np.append(start, len(q))))
-    # an entry goes if k + 1 rows are strictly nearer
-    level = np.ones(len(q), bool)
-    level[1:] = (q[1:] != q[:-1]) | (d[1:] != d[:-1])
-    nearer = before[level][np.cumsum(level) - 1] if len(q) else before
-    return order[nearer <= k]
+    keep = np.arange(len(q)) - np.repeat(start, np.diff(np.append(start, len(q)))) < k
+    return q[keep], d[keep], i[keep]
 
 
-def _lookup(segments: list[tuple[int, int]], k: int):
-    def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        empty = pa.table({"query": pa.array([], pa.list_(pa.int64())), "code": pa.array([], pa.list_(pa.int64())), "distance": pa.array([], pa.int32()), "ids": pa.array([], pa.list_(pa.int64()))})
-        if not left.num_rows or not right.num_rows:
-            return empty
-        codes, probes = _matrix(left.column("code")), _matrix(right.column("query"))
-        key, want = left.column("value").to_numpy(), right.column("value").to_numpy()
-        order = np.argsort(key, kind="stable")
-        key = key[order]
-        size = pc.list_value_length(left.column("ids")).to_numpy()
-        lo, hi = np.searchsorted(key, want), np.searchsorted(key, want, side="right")
-        _, number = np.unique(probes, axis=0, return_inverse=True)
-        number = number.ravel()
-        kept_q, kept_c, kept_d = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-        example = np.zeros(number.max() + 1, np.int64)
-        example[number] = np.arange(len(number))
-        at, most = 0, 1 << 21
-        ends = np.cumsum(hi - lo)
-        while at < len(want):  # in blocks of bounded size
-            to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most, side="right")))
-            n = (hi - lo)[at:to]
-            p = np.repeat(np.arange(at, to), n)
-            c = order[np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(lo[at:to], n)]
-            d = np.bitwise_count(codes[c] ^ probes[p]).sum(axis=1).astype(np.int64)
-            q = np.concatenate([kept_q, number[p]])
-            c, d = np.concatenate([kept_c, c]), np.concatenate([kept_d, d])
-            _, one = np.unique(q * len(codes) + c, return_index=True)
-            best = one[_best(q[one], c[one], d[one], size[c[one]], k)]
-            kept_q, kept_c, kept_d = q[best], c[best], d[best]
-            at = to
-        return pa.table({"query": right.column("query").take(pa.array(example[kept_q])), "code": left.column("code").take(pa.array(kept_c)), "distance": pa.array(kept_d, pa.int32()), "ids": left.column("ids").take(pa.array(kept_c))}) if len(kept_q) else empty
-
-    return run
-
+def _search(bits: int, k: int):
+    """One block of codes and one of queries."""
 
-_FOUND = "query array<long>, code array<long>, distance int, ids array<long>"
-
-
-def _probe(segments: list[tuple[int, int]], radii: range, shards: int):
-    """All segment values at the given distances from the query's."""
-
-    def run(batches):
-        for batch in batches:
-            codes = _matrix(batch.column(0))
-            if not len(codes):
-                continue
-            row, segment, value = [], [], []
-            for s, (lo, hi) in enumerate(segments):
-                own = _values(codes, lo, hi)
-                for r in radii:
-                    if r <= hi - lo:
-                        flips = np.array([sum(1 << b for b in c) for c in combinations(range(hi - lo), r)], np.int64)
-                        value.append((own[:, None] ^ flips).ravel())
-                        row.append(np.repeat(np.arange(len(codes)), len(flips)))
-                        segment.append(np.full(len(value[-1]), s))
-            row, segment, value = np.concatenate(row), np.concatenate(segment), np.concatenate(value)
-            value = value * len(segments) + segment
-            for at in range(0, len(row), 1 << 16):
-                part = slice(at, at + (1 << 16))
-                yield pa.RecordBatch.from_arrays([pa.array((value[part] * 0x9E3779B1 >> 7) % shards, pa.int64()), pa.array(value[part]), batch.column(0).take(pa.array(row[part]))], names=["shard", "value", "query"])
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        q = d = i = np.zeros(0, np.int64)
+        if left.num_rows and right.num_rows:
+            members = left.column("ids").combine_chunks()
+            offsets = members.offsets.to_numpy().astype(np.int64)
+            index = MultiIndex(_matrix(left.column("code")), bits)
+            q, d, i = index.nearest(_matrix(right.column("query")), members.flatten().to_numpy(), offsets - offsets[0], k + 1)
+        return pa.table({"query": right.column("query").take(pa.array(q)), "distance": pa.array(d, pa.int32()), "neighbor_id": pa.array(i, pa.int64())})
 
     return run
 
 
-def nearest(vectors: DataFrame, is_query: Column, k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+def nearest(vectors: DataFrame, is_query: Column, k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding", block_codes: int = BLOCK_CODES, block_queries: int = BLOCK_QUERIES) -> DataFrame:
     """query_id, rank (from 1), neighbor_id and distance of the k nearest other rows of each row where is_query holds."""
-    spark = vectors.sparkSession
     codes, bits = binary_codes(vectors, id_col, vector_col)
-    out_schema = "query_id long, rank int, neighbor_id long, distance int"
     if not bits:
-        return spark.createDataFrame([], out_schema)
+        return vectors.sparkSession.createDataFrame([], "query_id long, rank int, neighbor_id long, distance int")
     codes = codes.select(F.col("id").cast("long").alias("id"), "code").distinct()
     # the smallest ids of a code, gathered in two steps so that a hot code is not collected
-    parts = codes.withColumn("part", F.pmod(F.xxhash64("id"), F.lit(256)))
-    ranked = parts.groupBy("code", "part").agg(F.expr(f"slice(array_sort(collect_list(id)), 1, {k + 1})").alias("some"))
-    entries = ranked.groupBy("code").agg(F.expr(f"slice(array_sort(flatten(collect_list(some))), 1, {k + 1})").alias("ids"))
-    entries = staged(entries, "codes")
-    rows = entries.count()
+    numbered = codes.withColumn("part", F.pmod(F.xxhash64("id"), F.lit(256)))
+    ranked = numbered.withColumn("nth", F.row_number().over(Window.partitionBy("code", "part").orderBy("id"))).filter(f"nth <= {k + 1}")
+    entries = staged(ranked.groupBy("code").agg(F.expr(f"slice(array_sort(collect_list(id)), 1, {k + 1})").alias("ids")), "codes")
     queries = staged(vectors.filter(is_query).select(F.col(id_col).cast("long").alias("id")).distinct().join(codes, "id"), "queries")
     wanted = staged(queries.select(F.col("code").alias("query")).distinct(), "wanted")
-    segments = _segments(bits, rows)
-    m = len(segments)
-    shards = max(12, min(4096, rows * m // 50_000))
-
-    index = entries.mapInArrow(_index(segments, shards), "shard long, value long, code array<long>, ids array<long>")
-    index = staged(index, "index")
-    found, covered, radius = None, -1, 0
-    active = wanted
-    while active.count():
-        touched = sum(math.comb(hi - lo, r) for lo, hi in segments for r in range(radius + 1))
-        if touched > max(m, rows // LOOKUP_COST) or radius > max(hi - lo for lo, hi in segments):
-            rest = _scan_all(entries, active, k)
-            found = rest if found is None else found.join(active, "query", "left_anti").unionByName(rest)
-            break
-        probes = active.mapInArrow(_probe(segments, range(radius, radius + 1), shards), "shard long, value long, query array<long>")
-        got = index.groupBy("shard").cogroup(probes.groupBy("shard")).applyInArrow(_lookup(segments, k), _FOUND)
-        found = got if found is None else found.unionByName(got)
-        found = staged(_keep(found, k), "found")
-        covered = m * (radius + 1) - 1
-        done = found.groupBy("query").agg(F.sum(F.when(F.col("distance") <= covered, F.size("ids")).otherwise(0)).alias("n")).filter(f"n > {k}").select("query")
-        active = staged(active.join(done, "query", "left_anti"), "active")
-        radius += 1
-    if found is None:
-        return spark.createDataFrame([], out_schema)
-    near = queries.withColumnRenamed("code", "query").join(found, "query").select(F.col("id").alias("query_id"), "distance", F.explode("ids").alias("neighbor_id")).filter("neighbor_id <> query_id")
+    blocks, chunks = max(TASKS, -(-entries.count() // block_codes)), max(1, -(-wanted.count() // block_queries))
+
+    # each block of codes meets each block of queries once
+    left = entries.withColumn("block", F.pmod(F.xxhash64("code"), F.lit(blocks))).withColumn("chunk", F.explode(F.expr(f"sequence(0, {chunks - 1})")))
+    right = wanted.withColumn("chunk", F.pmod(F.xxhash64("query"), F.lit(chunks)).cast("int")).withColumn("block", F.explode(F.expr(f"sequence(0L, {blocks - 1}L)")))
+    found = left.groupBy("block", "chunk").cogroup(right.groupBy("block", "chunk")).applyInArrow(_search(bits, k), "query array<long>, distance int, neighbor_id long")
+    best = found.groupBy("query", "neighbor_id").agg(F.min("distance").alias("distance"))
+    order = Window.partitionBy("query").orderBy("distance", "neighbor_id")
+    best = best.withColumn("nth", F.row_number().over(order)).filter(f"nth <= {k + 1}").drop("nth")
+
+    near = queries.withColumnRenamed("code", "query").join(best, "query").select(F.col("id").alias("query_id"), "distance", "neighbor_id").filter("neighbor_id <> query_id")
     near = near.groupBy("query_id", "neighbor_id").agg(F.min("distance").alias("distance"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "neighbor_id"))
     return near.withColumn("rank", rank).filter(f"rank <= {k}").select("query_id", "rank", "neighbor_id", "distance")
-
-
-def _keep(found: DataFrame, k: int) -> DataFrame:
-    """Of each query's entries: those that at most k rows are strictly nearer than."""
-    nearer = F.sum(F.size("ids")).over(Window.partitionBy("query").orderBy("distance").rangeBetween(Window.unboundedPreceding, -1))
-    return found.dropDuplicates(["query", "code"]).withColumn("_n", F.coalesce(nearer, F.lit(0))).filter(f"_n <= {k}").drop("_n")
-
-
-def _index(segments: list[tuple[int, int]], shards: int):
-    def run(batches):
-        for batch in batches:
-            codes = _matrix(batch.column(0))
-            for s, (lo, hi) in enumerate(segments):
-                value = _values(codes, lo, hi) * len(segments) + s
-                yield pa.RecordBatch.from_arrays([pa.array((value * 0x9E3779B1 >> 7) % shards, pa.int64()), pa.array(value), batch.column(0), batch.column(1)], names=["shard", "value", "code", "ids"])
-
-    return run
-
-
-def _scan_all(entries: DataFrame, active: DataFrame, k: int) -> DataFrame:
-    """The nearest entries of each open query among all, queries taken along in blocks."""
-    spark = entries.sparkSession
-    n = active.count()
-    blocks = max(1, -(-n // BLOCK))
-    out = None
-    for b in range(blocks):
-        some = active if blocks == 1 else active.filter(F.pmod(F.xxhash64("query"), F.lit(blocks)) == b)
-        queries = spark.sparkContext.broadcast(np.array([r["query"] for r in some.collect()], np.int64))
-
-        def run(batches, queries=queries):
-            q = queries.value
-            kept: list[pa.Table] = []
-            for batch in batches:
-                if not batch.num_rows or not len(q):
-                    continue
-                codes = _matrix(batch.column(0))
-                size = pc.list_value_length(batch.column(1)).to_numpy(zero_copy_only=False)
-                for at in range(0, len(q), 64):
-                    part = q[at : at + 64]
-                    d = np.bitwise_count(part[:, None, :] ^ codes[None, :, :]).sum(axis=2).astype(np.int64)
-                    number, c = np.divmod(np.arange(d.size), len(codes))
-                    best = _best(number, c, d.ravel(), size[c], k)
-                    kept.append(pa.table({"query": pa.array([q[at + i].tolist() for i in number[best]], pa.list_(pa.int64())), "code": batch.column(0).take(pa.array(c[best])), "distance": pa.array(d.ravel()[best], pa.int32()), "ids": batch.column(1).take(pa.array(c[best]))}))
-            for t in kept:
-                yield from t.to_batches()
-
-        got = entries.mapInArrow(run, _FOUND)
-        out = got if out is None else out.unionByName(got)
-    return _keep(out, k)
