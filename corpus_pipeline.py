@@ -28,12 +28,8 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document of smallest id of each class, once."""
-    classes = near_dedup.near_duplicates(docs)
-    keep = classes.filter("doc_id <=> class_id").groupBy("doc_id").agg(F.count("*").alias("rows"))
-    repeated = keep.filter("rows > 1").limit(1).count()
-    kept = docs.join(keep.select(F.col("doc_id").alias("kept_id")), F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi")
-    return kept.dropDuplicates(["doc_id", "text"]) if repeated else kept
+    """Keeps one document of each class, of smallest id."""
+    return near_dedup.one_of_each_class(docs)
 
 
 def repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

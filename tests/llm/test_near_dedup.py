@@ -140,3 +140,55 @@ def test_pairs_inside_a_large_bucket(spark):
     assert np.bincount(np.unique(mark, return_inverse=True)[1]).max() > near_dedup.SMALL_LATER
     got = {x.doc_id: x.class_id for x in near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), bands=1, rows=1).collect()}
     assert got == {i: i - i % 2 if mark[i] == mark[i - i % 2] else i for i in range(300)}
+
+
+def test_links_in_crowded_buckets(spark):
+    # pages of one template: each is 0.76 to the others, but two by two they are 0.82
+    r = random.Random(10)
+    base = [f"w{r.randrange(10**6)}" for _ in range(260)]
+    rows = []
+    for i in range(300):
+        own = [f"p{i}-{j}" for j in range(12)]
+        for half in range(2):
+            rows.append((2 * i + half, " ".join([*base, *own, *(f"q{i}-{half}-{j}" for j in range(24))])))
+    a, b, c = (shingles(t) for _, t in rows[:3])
+    assert len(a & b) >= 0.8 * len(a | b) and len(a & c) < 0.8 * len(a | c)
+    got = {x.doc_id: x.class_id for x in near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), block=128).collect()}
+    assert got == {i: i - i % 2 for i in range(600)}
+
+
+def test_spanning_links_are_those_of_all_pairs():
+    r = np.random.default_rng(11)
+    base = r.integers(0, 2**32, 60).astype(np.uint32)
+    prints = [np.unique(np.concatenate([base[r.random(60) < 0.9], r.integers(0, 2**32, 4).astype(np.uint32)])) for _ in range(40)]
+    node, component = np.arange(40) + 100, np.where(np.arange(40) < 10, 100, np.arange(40) + 100)
+    for side in (np.zeros(40, np.int64), np.arange(40) % 2):
+        def classes(links):
+            name = {int(n): int(c) for n, c in zip(node, component)}
+            for x, y in links:
+                low, high = sorted((name[x], name[y]))
+                name = {n: low if c == high else c for n, c in name.items()}
+            return name
+        alike = [(i, j) for i, j in itertools.combinations(range(40), 2) if len(set(side)) == 1 or side[i] != side[j]]
+        alike = [(100 + i, 100 + j) for i, j in alike if len(np.intersect1d(prints[i], prints[j])) >= 0.8 * len(np.union1d(prints[i], prints[j]))]
+        got = near_dedup.spanning_links(node, component, prints, side, 0.8)
+        assert len(got) < 40 and classes(got) == classes(alike)
+
+
+def test_near_copies_with_null_or_equal_ids(spark):
+    r = random.Random(12)
+    text = [f"w{r.randrange(10**6)}" for _ in range(100)]
+    other = [f"w{r.randrange(10**6)}" for _ in range(100)]
+    rows = [(None, " ".join(text)), (None, " ".join(text + ["x"])), (4, " ".join(other)), (4, " ".join(other + ["x"])), (5, "z" * 10)]
+    docs = spark.createDataFrame([(i, t, 1, "n") for i, t in rows], "doc_id long, text string, row int, node string")
+    got = near_dedup.near_duplicates(docs).collect()
+    assert sorted((x.doc_id or 0, x.class_id or 0, x.class_size) for x in got) == [(0, 0, 2), (0, 0, 2), (4, 4, 2), (4, 4, 2), (5, 5, 1)]
+    kept = near_dedup.one_of_each_class(docs)
+    assert kept.columns == docs.columns and sorted(x.doc_id or 0 for x in kept.collect()) == [0, 4, 5]
+
+
+def test_long_text(spark):
+    r = random.Random(13)
+    text = [f"w{r.randrange(10**6)}" for _ in range(150_000)]
+    rows = [(1, " ".join(text)), (2, " ".join(text[:-100])), (3, "short")]
+    assert {x.doc_id: x.class_id for x in near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()} == {1: 1, 2: 1, 3: 3}

@@ -15,14 +15,14 @@ def brute(rows, k, every):
             good.append((i, tuple(x is not None and x > 0 for x in v)))
     good = sorted(set(good))
     out = []
-    for i, c in good:
-        if i % every == 0:
-            best = {}
+    for i in sorted({i for i, _ in good if i % every == 0}):
+        best = {}
+        for c in (c for j, c in good if j == i):
             for j, d in good:
                 if j != i:
-                    n = sum(a != b for a, b in zip(c, d))
+                    n = sum(x != y for x, y in zip(c, d))
                     best[j] = min(best.get(j, n), n)
-            out += [(i, n + 1, j, d) for n, (d, j) in enumerate(sorted((d, j) for j, d in best.items())[:k])]
+        out += [(i, n + 1, j, d) for n, (d, j) in enumerate(sorted((d, j) for j, d in best.items())[:k])]
     return sorted(out)
 
 

@@ -10,13 +10,22 @@ Registers are cut into bands.  Texts that share a band are compared: first by a
 then exactly, by the Jaccard similarity of their shingle sets (as 32-bit fingerprints).  Classes are the
 connected components of the links at ``threshold`` or more.
 
-Texts with the same words are one node from the start, so exact copies never meet in a bucket.  In a bucket
-all nodes are compared with its smallest node, and small buckets in full.  Buckets whose nodes are
-still in different classes after that are compared anew: small ones in full, larger ones with other nodes
-of the bucket first, and then all nodes whose classes still differ.  Only small buckets are collected.
-
-Null text counts as empty.  Wordless texts are copies of each other only if their bytes are equal.  Rows with
-equal ids are classed by their texts; a class is named by its smallest id (null if it has none).
+Texts with the same words are one node from the start, so exact copies never meet in a bucket.
+
+1. In a bucket all nodes are compared with its smallest node, and small buckets in full.
+2. Of the buckets whose nodes are still in different classes, small ones are compared in full, larger ones with
+   other nodes of the bucket.
+3. Buckets that are still open are cut into blocks of bounded size, and all pairs of blocks are counted exactly,
+   as products of their token matrices; pairs inside the bucket's largest class are left out.  A pair of blocks gives
+   a spanning forest of its links, never all of them.
+
+So no pair that shares a band stays untried.  What step 3 costs grows with the square of the nodes of a bucket that
+hang together with none of the others (templated pages just below the threshold).
+
+Null text counts as empty, whole texts are read however long.  Wordless texts are copies of each other only if their
+bytes are equal.  Rows with equal or null ids are classed by their texts; repeated rows are rows of one class; a class
+is named by its smallest id (null if it has none).  An empty table gives an empty one.  Other columns are not read,
+so clashing names do no harm.
 """
 
 from __future__ import annotations
@@ -29,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import bounded_batches, mix64, shingle_hashes, slices, span_hashes, staged, utf8, words
+from tidemark.llm.common import bounded_batches, mix64, release_memory, shingle_hashes, slices, span_hashes, staged, utf8, words
 from tidemark.llm.graph import connected_components
 
 SHINGLE, BANDS, ROWS = 5, 24, 4
@@ -37,6 +46,8 @@ SHINGLE, BANDS, ROWS = 5, 24, 4
 SMALL, SMALL_LATER = 6, 32
 #: Other nodes that a larger bucket is compared with in the second pass.
 STARS = 4
+#: Nodes of a block in the third pass, and columns of a token matrix at a time.
+BLOCK, COLUMNS = 512, 4096
 
 
 def shingle_sets(blob: np.ndarray, offsets: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[bytes]]:
@@ -106,7 +117,10 @@ def _sign(id_type: str, k: int, bands: int, rows: int):
                 row, h, _, n, digests = shingle_sets(*utf8(batch.column(1)), k)
                 marks = prob_min_hash(row, h, np.ones(len(h)), batch.num_rows, registers)
                 signed = [m.tobytes() if c else None for m, c in zip(marks, n.tolist())]
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([int.from_bytes(d[:8], "little", signed=True) for d in digests], pa.int64()), pa.array(signed, pa.binary())], names=["id", "node", "signature"])
+                # the set as 32-bit fingerprints
+                values, cut = (h >> np.uint64(32)).astype(np.uint32), np.searchsorted(row, np.arange(batch.num_rows + 1)).tolist()
+                prints = [np.unique(values[x:y]).tobytes() for x, y in zip(cut, cut[1:])]
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([int.from_bytes(d[:8], "little", signed=True) for d in digests], pa.int64()), pa.array(signed, pa.binary()), pa.array(prints, pa.binary())], names=["id", "row", "node", "signature", "prints"])
 
     return run
 
@@ -142,20 +156,6 @@ def _alike(registers: int, threshold: float):
     return F.lit(n) - F.bit_count(F.col("s0").bitwiseXOR(F.col("t0"))) - F.bit_count(F.col("s1").bitwiseXOR(F.col("t1"))) >= least
 
 
-def _fingerprints(k: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for batch in slices(whole, 0):
-                row, h, _, _, digests = shingle_sets(*utf8(batch.column(0)), k)
-                node = [int.from_bytes(d[:8], "little", signed=True) for d in digests]
-                values = (h >> np.uint64(32)).astype(np.uint32)
-                cut = np.searchsorted(row, np.arange(batch.num_rows + 1))
-                keep = [i for i, (x, y) in enumerate(zip(node, batch.column(1).to_pylist())) if x == y]
-                yield pa.RecordBatch.from_arrays([pa.array([node[i] for i in keep], pa.int64()), pa.array([np.unique(values[cut[i] : cut[i + 1]]).tobytes() for i in keep], pa.binary())], names=["node", "prints"])
-
-    return run
-
-
 def _verify(threshold: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -174,13 +174,98 @@ def _verify(threshold: float):
     return run
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8, shingle: int = SHINGLE, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+def spanning_links(node: np.ndarray, component: np.ndarray, prints: list[np.ndarray], side: np.ndarray, threshold: float) -> list[tuple[int, int]]:
+    """A spanning forest of the links between the classes of one block (side is constant), or across the two sides.
+
+    The common fingerprints of all pairs are counted by products of 0/1 matrices, some columns at a time.
+    """
+    size = np.array([len(p) for p in prints], np.int64)
+    owner = np.repeat(np.arange(len(prints)), size)
+    value, column, times = np.unique(np.concatenate(prints), return_inverse=True, return_counts=True)
+    column = np.where(times > 1, np.cumsum(times > 1) - 1, -1)[column]
+    keep = column >= 0
+    owner, column = owner[keep], column[keep]
+    order = np.argsort(column, kind="stable")
+    owner, column = owner[order], column[order]
+    x, y = (np.flatnonzero(side == v) for v in (side.min(), side.max()))
+    common = np.zeros((len(x), len(y)), np.float32)
+    for lo in range(0, int(column[-1]) + 1 if len(column) else 0, COLUMNS):
+        a, b = np.searchsorted(column, (lo, lo + COLUMNS))
+        has = np.zeros((len(prints), COLUMNS), np.float32)
+        has[owner[a:b], column[a:b] - lo] = 1
+        common += has[x] @ has[y].T
+    linked = common >= threshold * (size[x][:, None] + size[y] - common) - 1e-9
+    linked &= component[x][:, None] != component[y]
+    # links of one node to many: union by smallest root
+    parent: dict[int, int] = {}
+
+    def find(v: int) -> int:
+        while parent.setdefault(v, v) != v:
+            parent[v] = v = parent[parent[v]]
+        return v
+
+    out = []
+    for i, j in zip(*(v.tolist() for v in np.nonzero(linked))):
+        r, q = find(int(component[x[i]])), find(int(component[y[j]]))
+        if r != q:
+            parent[max(r, q)] = min(r, q)
+            out.append((int(node[x[i]]), int(node[y[j]])))
+    return out
+
+
+def _blocks(threshold: float):
+    def run(table: pa.Table) -> pa.Table:
+        release_memory()
+        node, component, side = (table.column(c).to_numpy() for c in ("node", "component", "block"))
+        links = spanning_links(node, component, [np.frombuffer(p, np.uint32) for p in table.column("prints").to_pylist()], side, threshold)
+        a, b = zip(*links) if links else ((), ())
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return run
+
+
+def _open_links(nodes: DataFrame, prints: DataFrame, threshold: float, block: int) -> DataFrame:
+    """Links between the classes of each bucket.  nodes: bucket, node, component.
+
+    The largest class of a bucket has blocks of its own, and these are not compared with each other.
+    """
+    sizes = nodes.groupBy("bucket", "component").agg(F.count("*").alias("n"))
+    main = sizes.groupBy("bucket").agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.max("n").alias("n_main"), F.sum("n").alias("n"))
+    dealt = nodes.join(main, "bucket").withColumn("in_main", F.col("component") == F.col("main"))
+    # blocks of the others come first: 0 to others - 1
+    others, mains = (F.ceil(F.col(n) / block).cast("int") for n in ("n_rest", "n_main"))
+    dealt = dealt.withColumn("n_rest", F.col("n") - F.col("n_main")).withColumn("others", others).withColumn("mains", mains)
+    dealt = dealt.withColumn("block", F.when(F.col("in_main"), F.col("others") + F.pmod(F.xxhash64("node"), F.col("mains"))).otherwise(F.pmod(F.xxhash64("node"), F.col("others"))).cast("int"))
+    partner = F.when(F.col("in_main"), F.sequence(F.lit(0), F.col("others") - 1)).otherwise(F.sequence(F.lit(0), F.col("others") + F.col("mains") - 1))
+    met = dealt.withColumn("partner", F.explode(partner)).select("bucket", "node", "component", "block", F.least("block", "partner").alias("i"), F.greatest("block", "partner").alias("j"))
+    return met.join(prints, "node").groupBy("bucket", "i", "j").applyInArrow(_blocks(threshold), "a long, b long")
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8, shingle: int = SHINGLE, bands: int = BANDS, rows: int = ROWS, block: int = BLOCK) -> DataFrame:
     """One row per row of docs: id, class_id (smallest id of its class) and class_size (rows of the class)."""
+    return _classes(docs, id_col, text_col, threshold, shingle, bands, rows, block).select(F.col("id").alias(id_col), "class_id", "class_size")
+
+
+def one_of_each_class(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """The rows of docs but for near copies: of each class one row of smallest id stays (null ids last)."""
+    options = {"threshold": 0.8, "shingle": SHINGLE, "bands": BANDS, "rows": ROWS, "block": BLOCK} | options
+    placed = staged(docs.withColumn(_PLACE, F.monotonically_increasing_id()), "placed")
+    classes = _classes(placed, id_col, text_col, **options, place=_PLACE)
+    first = classes.groupBy("component").agg(F.min_by("row", F.struct(F.col("id").isNull(), "id", "row")).alias(_PLACE))
+    return placed.join(first.select(_PLACE), _PLACE, "left_semi").select(docs.columns)
+
+
+_PLACE = "_near_dedup_row"
+
+
+def _classes(docs: DataFrame, id_col: str, text_col: str, threshold: float, shingle: int, bands: int, rows: int, block: int, place: str | None = None) -> DataFrame:
+    """id, row, component, class_id, class_size of every row of docs."""
     kind = docs.schema[id_col].dataType.simpleString()
     bounded_batches(docs.sparkSession)
     registers = bands * rows
-    signed = staged(docs.select(id_col, text_col).mapInArrow(_sign(kind, shingle, bands, rows), f"id {kind}, node long, signature binary"), "signed")
-    nodes = signed.groupBy("node").agg(F.min("id").alias("rep"), F.first("signature", ignorenulls=True).alias("signature"))
+    numbered = docs.select(F.col(id_col), F.col(text_col), F.col(place) if place else F.monotonically_increasing_id())
+    signed = staged(numbered.mapInArrow(_sign(kind, shingle, bands, rows), f"id {kind}, row long, node long, signature binary, prints binary"), "signed")
+    nodes = signed.groupBy("node").agg(F.min("row").alias("row"), F.first("signature", ignorenulls=True).alias("signature"))
     banded = staged(nodes.filter("signature is not null").select("node", "signature").mapInArrow(_band(bands, rows), "bucket long, node long, s0 long, s1 long"), "bands")
 
     sized = banded.groupBy("bucket").agg(F.count("*").alias("n"), F.min(F.struct("node", "s0", "s1")).alias("star")).filter("n > 1")
@@ -188,10 +273,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     star = shared.select(F.col("star.node").alias("a"), F.col("star.s0").alias("t0"), F.col("star.s1").alias("t1"), F.col("node").alias("b"), "s0", "s1").filter("a < b").filter(_alike(registers, threshold))
     first = star.select("a", "b").unionByName(_full(shared.filter(f"n > 2 and n <= {SMALL}"), registers, threshold)).distinct()
 
-    # the texts of all nodes that share a bucket with a similar one, as sets of fingerprints
-    wanted = shared.select("node").distinct().join(signed.groupBy("node").agg(F.min("id").alias("id")), "node")
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t")).join(wanted, "id").select("t", "node")
-    prints = staged(texts.mapInArrow(_fingerprints(shingle), "node long, prints binary").dropDuplicates(["node"]), "prints")
+    # the sets of all nodes that share a bucket, one row of each node
+    wanted = shared.select("node").distinct().join(signed.groupBy("node").agg(F.min("row").alias("row")), "node").select("row")
+    prints = staged(signed.select("row", "node", "prints").join(wanted, "row").select("node", "prints"), "prints")
 
     def verified(pairs: DataFrame) -> DataFrame:
         x, y = prints.select(F.col("node").alias("a"), F.col("prints").alias("x")), prints.select(F.col("node").alias("b"), F.col("prints").alias("y"))
@@ -207,21 +291,19 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     more = open_.filter(f"n > {SMALL_LATER}").withColumn("star", stars).filter("star.component <> component").select(F.col("star.node").alias("a"), F.col("star.s0").alias("t0"), F.col("star.s1").alias("t1"), F.col("node").alias("b"), "s0", "s1").filter(_alike(registers, threshold))
     more = more.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).unionByName(_full(open_.filter(f"n <= {SMALL_LATER}"), registers, threshold)).distinct()
     again = verified(more.join(tried, ["a", "b"], "left_anti"))
-    tried = tried.unionByName(again)
-    classes = connected_components(tried.filter("linked"))
+    links = tried.unionByName(again).filter("linked").select("a", "b")
+    classes = connected_components(links)
     # third pass: all pairs of different classes that the stars of larger buckets left untried
-    rest = open_.filter(f"n > {SMALL_LATER}").select("bucket", "node", "s0", "s1").join(classes, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    rest = open_.filter(f"n > {SMALL_LATER}").select("bucket", "node").join(classes, "node", "left").withColumn("component", F.coalesce("component", "node"))
     still = rest.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("bucket")
-    rest = staged(rest.join(still, "bucket", "left_semi"), "rest")
+    rest = staged(rest.join(still, "bucket", "left_semi").select("bucket", "node", "component"), "rest")
     if not rest.isEmpty():
-        x = rest.select("bucket", F.col("node").alias("a"), F.col("s0").alias("t0"), F.col("s1").alias("t1"), F.col("component").alias("other"))
-        across = rest.join(x, "bucket").filter("a < node and other <> component").filter(_alike(registers, threshold))
-        last = verified(across.select("a", F.col("node").alias("b")).distinct().join(tried, ["a", "b"], "left_anti"))
-        classes = connected_components(tried.unionByName(last).filter("linked"))
+        last = staged(_open_links(rest, prints, threshold, block), "last")
+        classes = connected_components(links.unionByName(last))
 
-    rows_ = signed.select("id", "node").join(classes, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    rows_ = signed.select("id", "row", "node").join(classes, "node", "left").withColumn("component", F.coalesce("component", "node"))
     named = rows_.groupBy("component").agg(F.min("id").alias("class_id"), F.count("*").alias("class_size"))
-    return rows_.join(named, "component").select(F.col("id").alias(id_col), "class_id", "class_size")
+    return rows_.join(named, "component")
 
 
 def _full(buckets: DataFrame, registers: int, threshold: float) -> DataFrame:
