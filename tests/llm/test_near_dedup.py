@@ -148,9 +148,9 @@ def test_links_in_crowded_buckets(spark):
     base = [f"w{r.randrange(10**6)}" for _ in range(260)]
     rows = []
     for i in range(300):
-        own = [f"p{i}-{j}" for j in range(12)]
+        own = [f"p{i}x{j}" for j in range(12)]
         for half in range(2):
-            rows.append((2 * i + half, " ".join([*base, *own, *(f"q{i}-{half}-{j}" for j in range(24))])))
+            rows.append((2 * i + half, " ".join([*base, *own, *(f"q{i}x{half}x{j}" for j in range(26))])))
     a, b, c = (shingles(t) for _, t in rows[:3])
     assert len(a & b) >= 0.8 * len(a | b) and len(a & c) < 0.8 * len(a | c)
     got = {x.doc_id: x.class_id for x in near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), block=128).collect()}
