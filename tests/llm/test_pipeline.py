@@ -41,3 +41,26 @@ def test_empty(spark, tmp_path):
     spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_clashing_columns_nulls_ties_and_long_texts(spark, tmp_path):
+    r = random.Random(2)
+    text = lambda n: " ".join("".join(r.choice("aeioutnrs") for _ in range(r.randint(2, 8))) for _ in range(n))
+    long = text(200_000)
+    extra = ["score", "Contaminated", "n_removed", "kept_text", "lang_pred", "input_score", "spans", "piece", "row", "node", "item_ids", "_y"]
+    rows = [(i, text(60), "en", "s", 1) for i in range(20)]
+    rows += [(None, rows[0][1] + " more", "en", "s", 1), (None, text(50), None, "s", 1), (20, long, "en", "s", 1), (21, long + " end", "en", None, 1), (22, rows[1][1], "en", "s", 1), (1, rows[1][1], "en", "s", 1)]
+    schema = "doc_id long, text string, lang string, source string, n_chars int, " + ", ".join(f"{c} string" for c in extra)
+    docs = spark.createDataFrame([(*x, *(f"{c}{x[0]}" for c in extra)) for x in rows], schema)
+    spark.createDataFrame([(1, rows[2][1])], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        path = f"{tmp_path}/{name}"
+        stage(spark, docs, str(tmp_path)).write.parquet(path)
+        now = spark.read.parquet(path)
+        assert now.schema.simpleString() == docs.schema.simpleString()
+        docs = now
+    got = docs.collect()
+    assert sorted(x.doc_id if x.doc_id is not None else -1 for x in got) == [-1, *(i for i in range(21) if i != 2)]
+    assert all(x[c] == f"{c}{x.doc_id}" for x in got for c in extra)
+    packed = corpus_pipeline.STAGES[-1][1](spark, docs, str(tmp_path))
+    assert {x.doc_id for x in packed.collect()} == {x.doc_id for x in got}

@@ -6,6 +6,7 @@ import ctypes
 import os
 import tempfile
 import uuid
+from collections.abc import Iterable
 
 import numpy as np
 import pyarrow as pa
@@ -155,6 +156,24 @@ def shingle_hashes(word_hash: np.ndarray, first: np.ndarray, k: int) -> tuple[np
     return h[keep], np.concatenate([[0], np.cumsum(np.maximum(count - k + 1, np.minimum(count, 1)))])
 
 
+def kept_names(keep: Iterable[str], results: Iterable[str]) -> dict[str, str]:
+    """The names that carried columns have beside result columns: their own, or ``input_<name>`` where they clash."""
+    keep, taken, out = list(dict.fromkeys(keep)), {r.lower() for r in results}, {}
+    own = {c.lower() for c in keep}
+    for c in keep:
+        name = c
+        while name.lower() in taken or name != c and name.lower() in own:
+            name = f"input_{name}"
+        taken.add(name.lower())
+        out[c] = name
+    return out
+
+
+def named(docs: DataFrame, names: dict[str, str]) -> DataFrame:
+    """The columns of names, under their new names."""
+    return docs.select(*(F.col(f"`{c}`").alias(n) for c, n in names.items()))
+
+
 #: Rows of text that cross to Python at a time, at most.
 BATCH_ROWS = 2000
 

@@ -7,7 +7,9 @@ of many text segments advance together as numpy arrays.
 
 The patterns come in blocks of bounded size, one scan of the documents each, so that what is broadcast does
 not grow with the benchmark.  Null or wordless texts hit nothing; null or wordless items and items without id
-have no windows.  Equal windows of several items report all of them.
+have no windows.  Equal windows of several items report all of them.  Whole texts are searched, however long;
+repeated rows and rows of equal or null ids get a result each; an empty table gives an empty one, and an empty
+benchmark hits nothing.  Columns that are not asked for are not read, so clashing names do no harm.
 """
 
 from __future__ import annotations
@@ -20,13 +22,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tidemark.llm.common import WORD_PATTERN, slices, span_hashes, utf8, words
+from tidemark.llm.common import WORD_PATTERN, bounded_batches, kept_names, named, slices, span_hashes, utf8, words
 
 _WORD = re.compile(WORD_PATTERN)
 _TABLE_BITS = 18
 #: Bytes of benchmark text whose patterns are compiled, broadcast and searched in one scan.
-BLOCK_BYTES = 32 << 20
+BLOCK_BYTES = 8 << 20
+RESULTS = ("n_words", "n_hit", "n_items", "items_sha256", "contaminated", "item_ids")
 _SEGMENT = 256
 
 
@@ -121,19 +125,24 @@ def scan(column: pa.Array, patterns: Patterns) -> tuple[np.ndarray, np.ndarray,
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = 10, keep: tuple[str, ...] = (), block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """id, n_words, n_hit, n_items, items_sha256, contaminated and item_ids of every document; keep: columns to carry along."""
+    """id, n_words, n_hit, n_items, items_sha256, contaminated and item_ids of every document; keep: columns to carry along.
+
+    A carried column that is named like a result comes as ``input_<name>``.
+    """
     spark = docs.sparkSession
-    columns = list(dict.fromkeys([id_col, text_col, *keep]))
+    bounded_batches(spark)
+    names = kept_names([id_col, text_col, *keep], [*RESULTS, "spans"])
+    docs, columns, text = named(docs, names), list(names.values()), names[text_col]
     items = benchmark.select(F.col(item_col).alias("k"), F.col(item_text_col).alias("t")).filter("k is not null and t is not null")
     total = items.agg(F.sum(F.octet_length("t"))).first()[0] or 0
     blocks = max(1, -(-total // block_bytes))
-    head = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in columns)
-    held = docs.select(*columns)
+    scanned = T.StructType([*docs.schema, T.StructField("n_words", T.LongType()), T.StructField("spans", T.BinaryType()), T.StructField("item_ids", T.ArrayType(T.StringType()))])
+    held = docs
     for b in range(blocks):
         some = items if blocks == 1 else items.filter(F.pmod(F.xxhash64("k"), F.lit(blocks)) == b)
         patterns = spark.sparkContext.broadcast(Patterns([tuple(r) for r in some.collect()], window))
-        held = held.mapInArrow(_scanner(columns.index(text_col), len(columns), patterns, b == 0), head + ", n_words long, spans binary, item_ids array<string>")
-    out = [c for c in columns if c != text_col or c in keep]
+        held = held.mapInArrow(_scanner(columns.index(text), len(columns), patterns, b == 0), scanned)
+    out = [n for c, n in names.items() if c != text_col or c in keep]
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -148,13 +157,14 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
                 sha.append(hashlib.sha256(",".join(sorted(i)).encode()).hexdigest())
             yield pa.RecordBatch.from_arrays(
                 [*(batch.column(c) for c in out), batch.column("n_words"), pa.array(hit, pa.int64()), pa.array(n, pa.int64()), pa.array(sha), pa.array([x > 0 for x in hit]), batch.column("item_ids")],
-                names=[*out, "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "item_ids"],
+                names=[*out, *RESULTS],
             )
 
-    head = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in out)
+    kinds = (T.LongType(), T.LongType(), T.LongType(), T.StringType(), T.BooleanType(), T.ArrayType(T.StringType()))
+    schema = T.StructType([*(docs.schema[c] for c in out), *(T.StructField(n, t) for n, t in zip(RESULTS, kinds))])
     if blocks == 1:  # in one pass over the rows
-        return docs.select(*columns).mapInArrow(lambda it: finish(_scanner(columns.index(text_col), len(columns), patterns, True)(it)), head + ", n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, item_ids array<string>")
-    return held.mapInArrow(finish, head + ", n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, item_ids array<string>")
+        return docs.mapInArrow(lambda it: finish(_scanner(columns.index(text), len(columns), patterns, True)(it)), schema)
+    return held.mapInArrow(finish, schema)
 
 
 def _scanner(text: int, width: int, patterns, first: bool):

@@ -5,8 +5,10 @@ give a matrix of log-probabilities, which is broadcast (languages x buckets x 4
 scored in numpy as sparse sums of its entries.  Learning takes a bounded sample of the labelled rows
 (``max_per_class`` of each language, by a hash of the id); prediction reads every whole text.
 
-A null text or one without a letter gets ``und`` and score 0, as do all if nothing is labelled.  Ids may
-repeat or be null; other columns are not read.
+A null, empty or letterless text gets ``und`` and score 0, as do all if nothing is labelled.  Of languages with equal
+scores the first by name wins.  Long texts are scored as a whole.  Ids may repeat or be null, repeated rows get a
+result each, and an empty table an empty one.  Columns that are not asked for are not read; one of ``keep`` that is
+named like a result comes as ``input_<name>``.
 """
 
 from __future__ import annotations
@@ -17,13 +19,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tidemark.llm.common import slices
+from tidemark.llm.common import bounded_batches, kept_names, named, slices
 
 BUCKET_BITS, ORDERS = 16, (1, 2, 3)
 #: Rows of a language that are learned from, about; and languages at most.
 MAX_PER_CLASS, MAX_CLASSES = 8_000, 500
 UNKNOWN = "und"
+RESULTS = ("lang_pred", "score")
 
 
 def buckets(texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -67,7 +71,7 @@ class Model:
 
 
 def train(labelled: DataFrame, id_col: str, text_col: str, label_col: str, max_per_class: int = MAX_PER_CLASS) -> Model:
-    """Learns from labelled rows; the counts are summed by Spark, a vector of buckets by language and task."""
+    """Learns from labelled rows; Spark sums the counts by language and bucket."""
     labelled = labelled.filter(F.col(label_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).alias("i"), F.col(text_col).alias("t"), F.col(label_col).cast("string").alias("l"))
     sizes = {r["l"]: r["n"] for r in labelled.groupBy("l").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "l").limit(MAX_CLASSES + 1).collect()}
     if len(sizes) > MAX_CLASSES:
@@ -91,29 +95,32 @@ def train(labelled: DataFrame, id_col: str, text_col: str, label_col: str, max_p
                             got = own.setdefault(name, np.zeros(1 << BUCKET_BITS, np.int64))
                             got += np.bincount(bucket, minlength=len(got))
                             got -= np.bincount(bucket[over], minlength=len(got))
-            yield pa.RecordBatch.from_arrays([pa.array(list(own), pa.string()), pa.array([v.tobytes() for v in own.values()], pa.binary())], names=["l", "counts"])
-
-        def add(table: pa.Table) -> pa.Table:
-            total = sum(np.frombuffer(b, np.int64) for b in table.column("counts").to_pylist())
-            return pa.table({"l": table.column("l")[:1], "counts": pa.array([total.tobytes()], pa.binary())})
-
-        for r in sample.mapInArrow(count, "l string, counts binary").groupBy("l").applyInArrow(add, "l string, counts binary").collect():
-            counts[labels.index(r["l"])] = np.frombuffer(r["counts"], np.int64)
+            for name, got in own.items():
+                at = np.flatnonzero(got)
+                yield pa.RecordBatch.from_arrays([pa.array([name] * len(at), pa.string()), pa.array(at.astype(np.int32)), pa.array(got[at])], names=["l", "bucket", "n"])
+
+        # labels times buckets, however many rows are learned from
+        found = sample.mapInArrow(count, "l string, bucket int, n long").groupBy("l", "bucket").agg(F.sum("n").alias("n")).toArrow()
+        row = np.array([labels.index(x) for x in found.column("l").to_pylist()], np.int64)
+        counts[row, found.column("bucket").to_numpy()] = found.column("n").to_numpy()
     return Model(labels, counts, np.array([sizes[x] for x in labels], float))
 
 
 def identify(docs: DataFrame, model: Model, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The columns of keep, and lang_pred and score of every row."""
+    """The columns of keep (input_<name> where they clash with the results), and lang_pred and score of every row."""
+    bounded_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    columns = list(dict.fromkeys([*keep, text_col]))
+    names = kept_names([*keep, text_col], RESULTS)
+    text, out = names[text_col], [names[c] for c in dict.fromkeys(keep)]
+    rows = named(docs, names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in slices(whole, columns.index(text_col), 1 << 20):
-                names, score = shared.value.predict([t or "" for t in batch.column(text_col).to_pylist()])
-                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(names, pa.string()), pa.array(score, pa.float64())], names=[*keep, "lang_pred", "score"])
+            for batch in slices(whole, whole.schema.get_field_index(text), 1 << 20):
+                found, score = shared.value.predict([t or "" for t in batch.column(text).to_pylist()])
+                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in out), pa.array(found, pa.string()), pa.array(score, pa.float64())], names=[*out, *RESULTS])
 
-    return docs.select(*columns).mapInArrow(run, ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep) + ", lang_pred string, score double")
+    return rows.mapInArrow(run, T.StructType([*(rows.schema[c] for c in out), T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]))
 
 
 def identify_languages(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang", keep: tuple[str, ...] | None = None, max_per_class: int = MAX_PER_CLASS) -> DataFrame:

@@ -20,7 +20,8 @@ Texts cross the network twice, as compressed blocks.  A copied passage costs one
 hot passages are pre-aggregated before any shuffle, and no bucket holds a text more than once per batch.
 
 Null text counts as empty.  A null id counts as larger than all others.  Rows with equal ids do not cover
-each other; equal ids with different texts are told apart by a hash of the text.
+each other; equal ids with different texts are told apart by a hash of the text.  Repeated rows get a result each.
+Whole texts are read, however long; one shorter than the window is left as it is.  An empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -34,8 +35,10 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
-from tidemark.llm.common import bounded_batches, mix64, release_memory, slices, staged, utf8
+from tidemark.llm.common import bounded_batches, kept_names, mix64, named, release_memory, slices, staged, utf8
 
 K = 16
 #: Text behind one bucket task, behind one group of documents, and settled at a time by the first pass.
@@ -46,6 +49,7 @@ PERIOD = 16
 _IN_COVER = np.isin(np.arange(PERIOD), COVER)
 _OFFSET = np.array([[next(d for d in range(PERIOD) if _IN_COVER[(a + d) % PERIOD] and _IN_COVER[(b + d) % PERIOD]) for b in range(PERIOD)] for a in range(PERIOD)])
 _BIG = np.iinfo(np.int64).max
+RESULTS = ("n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text")
 _DECISIONS = "dg int, mixed boolean, docs binary, entries binary"
 
 
@@ -470,12 +474,10 @@ def _finish(names: list[str], text: str, out_text: bool, schema: pa.Schema):
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 50, keep: tuple[str, ...] = (), kept_text: bool = False, bucket_bytes: int = BUCKET_BYTES, group_bytes: int = GROUP_BYTES) -> DataFrame:
     """id, the columns of keep, n_bytes, n_removed, n_spans, kept_sha256 and, on demand, kept_text (broken characters left out).
 
-    id_col must be an integer column.
+    id_col must be an integer column.  A column of keep that is named like a result comes as ``input_<name>``.
     """
     if window < 24:
         raise ValueError("windows of 24 bytes or more")
-    from pyspark.sql.pandas.types import to_arrow_schema
-
     bounded_batches(docs.sparkSession)
     pair = docs.select(id_col, text_col)
     total = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
@@ -485,8 +487,10 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     marked = staged(packed.groupBy("dg").cogroup(decisions.groupBy("dg")).applyInArrow(_mark(window, buckets, groups, text_col), _MARKED), "repeats")
     sorted_ = marked.filter("bytes").groupBy("key").applyInArrow(_sort(window, groups), _MARKED)
     spans = marked.filter("not bytes").unionByName(sorted_).select(F.col("key").alias("dg"), "docs", "entries")
-    names = list(dict.fromkeys([id_col, *keep]))
-    rows = docs.select(*dict.fromkeys([id_col, text_col, *keep])).mapInArrow(_pack(groups), "dg int, rows binary")
-    ddl = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in names) + ", n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept_text string" * kept_text
-    schema = to_arrow_schema(docs.sparkSession.createDataFrame([], ddl).schema)
-    return rows.groupBy("dg").cogroup(spans.groupBy("dg")).applyInArrow(_finish(names, text_col, kept_text, schema), ddl)
+    names = kept_names([id_col, text_col, *keep], RESULTS)
+    carried = named(docs, names)
+    out = [n for c, n in names.items() if c != text_col or c in keep]
+    kinds = (T.LongType(), T.LongType(), T.LongType(), T.StringType(), T.StringType())
+    schema = T.StructType([*(carried.schema[c] for c in out), *(T.StructField(n, t) for n, t in list(zip(RESULTS, kinds))[: 4 + kept_text])])
+    rows = carried.mapInArrow(_pack(groups), "dg int, rows binary")
+    return rows.groupBy("dg").cogroup(spans.groupBy("dg")).applyInArrow(_finish(out, names[text_col], kept_text, to_arrow_schema(schema)), schema)
