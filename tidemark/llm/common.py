@@ -199,14 +199,27 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return spark.sparkContext.getCheckpointDir()
 
 
-def staged(df: DataFrame, name: str) -> DataFrame:
-    """Writes df as a table in the shared folder and reads it again: cuts lineage, survives lost executors."""
+def staged(df: DataFrame, name: str, scratch: list[str] | None = None) -> DataFrame:
+    """Writes df as a table in the shared folder and reads it again: cuts lineage, survives lost executors.
+
+    scratch gets the path of a table that its maker will discard.
+    """
     spark = df.sparkSession
     path = os.path.join(checkpoint_dir(spark), f"llm-{name}-{uuid.uuid4().hex}")
     df.write.parquet(path)
+    if scratch is not None:
+        scratch.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(spark: SparkSession, scratch: list[str]) -> None:
+    """Deletes tables that nothing reads any more."""
+    for path in scratch:
+        place = spark._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+    scratch.clear()
+
+
 def held_out(doc_id: str, folds: int, fold: int) -> Column:
     """Whether crc32 of the id as text falls into the fold that is never learned from."""
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % folds == fold, F.lit(False))

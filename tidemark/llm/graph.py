@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import staged
+from tidemark.llm.common import discard, staged
 
 
 def connected_components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -16,7 +16,8 @@ def connected_components(links: DataFrame, a: str = "a", b: str = "b") -> DataFr
     a join with it, so a node with very many links is split like any skewed key.
     """
     edges = links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).filter("u <> v").distinct()
-    edges = staged(edges, "edges")
+    old: list[str] = []
+    edges = staged(edges, "edges", old)
 
     def state(e: DataFrame) -> tuple:
         return tuple(e.agg(F.count("*"), F.sum(F.pmod(F.xxhash64("u", "v"), F.lit(1 << 40)))).first())
@@ -26,10 +27,13 @@ def connected_components(links: DataFrame, a: str = "a", b: str = "b") -> DataFr
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
         large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = staged(large.filter("u <> v").distinct(), "large")
+        large = staged(large.filter("u <> v").distinct(), "large", old)
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
-        edges = staged(small.filter("u <> v").distinct(), "small")
+        new: list[str] = []
+        edges = staged(small.filter("u <> v").distinct(), "small", new)
+        discard(links.sparkSession, old)
+        old = new
         before, now = now, state(edges)
         if before == now:
             break

@@ -35,10 +35,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import bounded_batches, mix64, release_memory, shingle_hashes, slices, span_hashes, staged, utf8, words
+from tidemark.llm.common import bounded_batches, discard, mix64, release_memory, shingle_hashes, slices, span_hashes, staged, utf8, words
 from tidemark.llm.graph import connected_components
 
 SHINGLE, BANDS, ROWS = 5, 24, 4
@@ -120,7 +120,7 @@ def _sign(id_type: str, k: int, bands: int, rows: int):
                 # the set as 32-bit fingerprints
                 values, cut = (h >> np.uint64(32)).astype(np.uint32), np.searchsorted(row, np.arange(batch.num_rows + 1)).tolist()
                 prints = [np.unique(values[x:y]).tobytes() for x, y in zip(cut, cut[1:])]
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([int.from_bytes(d[:8], "little", signed=True) for d in digests], pa.int64()), pa.array(signed, pa.binary()), pa.array(prints, pa.binary())], names=["id", "row", "node", "signature", "prints"])
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), batch.column(3), pa.array([int.from_bytes(d[:8], "little", signed=True) for d in digests], pa.int64()), pa.array(signed, pa.binary()), pa.array(prints, pa.binary())], names=["id", "row", "key", "node", "signature", "prints"])
 
     return run
 
@@ -249,44 +249,53 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def one_of_each_class(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The rows of docs but for near copies: of each class one row of smallest id stays (null ids last)."""
     options = {"threshold": 0.8, "shingle": SHINGLE, "bands": BANDS, "rows": ROWS, "block": BLOCK} | options
-    placed = staged(docs.withColumn(_PLACE, F.monotonically_increasing_id()), "placed")
-    classes = _classes(placed, id_col, text_col, **options, place=_PLACE)
-    first = classes.groupBy("component").agg(F.min_by("row", F.struct(F.col("id").isNull(), "id", "row")).alias(_PLACE))
-    return placed.join(first.select(_PLACE), _PLACE, "left_semi").select(docs.columns)
+    scratch: list[str] = []
+    # rows are known by a hash of their columns (maps have none)
+    hashed = F.xxhash64(*(F.col(f"`{f.name}`") for f in docs.schema if "map<" not in f.dataType.simpleString()))
+    classes = _classes(docs, id_col, text_col, **options, key=hashed, scratch=scratch)
+    first = classes.groupBy("component").agg(F.min_by("key", F.struct(F.col("id").isNull(), "id", "row")).alias(_KEY))
+    times = classes.groupBy(F.col("key").alias(_KEY)).agg(F.count("*").alias("times"))
+    kept = staged(first.join(times, _KEY), "kept")
+    discard(docs.sparkSession, scratch)
+    out = docs.withColumn(_KEY, hashed).join(kept.select(_KEY), _KEY, "left_semi")
+    if not kept.filter("times > 1").isEmpty():  # rows alike in all columns
+        out = out.dropDuplicates([_KEY])
+    return out.select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
-_PLACE = "_near_dedup_row"
+_KEY = "_near_dedup_key"
 
 
-def _classes(docs: DataFrame, id_col: str, text_col: str, threshold: float, shingle: int, bands: int, rows: int, block: int, place: str | None = None) -> DataFrame:
-    """id, row, component, class_id, class_size of every row of docs."""
+def _classes(docs: DataFrame, id_col: str, text_col: str, threshold: float, shingle: int, bands: int, rows: int, block: int, key: Column | None = None, scratch: list[str] | None = None) -> DataFrame:
+    """id, row, key, component, class_id, class_size of every row of docs; scratch gets the tables that these are read from."""
     kind = docs.schema[id_col].dataType.simpleString()
     bounded_batches(docs.sparkSession)
     registers = bands * rows
-    numbered = docs.select(F.col(id_col), F.col(text_col), F.col(place) if place else F.monotonically_increasing_id())
-    signed = staged(numbered.mapInArrow(_sign(kind, shingle, bands, rows), f"id {kind}, row long, node long, signature binary, prints binary"), "signed")
+    own: list[str] = []
+    numbered = docs.select(F.col(id_col), F.col(text_col), F.monotonically_increasing_id(), F.lit(0).cast("long") if key is None else key)
+    signed = staged(numbered.mapInArrow(_sign(kind, shingle, bands, rows), f"id {kind}, row long, key long, node long, signature binary, prints binary"), "signed", scratch)
     nodes = signed.groupBy("node").agg(F.min("row").alias("row"), F.first("signature", ignorenulls=True).alias("signature"))
-    banded = staged(nodes.filter("signature is not null").select("node", "signature").mapInArrow(_band(bands, rows), "bucket long, node long, s0 long, s1 long"), "bands")
+    banded = staged(nodes.filter("signature is not null").select("node", "signature").mapInArrow(_band(bands, rows), "bucket long, node long, s0 long, s1 long"), "bands", own)
 
     sized = banded.groupBy("bucket").agg(F.count("*").alias("n"), F.min(F.struct("node", "s0", "s1")).alias("star")).filter("n > 1")
-    shared = staged(banded.join(sized, "bucket"), "buckets")
+    shared = staged(banded.join(sized, "bucket"), "buckets", own)
     star = shared.select(F.col("star.node").alias("a"), F.col("star.s0").alias("t0"), F.col("star.s1").alias("t1"), F.col("node").alias("b"), "s0", "s1").filter("a < b").filter(_alike(registers, threshold))
     first = star.select("a", "b").unionByName(_full(shared.filter(f"n > 2 and n <= {SMALL}"), registers, threshold)).distinct()
 
     # the sets of all nodes that share a bucket, one row of each node
     wanted = shared.select("node").distinct().join(signed.groupBy("node").agg(F.min("row").alias("row")), "node").select("row")
-    prints = staged(signed.select("row", "node", "prints").join(wanted, "row").select("node", "prints"), "prints")
+    prints = staged(signed.select("row", "node", "prints").join(wanted, "row").select("node", "prints"), "prints", own)
 
     def verified(pairs: DataFrame) -> DataFrame:
         x, y = prints.select(F.col("node").alias("a"), F.col("prints").alias("x")), prints.select(F.col("node").alias("b"), F.col("prints").alias("y"))
-        return staged(pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(_verify(threshold), "a long, b long, linked boolean"), "links")
+        return staged(pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(_verify(threshold), "a long, b long, linked boolean"), "links", own)
 
     tried = verified(first)
     classes = connected_components(tried.filter("linked"))
     # second pass: buckets whose nodes are in several classes
     now = shared.join(classes, "node", "left").withColumn("component", F.coalesce("component", "node")).drop("star", "n")
     open_ = now.groupBy("bucket").agg(F.count("*").alias("n"), F.min("component").alias("lo"), F.max("component").alias("hi"), *(F.min_by(F.struct("node", "s0", "s1", "component"), F.xxhash64("node", F.lit(j))).alias(f"star{j}") for j in range(STARS))).filter("lo < hi").drop("lo", "hi")
-    open_ = staged(now.join(open_, "bucket"), "open")
+    open_ = staged(now.join(open_, "bucket"), "open", own)
     stars = F.explode(F.array(*(f"star{j}" for j in range(STARS))))
     more = open_.filter(f"n > {SMALL_LATER}").withColumn("star", stars).filter("star.component <> component").select(F.col("star.node").alias("a"), F.col("star.s0").alias("t0"), F.col("star.s1").alias("t1"), F.col("node").alias("b"), "s0", "s1").filter(_alike(registers, threshold))
     more = more.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).unionByName(_full(open_.filter(f"n <= {SMALL_LATER}"), registers, threshold)).distinct()
@@ -296,12 +305,13 @@ def _classes(docs: DataFrame, id_col: str, text_col: str, threshold: float, shin
     # third pass: all pairs of different classes that the stars of larger buckets left untried
     rest = open_.filter(f"n > {SMALL_LATER}").select("bucket", "node").join(classes, "node", "left").withColumn("component", F.coalesce("component", "node"))
     still = rest.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("bucket")
-    rest = staged(rest.join(still, "bucket", "left_semi").select("bucket", "node", "component"), "rest")
+    rest = staged(rest.join(still, "bucket", "left_semi").select("bucket", "node", "component"), "rest", own)
     if not rest.isEmpty():
-        last = staged(_open_links(rest, prints, threshold, block), "last")
+        last = staged(_open_links(rest, prints, threshold, block), "last", own)
         classes = connected_components(links.unionByName(last))
 
-    rows_ = signed.select("id", "row", "node").join(classes, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    discard(docs.sparkSession, own)
+    rows_ = signed.select("id", "row", "key", "node").join(classes, "node", "left").withColumn("component", F.coalesce("component", "node"))
     named = rows_.groupBy("component").agg(F.min("id").alias("class_id"), F.count("*").alias("class_size"))
     return rows_.join(named, "component")
 
