@@ -16,7 +16,7 @@ Texts with the same words are one node from the start, so exact copies never mee
 2. Of the buckets whose nodes are still in different classes, small ones are compared in full, larger ones with
    other nodes of the bucket.
 3. Buckets that are still open are cut into blocks of bounded size, and all pairs of blocks are counted exactly,
-   as products of their token matrices; pairs inside the bucket's largest class are left out.  A pair of blocks gives
+   in bit matrices of their fingerprints; pairs inside the bucket's largest class are left out.  A pair of blocks gives
    a spanning forest of its links, never all of them.
 
 So no pair that shares a band stays untried.  What step 3 costs grows with the square of the nodes of a bucket that
@@ -177,7 +177,7 @@ def _verify(threshold: float):
 def spanning_links(node: np.ndarray, component: np.ndarray, prints: list[np.ndarray], side: np.ndarray, threshold: float) -> list[tuple[int, int]]:
     """A spanning forest of the links between the classes of one block (side is constant), or across the two sides.
 
-    The common fingerprints of all pairs are counted by products of 0/1 matrices, some columns at a time.
+    The common fingerprints of all pairs are counted in bit matrices, some columns at a time.
     """
     size = np.array([len(p) for p in prints], np.int64)
     owner = np.repeat(np.arange(len(prints)), size)
@@ -188,12 +188,15 @@ def spanning_links(node: np.ndarray, component: np.ndarray, prints: list[np.ndar
     order = np.argsort(column, kind="stable")
     owner, column = owner[order], column[order]
     x, y = (np.flatnonzero(side == v) for v in (side.min(), side.max()))
-    common = np.zeros((len(x), len(y)), np.float32)
+    common = np.zeros((len(x), len(y)), np.int64)
     for lo in range(0, int(column[-1]) + 1 if len(column) else 0, COLUMNS):
         a, b = np.searchsorted(column, (lo, lo + COLUMNS))
-        has = np.zeros((len(prints), COLUMNS), np.float32)
+        has = np.zeros((len(prints), COLUMNS), np.uint8)
         has[owner[a:b], column[a:b] - lo] = 1
-        common += has[x] @ has[y].T
+        bits = np.packbits(has, axis=1).view(np.uint64)
+        other = bits[y]
+        for i, row in enumerate(bits[x]):
+            common[i] += np.bitwise_count(other & row).sum(axis=1, dtype=np.int64)
     linked = common >= threshold * (size[x][:, None] + size[y] - common) - 1e-9
     linked &= component[x][:, None] != component[y]
     # links of one node to many: union by smallest root
