@@ -96,6 +96,17 @@ class Preprocessor:
             self.values[c] = sorted(got)
         return self
 
+    def state(self) -> dict:
+        """All fitted values, for a package."""
+        return {k: getattr(self, k) for k in ("numeric", "categorical", "lower", "upper", "medians", "bounds", "means", "scales", "values")}
+
+    @staticmethod
+    def from_state(state: dict) -> Preprocessor:
+        out = Preprocessor(state["numeric"], state["categorical"], state["lower"], state["upper"])
+        out.medians, out.means, out.scales, out.values = (state[k] for k in ("medians", "means", "scales", "values"))
+        out.bounds = {c: tuple(v) for c, v in state["bounds"].items()}
+        return out
+
     def _imputed(self, c: str) -> Column:
         x = F.col(c).cast("double")
         return F.coalesce(F.when(~F.isnan(x), x), F.lit(float(self.medians[c])))

@@ -9,11 +9,14 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 from itertools import product
-
-from pyspark.ml import PipelineModel
-from pyspark.ml.classification import GBTClassifier, MultilayerPerceptronClassifier, RandomForestClassifier
-from pyspark.ml.clustering import KMeans
-from pyspark.ml.feature import PCA, VectorAssembler
+from multiprocessing.pool import ThreadPool
+
+from pyspark import inheritable_thread_target
+from pyspark.ml.classification import (
+    GBTClassificationModel, GBTClassifier, MultilayerPerceptronClassificationModel, MultilayerPerceptronClassifier, RandomForestClassificationModel, RandomForestClassifier,
+)
+from pyspark.ml.clustering import KMeans, KMeansModel
+from pyspark.ml.feature import PCA, PCAModel, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -35,11 +38,18 @@ def _filled(columns: Sequence[str], stats: Mapping[str, tuple[float, float]], me
 class _Scaled:
     """Median-filled columns at mean 0 and population deviation 1, as a vector column."""
 
-    def __init__(self, train: DataFrame, columns: Sequence[str]):
-        self.columns = list(columns)
+    def __init__(self, columns: Sequence[str], medians: Mapping[str, float], stats: Mapping[str, tuple[float, float]]):
+        self.columns, self.medians, self.stats = list(columns), dict(medians), {c: tuple(v) for c, v in stats.items()}
+
+    @staticmethod
+    def fit(train: DataFrame, columns: Sequence[str]) -> _Scaled:
         row = train.agg(*(F.percentile(c, 0.5).alias(c) for c in columns)).first()
-        self.medians = {c: row[c] if row[c] is not None else 0.0 for c in columns}
-        self.stats = population_scaler(train.select(*(F.coalesce(F.col(c).cast("double"), F.lit(float(self.medians[c]))).alias(c) for c in columns)), list(columns))
+        medians = {c: row[c] if row[c] is not None else 0.0 for c in columns}
+        filled = train.select(*(F.coalesce(F.col(c).cast("double"), F.lit(float(medians[c]))).alias(c) for c in columns))
+        return _Scaled(columns, medians, population_scaler(filled, list(columns)))
+
+    def state(self) -> dict:
+        return {"columns": self.columns, "medians": self.medians, "stats": {c: list(v) for c, v in self.stats.items()}}
 
     def __call__(self, df: DataFrame) -> DataFrame:
         z = _filled(self.columns, self.stats, self.medians)
@@ -50,14 +60,16 @@ class _Scaled:
 class Regimes:
     """k-means over scaled columns, the cheapest of several seeds; clusters are named in the order of their centres."""
 
-    def __init__(self, columns: Sequence[str], k: int = 2, seeds: Sequence[int] = (1, 2, 3, 4), iterations: int = 120):
+    def __init__(self, columns: Sequence[str], k: int = 2, seeds: Sequence[int] = tuple(range(1, 17)), iterations: int = 120):
         self.columns, self.k, self.seeds, self.iterations = list(columns), k, seeds, iterations
 
     def fit(self, train: DataFrame) -> Regimes:
-        self.scaled = _Scaled(train, self.columns)
+        self.scaled = _Scaled.fit(train, self.columns)
         data = self.scaled(train).select("_scaled").persist()
-        models = [KMeans(k=self.k, maxIter=self.iterations, seed=s, featuresCol="_scaled", predictionCol="_cluster").fit(data) for s in self.seeds]
-        self.model = min(models, key=lambda m: m.summary.trainingCost)
+        start = lambda s: KMeans(k=self.k, maxIter=self.iterations, seed=s, initMode="random", featuresCol="_scaled", predictionCol="_cluster").fit(data)
+        with ThreadPool(min(8, len(self.seeds))) as pool:  # independent small jobs
+            found = pool.map(inheritable_thread_target(train.sparkSession)(start), self.seeds)
+        self.model = min(found, key=lambda m: m.summary.trainingCost)
         order = sorted(range(len(self.model.clusterCenters())), key=lambda i: tuple(self.model.clusterCenters()[i]))
         self.names = {c: n for n, c in enumerate(order)}
         data.unpersist()
@@ -70,6 +82,18 @@ class Regimes:
             name = F.when(F.col("_cluster") == c, F.lit(f"regime_{n}")).otherwise(name)
         return out.withColumn("regime", name).drop("_cluster")
 
+    def state(self) -> dict:
+        return {"scaled": self.scaled.state(), "k": self.k, "names": list(self.names.items())}
+
+    def save(self, path: str) -> None:
+        self.model.write().overwrite().save(path)
+
+    @staticmethod
+    def load(state: dict, path: str) -> Regimes:
+        out = Regimes(state["scaled"]["columns"], state["k"])
+        out.scaled, out.model, out.names = _Scaled(**state["scaled"]), KMeansModel.load(path), dict(map(tuple, state["names"]))
+        return out
+
 
 class LatentFactors:
     """Principal components of scaled columns; the largest loading of each is positive."""
@@ -78,7 +102,7 @@ class LatentFactors:
         self.columns, self.k = list(columns), k
 
     def fit(self, train: DataFrame) -> LatentFactors:
-        self.scaled = _Scaled(train, self.columns)
+        self.scaled = _Scaled.fit(train, self.columns)
         self.model = PCA(k=self.k, inputCol="_scaled", outputCol="_pc").fit(self.scaled(train).select("_scaled"))
         load = self.model.pc.toArray()
         self.signs = [1.0 if load[abs(load[:, j]).argmax(), j] >= 0 else -1.0 for j in range(self.k)]
@@ -88,6 +112,18 @@ class LatentFactors:
         out = self.model.transform(self.scaled(df)).withColumn("_pc", vector_to_array("_pc"))
         return out.withColumns({f"latent_{j}": F.col("_pc")[j] * self.signs[j] for j in range(self.k)}).drop("_pc", "_scaled")
 
+    def state(self) -> dict:
+        return {"scaled": self.scaled.state(), "k": self.k, "signs": self.signs}
+
+    def save(self, path: str) -> None:
+        self.model.write().overwrite().save(path)
+
+    @staticmethod
+    def load(state: dict, path: str) -> LatentFactors:
+        out = LatentFactors(state["scaled"]["columns"], state["k"])
+        out.scaled, out.model, out.signs = _Scaled(**state["scaled"]), PCAModel.load(path), state["signs"]
+        return out
+
     def reconstruction_error(self, df: DataFrame) -> DataFrame:
         """Mean squared error of the scaled columns rebuilt from the factors (what the factors' norm leaves)."""
         out = self.model.transform(self.scaled(df)).select(vector_to_array("_scaled").alias("x"), vector_to_array("_pc").alias("z"))
@@ -154,6 +190,16 @@ class Candidate:
         known = list(CLASSES)[: self.models[0].numClasses]
         return out.withColumns(aligned(vector_to_array("probability"), known)).drop("rawPrediction", "probability", "prediction")
 
+    def save(self, path: str) -> None:
+        for i, m in enumerate(self.models):
+            m.write().overwrite().save(f"{path}/{i}")
+
+    def load(self, path: str) -> Candidate:
+        """The fitted models of a candidate of this kind."""
+        kind = {"boosting": GBTClassificationModel, "network": MultilayerPerceptronClassificationModel}.get(self.kind, RandomForestClassificationModel)
+        self.models = [kind.load(f"{path}/{i}") for i in range(3 if self.kind == "boosting" else 1)]
+        return self
+
     def importances(self, names: Sequence[str]) -> list[tuple[str, float]]:
         if self.kind == "network":
             return [(n, 0.0) for n in names]
@@ -261,14 +307,3 @@ def apply_overlay(df: DataFrame, report: DataFrame) -> DataFrame:
     chosen = report.filter("selected").select("sector", F.lit(True).alias("used_sector_expert"))
     out = df.join(chosen, "sector", "left").withColumn("used_sector_expert", F.coalesce("used_sector_expert", F.lit(False)))
     return out.withColumn("pred", F.when(F.col("used_sector_expert"), F.col("expert_pred")).otherwise(F.col("global_pred")))
-
-
-def save(stages: Sequence, path: str) -> None:
-    """Fitted Spark ML stages as one package in a shared folder."""
-    PipelineModel(list(stages)).write().overwrite().save(path)
-
-
-def load(path: str) -> PipelineModel:
-    return PipelineModel.load(path)
-
-

@@ -1,10 +1,14 @@
-"""The training run: split, regimes, candidates, ensemble, calibration, policy, overlay, choice and scoring."""
+"""The training run: split, regimes, candidates, ensemble, calibration, policy, overlay, choice, scoring, and the
+package that keeps all of it for scoring later."""
 
 from __future__ import annotations
 
+import json
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
+from multiprocessing.pool import ThreadPool
 
+from pyspark import inheritable_thread_target
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,6 +16,7 @@ from pyspark.sql import functions as F
 from tidemark.operators import models, splits
 from tidemark.operators.evaluate import classification_scores
 from tidemark.operators.fit import Preprocessor
+from tidemark.sources.shared import staged
 
 DEFAULT_RANGES = {"train": ("1996-01-01", "1999-06-30"), "validation": ("1999-07-01", "2000-03-31"), "test": ("2000-04-01", "2000-12-31")}
 
@@ -61,80 +66,172 @@ class Bundle:
         table = spark.createDataFrame(rows, "feature string, importance double, weight double")
         return table.groupBy("feature").agg(F.sum(F.col("importance") * F.col("weight")).alias("importance")).orderBy(F.desc("importance"), "feature").limit(20)
 
+    def state(self) -> dict:
+        return {"preprocessor": self.preprocessor.state(), "features": self.features, "kinds": {k: c.trees for k, c in self.candidates.items()}, "weights": self.weights, "gamma": self.gamma, "cuts": list(self.cuts), "rows": [list(r) for r in self.rows]}
 
-def fit_bundle(rows: DataFrame, numeric: Sequence[str], categorical: Sequence[str] = (), kinds: Sequence[str] = ("forest", "extra", "boosting"), trees: int = 60, weight_step: float = 0.10, bonus: float = 0.02) -> Bundle:
-    """rows: split and y.  Candidates learn from train; weights, power and cuts are chosen on validation."""
+    def save(self, path: str) -> None:
+        for kind, c in self.candidates.items():
+            c.save(f"{path}/{kind}")
+
+    @staticmethod
+    def load(state: dict, path: str) -> Bundle:
+        candidates = {k: models.Candidate(k, trees).load(f"{path}/{k}") for k, trees in state["kinds"].items()}
+        return Bundle(Preprocessor.from_state(state["preprocessor"]), state["features"], candidates, state["weights"], state["gamma"], tuple(state["cuts"]), [tuple(r) for r in state["rows"]])
+
+
+def fit_bundle(rows: DataFrame, numeric: Sequence[str], categorical: Sequence[str] = (), kinds: Sequence[str] = ("forest", "extra", "boosting"), trees: int = 60, weight_step: float = 0.10, bonus: float = 0.02, seed: int = 7) -> Bundle:
+    """rows: split and y, stored or cheap to make.  Candidates learn from train; weights, power and cuts are chosen on validation."""
     train, validation = rows.filter("split = 'train'"), rows.filter("split = 'validation'")
     pre = Preprocessor(list(numeric), list(categorical)).fit(train)
     bundle = Bundle(pre, list(pre.outputs()), {})
     learn = models.weighted(bundle.vectors(train)).persist()
-    bundle.candidates = {k: models.Candidate(k, trees).fit(learn) for k in kinds}
-    learn.unpersist()
-    votes = bundle.votes(validation).persist()
-    for k in kinds:
-        pred = models.argmax(*(F.col(f"{k}_{p}") for p in models.PROBABILITIES))
-        s = classification_scores(votes.withColumn("pred", pred)).first()
-        bundle.rows.append((k, s["macro_f1"] or 0.0, s["high_recall"], (s["macro_f1"] or 0.0) + bonus * s["high_recall"]))
-    best = models.ensemble_search(votes, list(kinds), weight_step, bonus).first()
-    bundle.weights = {k: best[f"w_{k}"] if best else 1 / len(kinds) for k in kinds}
-    voted = models.soft_vote_apply(votes, list(kinds), bundle.weights).persist()
-    power = models.calibration_search(voted).first()
-    bundle.gamma = power["gamma"] if power else 1.0
-    cut = models.policy_search(models.calibrate(voted, bundle.gamma), bonus=bonus).first()
+    try:
+        bundle.candidates = {k: models.Candidate(k, trees, seed).fit(learn) for k in kinds}
+    finally:
+        learn.unpersist()
+    # the searches only need the class and the votes
+    votes = bundle.votes(validation).select("y", *(f"{k}_{p}" for k in kinds for p in models.PROBABILITIES)).persist()
+    try:
+        for k in kinds:
+            pred = models.argmax(*(F.col(f"{k}_{p}") for p in models.PROBABILITIES))
+            s = classification_scores(votes.withColumn("pred", pred)).first()
+            bundle.rows.append((k, s["macro_f1"] or 0.0, s["high_recall"], (s["macro_f1"] or 0.0) + bonus * s["high_recall"]))
+        best = models.ensemble_search(votes, list(kinds), weight_step, bonus).first()
+        bundle.weights = {k: best[f"w_{k}"] if best else 1 / len(kinds) for k in kinds}
+        voted = models.soft_vote_apply(votes, list(kinds), bundle.weights)
+        power = models.calibration_search(voted).first()
+        bundle.gamma = power["gamma"] if power else 1.0
+        cut = models.policy_search(models.calibrate(voted, bundle.gamma), bonus=bonus).first()
+    finally:
+        votes.unpersist()
     if cut:
         bundle.cuts = (cut["low_cut"], cut["high_cut"])
         bundle.rows += [("ensemble", best["macro_f1"], best["high_recall"], best["objective"]), ("policy", cut["macro_f1"], cut["high_recall"], cut["objective"])]
     bundle.rows.sort(key=lambda r: (-r[3], r[0]))
-    votes.unpersist()
-    voted.unpersist()
     return bundle
 
 
+@dataclass
+class Package:
+    """All that scoring needs: regimes, factors, the chosen architecture, the regime expert and its sectors."""
+
+    regimes: models.Regimes
+    factors: models.LatentFactors
+    chosen: str
+    bundle: Bundle
+    expert: Bundle
+    sectors: list[str]
+    sector: str = "sector"
+
+    def score(self, df: DataFrame) -> DataFrame:
+        """df with regime, factors, p_low, p_medium, p_high, pred and used_sector_expert."""
+        names = [*models.PROBABILITIES, "pred"]
+        out = self.factors.transform(self.regimes.transform(df))
+        out = self.bundle.score(out).withColumnsRenamed({n: f"_global_{n}" for n in names})
+        out = self.expert.score(out).withColumnsRenamed({n: f"_expert_{n}" for n in names})
+        out = out.withColumn("used_sector_expert", F.coalesce(F.col(self.sector).isin(self.sectors), F.lit(False)))
+        picked = {n: F.when(F.col("used_sector_expert"), F.col(f"_expert_{n}")).otherwise(F.col(f"_global_{n}")) for n in names}
+        return out.withColumns(picked).drop(*(f"_{side}_{n}" for side in ("global", "expert") for n in names))
+
+    def save(self, spark: SparkSession, path: str) -> None:
+        """One folder: the fitted models, and the parameters as a text of one row."""
+        self.regimes.save(f"{path}/regimes")
+        self.factors.save(f"{path}/factors")
+        self.bundle.save(f"{path}/bundle")
+        self.expert.save(f"{path}/expert")
+        state = {"regimes": self.regimes.state(), "factors": self.factors.state(), "chosen": self.chosen, "bundle": self.bundle.state(), "expert": self.expert.state(), "sectors": self.sectors, "sector": self.sector}
+        spark.createDataFrame([(json.dumps(state),)], "state string").coalesce(1).write.mode("overwrite").text(f"{path}/state")
+
+    @staticmethod
+    def load(spark: SparkSession, path: str) -> Package:
+        s = json.loads(spark.read.text(f"{path}/state").first()["value"])
+        return Package(
+            models.Regimes.load(s["regimes"], f"{path}/regimes"), models.LatentFactors.load(s["factors"], f"{path}/factors"), s["chosen"],
+            Bundle.load(s["bundle"], f"{path}/bundle"), Bundle.load(s["expert"], f"{path}/expert"), s["sectors"], s["sector"],
+        )
+
+
 @dataclass
 class Run:
     chosen: str
     scores: DataFrame
     predictions: DataFrame
     overlay: DataFrame
+    package: Package
 
 
 def run(df: DataFrame, numeric: Sequence[str], macro: Sequence[str], report: Sequence[str] = (), sector: str = "sector", ranges: Mapping[str, tuple[str, str]] = DEFAULT_RANGES, trees: int = 60, kinds: Sequence[str] = ("forest", "extra"), report_gain: float = 0.005, embargo_days: int = 0) -> Run:
     """Fits the architectures, lets reports in if they gain, adds regimes, factors and the sector overlay, and scores.
 
-    The architecture with the best (objective, macro F1, high recall) on validation wins, the first of equals.
+    Architectures: baseline, with reports, with regimes, with factors, with both.  The one with the best (objective,
+    macro F1, high recall) on validation wins, the first of equals; reports enter all later ones if they gain.
     """
-    rows = with_split(df, ranges, embargo_days).persist()
-    train = rows.filter("split = 'train'")
     spark = df.sparkSession
+    rows = staged(with_split(df, ranges, embargo_days), "rows")
+    train = rows.filter("split = 'train'")
     regimes = models.Regimes(list(macro)).fit(train)
     factors = models.LatentFactors(list(numeric)).fit(train)
-    rich = factors.transform(regimes.transform(rows)).persist()
+    rich = staged(factors.transform(regimes.transform(rows)), "rich")
+    latent = ["latent_0", "latent_1", "latent_2"]
     bundles = {"baseline": fit_bundle(rich, numeric, [sector], kinds, trees)}
     if report:
         with_reports = fit_bundle(rich, [*numeric, *report], [sector], kinds, trees)
         if with_reports.rows[0][3] >= bundles["baseline"].rows[0][3] + report_gain:
             bundles["reports"], numeric = with_reports, [*numeric, *report]
     bundles["regime"] = fit_bundle(rich, numeric, [sector, "regime"], kinds, trees)
-    bundles["factors_regime"] = fit_bundle(rich, [*numeric, "latent_0", "latent_1", "latent_2"], [sector, "regime"], kinds, trees)
+    bundles["factors"] = fit_bundle(rich, [*numeric, *latent], [sector], kinds, trees)
+    bundles["factors_regime"] = fit_bundle(rich, [*numeric, *latent], [sector, "regime"], kinds, trees)
     results = [(name, *b.rows[0][1:]) for name, b in bundles.items()]
     chosen = max(results, key=lambda r: (r[3], r[1], r[2]))[0]
-    best, expert = bundles[chosen].score(rich), bundles["regime"].score(rich).select("ticker", "decision_date", F.col("pred").alias("expert_pred"))
-    both = best.join(expert, ["ticker", "decision_date"]).withColumnRenamed("pred", "global_pred")
-    overlay = models.sector_overlay(both.filter("split = 'validation'").withColumnRenamed(sector, "sector"))
-    final = models.apply_overlay(both, overlay)
-    out = final.filter("split = 'test'").select("decision_date", "ticker", "sector", "y", "pred", *models.PROBABILITIES, "used_sector_expert")
-    return Run(chosen, spark.createDataFrame(results, "architecture string, macro_f1 double, high_recall double, objective double"), out, overlay)
 
+    def validated(bundle: Bundle, name: str, df: DataFrame) -> DataFrame:
+        return bundle.score(df).withColumnRenamed("pred", name).drop(*models.PROBABILITIES)
+
+    both = validated(bundles["regime"], "expert_pred", validated(bundles[chosen], "global_pred", rich.filter("split = 'validation'")))
+    overlay = staged(models.sector_overlay(both.withColumnRenamed(sector, "sector")), "overlay")
+    # as many rows as there are sectors
+    sectors = sorted(r["sector"] for r in overlay.filter("selected and sector is not null").collect())
+    package = Package(regimes, factors, chosen, bundles[chosen], bundles["regime"], sectors, sector)
+    out = package.score(rows.filter("split = 'test'")).select("decision_date", "ticker", F.col(sector).alias("sector"), "y", "pred", *models.PROBABILITIES, "used_sector_expert")
+    return Run(chosen, spark.createDataFrame(results, "architecture string, macro_f1 double, high_recall double, objective double"), out, overlay, package)
 
-def walk_forward_scores(df: DataFrame, numeric: Sequence[str], initial: int = 12, test: int = 3, step: int = 3, trees: int = 40) -> DataFrame:
-    """Scores of every fold that passes the gate (a lighter fit: forest and extra trees)."""
-    rows = df.withColumn("y", F.col("risk_class"))
+
+def walk_forward_scores(df: DataFrame, numeric: Sequence[str], macro: Sequence[str] = (), initial: int = 12, test: int = 3, step: int = 3, trees: int = 40, kinds: Sequence[str] = ("forest", "extra"), seeds: Sequence[int] = (1, 2, 3, 4), parallel: int = 6) -> DataFrame:
+    """One row of scores for each fold that passes the gate: regimes, forest and extra trees are fitted anew in each.
+
+    The folds are as many as there are steps of months; some are fitted at a time.
+    """
+    spark = df.sparkSession
+    rows = staged(df.withColumn("y", F.col("risk_class")), "walk")
     folds = splits.walk_forward(rows, initial, test, step)
     gated = [g["fold"] for g in splits.fold_gate(splits.with_folds(rows, folds)).filter("ok").orderBy("fold").collect()]
-    out = None
-    for fold in gated:  # as many as there are steps of months, each a run of its own
-        part = splits.with_folds(rows, folds.filter(F.col("fold") == fold)).withColumnRenamed("role", "split").persist()
-        bundle = fit_bundle(part, numeric, ["sector"], ("forest", "extra"), trees, weight_step=0.25)
-        scored = classification_scores(bundle.score(part.filter("split = 'test'")).withColumn("fold", F.lit(fold)), by=["fold"])
-        out = scored if out is None else out.unionByName(scored)
-    return out if out is not None else df.sparkSession.createDataFrame([], "fold int, macro_f1 double")
+    months = {f: [] for f in gated}
+    for m in folds.collect():
+        if m["fold"] in months:
+            months[m["fold"]].append((m["month"], m["role"]))
+
+    def one(fold: int) -> tuple:
+        role = F.lit(None).cast("string")
+        for name in ("train", "validation", "test"):
+            own = [F.lit(m) for m, r in months[fold] if r == name]
+            role = F.when(F.trunc("decision_date", "month").isin(own), name).otherwise(role)
+        part = rows.withColumn("split", role).filter("split is not null")
+        categorical = ["sector"]
+        if macro:
+            part = models.Regimes(list(macro), seeds=seeds).fit(part.filter("split = 'train'")).transform(part)
+            categorical.append("regime")
+        bundle = fit_bundle(part, numeric, categorical, kinds, trees, weight_step=0.25, seed=7 + fold)
+        scored = classification_scores(bundle.score(part.filter("split = 'test'")))
+        return scored.columns, tuple(scored.first())
+
+    with ThreadPool(max(1, min(parallel, len(gated)))) as pool:
+        found = pool.map(inheritable_thread_target(spark)(one), gated)
+    if not found:
+        return spark.createDataFrame([], "fold int, macro_f1 double")
+    return spark.createDataFrame([(int(f), *r) for f, (_, r) in zip(gated, found)], ["fold", *found[0][0]])
+
+
+def walk_forward_summary(scores: DataFrame, metrics: Sequence[str] = ("macro_f1", "high_recall")) -> DataFrame:
+    """metric, folds, mean and population deviation over the folds."""
+    long = scores.select(*(F.col(m).cast("double").alias(m) for m in metrics)).unpivot([], list(metrics), "metric", "value")
+    return long.groupBy("metric").agg(F.count("value").alias("folds"), F.avg("value").alias("mean"), F.stddev_pop("value").alias("deviation"))

@@ -17,6 +17,7 @@ from tidemark.operators.asof import asof_join, asof_series
 from tidemark.operators.forward import COMPONENTS, target_components
 from tidemark.operators.rolling import daily_features, monthly_snapshot
 from tidemark.plans.panel import attach_sector
+from tidemark.sources.shared import shared_folder
 from tidemark.sources.tables import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -198,14 +199,4 @@ def sql(body: str, *names: str) -> str:
     return ("WITH " + ", ".join(f"{n} AS ({CTES[n][1]})" for n in order) + " " if order else "") + body
 
 
-def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new path in the cluster's shared folder (a temporary one only where none is set, as in tests)."""
-    import os
-    import tempfile
-    import uuid
-
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or tempfile.gettempdir()
-    return os.path.join(root, f"tidemark-{name}-{uuid.uuid4().hex}")
-
-
 __all__ = ["COMPONENTS", "QUERIES", "RANGES", "SQL", "Column", "DataFrame", "F", "SparkSession", "Window", "asof_join", "asof_series", "components", "daily", "daily_features", "fit", "fundamentals", "is_train", "keys", "labelled", "macro", "market", "members", "monthly_snapshot", "panel", "predictions", "priced", "q", "query", "r", "reports", "rounded", "shared_folder", "snapshot", "splits", "sql", "table"]

@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.ml.functions import array_to_vector
 
 from tidemark.operators import evaluate, models
+from tidemark.operators.asof import asof_reports
 from tidemark.plans import training
-from tidemark.queries.base import DataFrame, F, SparkSession, labelled, macro, panel, predictions, q, query, rounded, sql, table
+from tidemark.queries.base import DataFrame, F, SparkSession, labelled, macro, panel, predictions, q, query, reports, rounded, shared_folder, sql, table
+from tidemark.sources.shared import staged
 
 _CALLED = ("called",)
 
@@ -61,13 +63,14 @@ def m1_regimes(spark: SparkSession, sf: str) -> DataFrame:
 
 @query()
 def m2_latent_factors(spark: SparkSession, sf: str) -> DataFrame:
-    vectors = table(spark, sf, "embeddings").select("vec_id", *(F.col("embedding")[i].cast("double").alias(f"e{i}") for i in range(12)))
-    return models.LatentFactors([f"e{i}" for i in range(12)]).fit(vectors).transform(vectors).select("vec_id", "latent_0", "latent_1", "latent_2")
+    vectors = table(spark, sf, "embeddings").select("vec_id", *(F.col("embedding")[i].cast("double").alias(f"e{i}") for i in range(64)))
+    return models.LatentFactors([f"e{i}" for i in range(64)]).fit(vectors).transform(vectors).select("vec_id", "latent_0", "latent_1", "latent_2")
 
 
 def _learn(spark: SparkSession, sf: str, kind: str) -> DataFrame:
-    rows = table(spark, sf, "embeddings").filter("label in (0, 1, 2)")
-    named = rows.select("vec_id", array_to_vector(F.col("embedding").cast("array<double>")).alias("features"), F.when(F.col("label") == 0, "low").when(F.col("label") == 1, "medium").otherwise("high").alias("y"))
+    rows = table(spark, sf, "embeddings").filter("embedding is not null and label is not null")
+    y = F.when(F.col("label") < 3, "low").when(F.col("label") < 6, "medium").otherwise("high")
+    named = rows.select("vec_id", array_to_vector(F.col("embedding").cast("array<double>")).alias("features"), y.alias("y"))
     train = models.weighted(named.filter("vec_id % 4 <> 3"))
     return models.Candidate(kind, trees=20).fit(train).predict(named).select("vec_id", "y", "p_low", "p_medium", "p_high")
 
@@ -185,9 +188,15 @@ def m24_metric_delta(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(evaluate.metric_delta(pick("global_pred"), pick("expert_pred")), {"baseline": 6, "enhanced": 6, "delta": 6})
 
 
-def _data(spark: SparkSession, sf: str) -> DataFrame:
+_REPORT = ["report_net_debt_to_ebitda", "report_interest_coverage", "report_free_cf_margin", "report_financial_pressure", "report_text_risk_density"]
+_MACRO_SERIES = ["key_rate", "fx_rate", "curve_slope", "market_vol_20d", "market_corr_60d"]
+
+
+def _data(spark: SparkSession, sf: str, with_reports: bool = False) -> DataFrame:
+    """The labelled panel, stored, as the fits read it many times."""
     keys = labelled(spark, sf).select("ticker", "decision_date", "risk_class", "future_max_drawdown", "future_cvar_95")
-    return panel(spark, sf).join(keys, ["ticker", "decision_date"])
+    rows = panel(spark, sf).join(keys, ["ticker", "decision_date"])
+    return staged(asof_reports(rows, reports(spark, sf), _REPORT) if with_reports else rows, "panel")
 
 
 _NUMERIC = ["rolling_vol_20d", "downside_vol_60d", "beta_60d", "log_market_cap", "momentum_6m", "key_rate", "fx_rate"]
@@ -195,24 +204,29 @@ _NUMERIC = ["rolling_vol_20d", "downside_vol_60d", "beta_60d", "log_market_cap",
 
 @query()
 def m9_leaderboard(spark: SparkSession, sf: str) -> DataFrame:
-    rows = training.with_split(_data(spark, sf)).persist()
-    return training.fit_bundle(rows, _NUMERIC, ["sector"], ("forest", "extra"), trees=6).leaderboard(spark)
+    return training.fit_bundle(training.with_split(_data(spark, sf)), _NUMERIC, ["sector"], ("forest", "extra"), trees=60).leaderboard(spark)
 
 
 @query()
 def m20_importances(spark: SparkSession, sf: str) -> DataFrame:
-    rows = training.with_split(_data(spark, sf)).persist()
-    return training.fit_bundle(rows, _NUMERIC, ["sector"], ("forest",), trees=6).importances(spark)
+    return training.fit_bundle(training.with_split(_data(spark, sf)), _NUMERIC, ["sector"], ("forest",), trees=60).importances(spark)
 
 
 @query()
 def m21_walk_forward(spark: SparkSession, sf: str) -> DataFrame:
-    return training.walk_forward_scores(_data(spark, sf).persist(), _NUMERIC, trees=4, step=24)
+    """Mean and population deviation of the scores over all folds of three months."""
+    return training.walk_forward_summary(training.walk_forward_scores(_data(spark, sf), _NUMERIC, _MACRO_SERIES))
 
 
 @query()
-def m25_training_run(spark: SparkSession, sf: str) -> DataFrame:
-    """M18, M19, M22 and M25: fits the architectures, chooses one, and scores the test period."""
-    return training.run(_data(spark, sf), _NUMERIC, ["key_rate", "fx_rate", "curve_slope", "market_vol_20d", "market_corr_60d"], trees=5).predictions
+def m22_batch_scoring(spark: SparkSession, sf: str) -> DataFrame:
+    """M22, M23: a run's package is saved, loaded, and scores all rows of the panel."""
+    path, rows = shared_folder(spark, "package"), _data(spark, sf, True)
+    training.run(rows, _NUMERIC, _MACRO_SERIES, _REPORT).package.save(spark, path)
+    return training.Package.load(spark, path).score(rows).select("decision_date", "ticker", "regime", "pred", *models.PROBABILITIES, "used_sector_expert")
 
 
+@query()
+def m25_training_run(spark: SparkSession, sf: str) -> DataFrame:
+    """M18, M19 and M25: fits the architectures, lets reports in if they gain, chooses one, and scores the test period."""
+    return training.run(_data(spark, sf, True), _NUMERIC, _MACRO_SERIES, _REPORT).predictions
