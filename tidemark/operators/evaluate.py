@@ -42,9 +42,9 @@ def high_recall() -> Column:
     return _cell(2, 2) / F.greatest(_true(2), F.lit(1))
 
 
-def confusion(df: DataFrame, y: str = "y", pred: str = "pred", by: list[str] = ()) -> DataFrame:
-    """Nine counts per group, with which all scores are expressions."""
-    return df.groupBy(*by).agg(*_counts(y, pred))
+def confusion(df: DataFrame, y: str = "y", pred: str = "pred", by: list[str] = (), weight: str | None = None) -> DataFrame:
+    """Nine counts per group (sums of weight, if given), with which all scores are expressions."""
+    return df.groupBy(*by).agg(*_counts(y, pred, F.col(weight) if weight else None))
 
 
 def confusion_matrix(df: DataFrame, y: str = "y", pred: str = "pred") -> DataFrame:

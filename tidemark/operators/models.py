@@ -207,14 +207,15 @@ class Candidate:
         return list(zip(names, total))
 
 
-def grid_search(df: DataFrame, grid: DataFrame, pred: Column, bonus: float = 0.0, y: str = "y") -> DataFrame:
+def grid_search(df: DataFrame, grid: DataFrame, pred: Column, bonus: float = 0.0, y: str = "y", weight: str | None = None) -> DataFrame:
     """The scores of every grid row: macro F1, high recall and their objective, best first.
 
     grid has a column grid_id and is bounded by its parameters, so it is broadcast; rows are combined into
-    nine counts per grid row before the exchange.
+    nine counts per grid row before the exchange.  A row counts as often as its weight says.
     """
-    both = df.crossJoin(F.broadcast(grid)).select("grid_id", F.col(y).alias("y"), pred.alias("pred"))
-    scored = confusion(both, by=["grid_id"]).select("grid_id", macro_f1().alias("macro_f1"), high_recall().alias("high_recall"))
+    times = F.col(weight) if weight else F.lit(1)
+    both = df.crossJoin(F.broadcast(grid)).select("grid_id", F.col(y).alias("y"), pred.alias("pred"), times.alias("times"))
+    scored = confusion(both, by=["grid_id"], weight="times" if weight else None).select("grid_id", macro_f1().alias("macro_f1"), high_recall().alias("high_recall"))
     scored = scored.withColumn("objective", F.col("macro_f1") + bonus * F.col("high_recall"))
     return scored.join(F.broadcast(grid), "grid_id").orderBy(F.desc(F.round("objective", 12)), "grid_id")
 
@@ -267,17 +268,23 @@ def calibrate(df: DataFrame, gamma: float) -> DataFrame:
     return df.withColumns(dict(zip(PROBABILITIES, _powered(F.lit(float(gamma))))))
 
 
-def policy(low_cut: Column, high_cut: Column) -> Column:
-    """The largest probability, unless p_high reaches its cut (high), or else p_low its own (low)."""
-    base = argmax(*(F.col(p) for p in PROBABILITIES))
+def policy(low_cut: Column, high_cut: Column, base: Column | None = None) -> Column:
+    """The largest probability (base), unless p_high reaches its cut (high), or else p_low its own (low)."""
+    base = argmax(*(F.col(p) for p in PROBABILITIES)) if base is None else base
     return F.when(F.col("p_high") >= high_cut, "high").when((F.col("p_low") >= low_cut) & (base != "high"), "low").otherwise(base)
 
 
 def policy_search(df: DataFrame, cuts: Sequence[float] = THRESHOLDS, bonus: float = 0.02, y: str = "y") -> DataFrame:
-    """Every pair of cuts, best first."""
+    """Every pair of cuts, best first.
+
+    Which cuts a row reaches follows from the largest of them that its probability reaches.  Rows are counted by these,
+    the class of the largest probability and y first, so that the pairs meet a few thousand counts, not the rows.
+    """
     rows = [(i, float(a), float(b)) for i, (a, b) in enumerate(product(cuts, cuts))]
     grid = df.sparkSession.createDataFrame(rows, "grid_id int, low_cut double, high_cut double")
-    return grid_search(df, grid, policy(F.col("low_cut"), F.col("high_cut")), bonus, y)
+    reached = lambda p: F.greatest(*(F.when(F.col(p) >= float(c), F.lit(float(c))) for c in cuts), F.lit(None).cast("double"))
+    counts = df.groupBy(F.col(y).alias("y"), reached("p_low").alias("p_low"), reached("p_high").alias("p_high"), argmax(*(F.col(p) for p in PROBABILITIES)).alias("base")).agg(F.count("*").alias("n"))
+    return grid_search(counts, grid, policy(F.col("low_cut"), F.col("high_cut"), F.col("base")), bonus, weight="n")
 
 
 def apply_policy(df: DataFrame, low_cut: float, high_cut: float) -> DataFrame:
