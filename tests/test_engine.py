@@ -1,7 +1,9 @@
 """The engine against hand values, invariants, and DuckDB for every query that SQL can express."""
 
+import io
 import math
 import os
+import zipfile
 from datetime import date, timedelta
 
 import pytest
@@ -70,6 +72,30 @@ def test_cross_sectional_rank(spark):
     assert not any(c.startswith("future_") for c in added)
 
 
+def test_policy_search_counts_rows(spark):
+    """Counts by reached cuts give what the rows themselves give, on the cuts, beside them, and for nulls."""
+    rows = [(y, low, round(1 - low - high, 3), high) for y in ("low", "medium", "high") for low in (0.1, 0.25, 0.3, 0.49) for high in (0.0, 0.249, 0.25, 0.4, 0.5)]
+    df = spark.createDataFrame([*rows, ("high", None, 0.5, 0.5), ("low", 0.6, 0.4, None)], "y string, p_low double, p_medium double, p_high double")
+    cuts = (0.25, 0.3, 0.5)
+    grid = spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate((a, b) for a in cuts for b in cuts)], "grid_id int, low_cut double, high_cut double")
+    plain = models.grid_search(df, grid, models.policy(F.col("low_cut"), F.col("high_cut")), 0.02)
+    assert models.policy_search(df, cuts).collect() == plain.collect()
+
+
+def test_workbook_in_a_zip(spark):
+    def packed(*names):
+        out = io.BytesIO()
+        with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+            for n in names:
+                z.writestr(n, "x" * 300)
+        return bytearray(out.getvalue())
+
+    rows = [(0, packed("[Content_Types].xml", "_rels/.rels", "xl/workbook.xml")), (1, packed("[Content_Types].xml", "word/document.xml")), (2, packed("a/xl/b.txt", "x[Content_Types].xml")), (3, bytearray(b"PK\x03\x04")), (4, None)]
+    none = F.lit(None).cast("string")
+    df = spark.createDataFrame(rows, "id int, content binary").select("id", tables.file_type(F.lit("https://x.example.com/get"), none, none, F.col("content")).alias("kind"))
+    assert [r.kind for r in df.orderBy("id").collect()] == [".xlsx", ".zip", ".zip", ".zip", ".bin"]
+
+
 def test_splits(spark):
     months = [D(f"2024-{m:02d}-28") for m in range(1, 13)]
     df = spark.createDataFrame([(d, 1) for d in months], "decision_date date, x int")

@@ -171,5 +171,9 @@ def file_type(url: Column, content_type: Column, disposition: Column, content: C
         types = F.when(media == k, F.lit(v)).otherwise(types)
     head = F.hex(F.substring(content, 1, 8))
     start = F.lower(F.ltrim(F.decode(F.substring(content, 1, 64), "ISO-8859-1")))
-    magic = F.when(head.startswith("25504446"), F.lit(".pdf")).when(head.startswith("504B0304"), F.lit(".zip")).when(start.startswith("<!doctype") | start.startswith("<html"), F.lit(".html"))
+    # a workbook is a zip whose directory has the content types and something below xl/
+    raw = F.decode(content, "ISO-8859-1")
+    entry = lambda size, name: F.regexp_like(raw, F.lit(rf"PK\x01\x02[\s\S]{{24}}{size}[\s\S]{{16}}{name}"))
+    workbook = entry(r"\x13\x00", r"\[Content_Types\]\.xml") & entry(r"[\s\S]{2}", "xl/")
+    magic = F.when(head.startswith("25504446"), F.lit(".pdf")).when(head.startswith("504B0304"), F.when(workbook, ".xlsx").otherwise(".zip")).when(start.startswith("<!doctype") | start.startswith("<html"), F.lit(".html"))
     return F.coalesce(known(F.regexp_extract(name, r"(\.[^./]+)$", 1)), types, magic, known(url_extension(url)), F.lit(fallback))
