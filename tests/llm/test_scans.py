@@ -31,9 +31,35 @@ def test_licenses(spark):
     assert all(r.n_words == len(split(texts[i + len(ODD)])) for i, r in scanned.items())
 
 
+def plain(parts, optional):
+    """A wording that a template accepts, with or without its optional regions."""
+    out = []
+    for p in parts:
+        if isinstance(p, str):
+            out.append(p)
+        elif p[0] == "opt":
+            out += plain(p[1], optional) if optional else []
+        else:
+            out += {"number": lambda: ["2020"], "any": lambda: ["zz"] * p[1], "alt": lambda: p[1][0]}[p[0]]()
+    return out
+
+
+def test_every_license_wording_is_accepted_and_no_part_of_it(spark):
+    # a label of its own for each template
+    markups = {f"{k}-{i}": [m] for k, ms in licenses.templates().items() for i, m in enumerate(ms)}
+    wordings = [(k, licenses.parse(m)) for k, (m,) in markups.items()]
+    texts = [" ".join(plain(parts, o)) for _, parts in wordings for o in (False, True)]
+    last = lambda parts: max(j for j, p in enumerate(parts) if isinstance(p, str))
+    broken = [(k, [*parts[: last(parts)], *parts[last(parts) + 1 :]]) for k, parts in wordings if len(parts) > 60]
+    got = {r.doc_id: r for r in licenses.scan_licenses(frame(spark, [*texts, *(" ".join(plain(p, False)) for _, p in broken)]), markups=markups).collect()}
+    assert len(wordings) >= 40 and len(broken) > 15
+    assert all(k in got[2 * i + o].labels.split(",") and got[2 * i + o].score == 1 for i, (k, _) in enumerate(wordings) for o in (0, 1))
+    assert not [k for i, (k, _) in enumerate(broken) if k in got[len(texts) + i].labels.split(",")]
+
+
 def test_automata_agree_with_regular_expressions():
     r = random.Random(1)
-    for label, markups in licenses.TEMPLATES.items():
+    for label, markups in licenses.templates().items():
         for markup in markups:
             one, pattern = licenses.Automaton(label, markup), re.compile(licenses.as_regex(licenses.parse(markup)) + " ")
             pool = re.findall(r" ([^ ()?|{}\[\]:]+)", licenses.as_regex(licenses.parse(markup))) + ["zz", "2020"]

@@ -7,13 +7,17 @@ compiled into an automaton over words; a text is accepted from a place on if all
 exactly, in order.  Automata start only where their rarest mandatory word (the anchor) is near, which loses
 no match: every match holds the anchor at a bounded distance from its start.
 
-Null and wordless texts have no words and no labels.  Repeated rows and ids give one row each.
+Null and wordless texts have no words and no labels.  Repeated rows and ids give one row each.  Whole texts are
+read, however long.  Of several ends of one template from one place the longest counts.  An empty table gives an empty
+one.  Other columns are not read, so clashing names do no harm.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterator, Mapping, Sequence
+from functools import cache
+from importlib.resources import files
 
 import numpy as np
 import pyarrow as pa
@@ -27,31 +31,15 @@ ANY, NUMBER = object(), object()
 # The phrases every scan counts, and their labels.
 BASE = {"cc-by": "cc by", "gpl": "general public license", "reserved": "all rights reserved"}
 
-# Wordings of public licenses and of common notices; label -> templates.
-TEMPLATES = {
-    "mit": [
-        "<<var;name=lead;match=released|licensed|distributed|available>> under the <<beginOptional>>terms of the<<endOptional>> MIT License",
-        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the <<beginOptional>>\"<<endOptional>>Software), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software",
-    ],
-    "apache-2.0": [
-        "<<var;name=lead;match=released|licensed|distributed|available>> under the <<beginOptional>>terms of the<<endOptional>> Apache License <<beginOptional>>Version<<endOptional>> 2.0 <<beginOptional>>(the \"License\"); you may not use this file except in compliance with the License<<endOptional>>",
-    ],
-    "gpl-3.0": [
-        "<<beginOptional>>This <<var;name=what;match=work|program|software|file>> is<<endOptional>> licensed under the <<beginOptional>>terms of the<<endOptional>> GNU General Public License <<beginOptional>>as published by the Free Software Foundation either<<endOptional>> version 3 <<beginOptional>>of the License, or (at your option) any later version<<endOptional>>",
-    ],
-    "gpl-2.0": [
-        "<<beginOptional>>This <<var;name=what;match=work|program|software|file>> is<<endOptional>> licensed under the <<beginOptional>>terms of the<<endOptional>> GNU General Public License <<beginOptional>>as published by the Free Software Foundation either<<endOptional>> version 2 <<beginOptional>>of the License, or (at your option) any later version<<endOptional>>",
-    ],
-    "cc-by-nc-4.0": ["licensed under <<beginOptional>>a Creative Commons<<endOptional>> CC BY-NC 4.0 <<beginOptional>>International License<<endOptional>>"],
-    "cc-by-sa-4.0": ["licensed under <<beginOptional>>a Creative Commons<<endOptional>> CC BY-SA 4.0 <<beginOptional>>International License<<endOptional>>"],
-    "cc-by-4.0": ["licensed under <<beginOptional>>a Creative Commons<<endOptional>> CC BY 4.0 <<beginOptional>>International License<<endOptional>>"],
-    "bsd": [
-        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
-        "<<var;name=lead;match=released|licensed|distributed|available>> under the <<beginOptional>><<var;name=clauses;match=2 clause|3 clause>><<endOptional>> BSD License",
-    ],
-    "isc": ["Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted"],
-    "proprietary": ["Copyright <<beginOptional>>(c)<<endOptional>> <<beginOptional>><<var;name=year;match=number>><<endOptional>> <<var;name=owner;match=.{1,6}>> All rights reserved"],
-}
+@cache
+def templates() -> dict[str, list[str]]:
+    """Label -> templates: one file of folder ``templates`` per label, its templates parted by lines of ``====``.
+
+    The files hold wordings of public licenses and common notices (fixed values); short licenses stand there in
+    full, long ones by their notices.
+    """
+    found = {f.name.removesuffix(".txt"): f.read_text("utf-8") for f in files(__package__).joinpath("templates").iterdir() if f.name.endswith(".txt")}
+    return {k: [t.strip() for t in found[k].split("\n====\n")] for k in sorted(found)}
 
 
 def parse(markup: str) -> list:
@@ -157,12 +145,12 @@ class Automaton:
             if i == len(text) or not now:
                 break
             w = text[i]
-            now = self._closure({to for s in now for want, to in self.edges[s] if want is ANY or want == w or want is NUMBER and w.isdigit()})
+            now = self._closure({to for s in now for want, to in self.edges[s] if want is ANY or want == w or want is NUMBER and w.isascii() and w.isdigit()})
         return end
 
 
-def automata() -> tuple[list[Automaton], list[Automaton]]:
-    return [Automaton(k, v) for k, v in BASE.items()], [Automaton(k, v) for k, vs in TEMPLATES.items() for v in vs]
+def automata(markups: Mapping[str, Sequence[str]]) -> tuple[list[Automaton], list[Automaton]]:
+    return [Automaton(k, v) for k, v in BASE.items()], [Automaton(k, v) for k, vs in markups.items() for v in vs]
 
 
 def _anchor_hashes(anchors: list[str]) -> np.ndarray:
@@ -171,18 +159,21 @@ def _anchor_hashes(anchors: list[str]) -> np.ndarray:
     return span_hashes(np.frombuffer(b"".join(raw), np.uint8), ends - np.array([len(r) for r in raw], np.int64), ends)
 
 
-def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", markups: Mapping[str, Sequence[str]] | None = None) -> DataFrame:
     """One row per document: word and place counts, labels, score and the matched spans (label, start, end, in words).
 
     score is 1 if a whole template is accepted, 0.5 if only base phrases stand there, else 0.
+    markups: label -> templates, those of the package if not given.
     """
+    markups = {k: list(v) for k, v in (templates() if markups is None else markups).items()}
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        base, full = automata()
-        every = [(a, True) for a in base] + [(a, False) for a in full]
-        hashes = _anchor_hashes([a.anchor for a, _ in every])
-        distinct = np.unique(hashes)
+        base, full = automata(markups)
+        by_anchor: dict[str, list[tuple[Automaton, bool]]] = {}
+        for a, is_base in [(a, True) for a in base] + [(a, False) for a in full]:
+            by_anchor.setdefault(a.anchor, []).append((a, is_base))
+        distinct = np.unique(_anchor_hashes(list(by_anchor)))
         for whole in batches:
             for batch in slices(whole, 1):
                 low, starts, ends, first = words(*utf8(batch.column(1)))
@@ -190,16 +181,15 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
                 near = np.flatnonzero(distinct[np.minimum(np.searchsorted(distinct, h), len(distinct) - 1)] == h)
                 spans: list[set] = [set() for _ in range(batch.num_rows)]
                 places: list[list] = [[] for _ in range(batch.num_rows)]
-                row = np.searchsorted(first, near, side="right") - 1
-                for r in np.unique(row).tolist():
+                rows, cut = np.unique(np.searchsorted(first, near, side="right") - 1, return_index=True)
+                for r, mine in zip(rows.tolist(), np.split(near, cut[1:])):
                     a, b = int(first[r]), int(first[r + 1])
                     text = [low[s:e].tobytes().decode() for s, e in zip(starts[a:b].tolist(), ends[a:b].tolist())]
-                    for at in (near[row == r] - a).tolist():
-                        for one, is_base in every:
-                            if text[at] == one.anchor:
-                                for s in range(max(0, at - one.before[1]), at - one.before[0] + 1):
-                                    if (e := one.match(text, s)) > 0:
-                                        spans[r].add((one.label, s, e, is_base))
+                    for at in (mine - a).tolist():
+                        for one, is_base in by_anchor.get(text[at], ()):
+                            for s in range(max(0, at - one.before[1]), at - one.before[0] + 1):
+                                if (e := one.match(text, s)) > 0:
+                                    spans[r].add((one.label, s, e, is_base))
                     places[r] = sorted(s for _, s, _, is_base in spans[r] if is_base)
                 labels = [[",".join(sorted({x[0] for x in found if x[3] or not only})) for found in spans] for only in (True, False)]
                 yield pa.RecordBatch.from_arrays(

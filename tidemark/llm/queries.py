@@ -68,7 +68,7 @@ _WORDS = f"regexp_extract_all({_LOWER}, '{WORD_PATTERN}')"
 
 def _op1_sql() -> str:
     places = {k: f"list_filter(range(0, len(w)), lambda i: {' AND '.join(f'w[i + {j + 1}] = {x!r}' for j, x in enumerate(v.split()))})" for k, v in licenses.BASE.items()}
-    full = {k: " OR ".join(f"regexp_matches(t, '{licenses.as_regex(licenses.parse(m))} ')" for m in v) for k, v in licenses.TEMPLATES.items()}
+    full = {k: " OR ".join(f"regexp_matches(t, '{licenses.as_regex(licenses.parse(m))} ')" for m in v) for k, v in licenses.templates().items()}
     named = lambda x: f"array_to_string(list_sort(list_distinct(list_filter([{x}], lambda v: v IS NOT NULL))), ',')"
     base = ", ".join(f"CASE WHEN len({c}) > 0 THEN '{k}' END" for k, c in zip(places, ("a", "b", "c")))
     more = ", ".join(f"CASE WHEN {e} THEN '{k}' END" for k, e in full.items())
