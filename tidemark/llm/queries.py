@@ -5,10 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import decontaminate, language, licenses, near_dedup, packing, passages, quality, suffix_dedup, tokens, topk
+from tidemark.llm import decontaminate, language, licenses, near_dedup, packing, passages, quality, runs, suffix_dedup, tokens, topk
 from tidemark.llm.common import WORD_PATTERN, held_out
 
 
@@ -58,8 +58,36 @@ def op10_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return passages.passage_classes(_table(spark, sf_dir, "documents"))
 
 
+def _with_repeats(docs: DataFrame) -> DataFrame:
+    """The contract's repeats: in a tenth of the documents, told by crc32 of the id, each word i >= a becomes word a + (i - a) % p."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    words = F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != "")
+
+    def again(w: Column) -> Column:
+        n, g = F.size(w).cast("long"), F.floor(h / 10)
+        a = g % n
+        p = 1 + F.floor((n - a) / (3 + g % 8))
+        place = lambda i: F.when(i < a, i).otherwise(a + (i - a) % p)
+        return F.when(n > 0, F.array_join(F.transform(F.sequence(F.lit(0).cast("long"), n - 1), lambda i: F.element_at(w, (place(i) + 1).cast("int"))), " "))
+
+    # a lambda over one array, so that the words are split once
+    planted = F.element_at(F.transform(F.array(words), again), 1)
+    return docs.select("doc_id", F.when(h % 10 == 0, planted).otherwise(F.col("text")).alias("text"))
+
+
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = runs.periodic_runs(_with_repeats(_table(spark, sf_dir, "documents")))
+    best = F.reduce("runs", F.lit(None).cast("struct<start:long,length:long,period:long>"), lambda a, r: F.when(a.isNull() | (r.length * a.period > a.length * r.period), r).otherwise(a))
+    listed = F.array_join(F.transform("runs", lambda r: F.concat(F.concat_ws(",", r.start, r.length, r.period), F.lit("\n"))), "")
+    sha = lambda c: F.sha2(c.cast("binary"), 256)
+    return found.withColumn("best", best).select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period",
+        F.expr("(1000 * best.length) div best.period").alias("exponent_milli"), sha(listed).alias("runs_sha256"), sha(F.col("collapsed")).alias("collapsed_sha256"),
+    )
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_license_scan, op2_near_duplicates, op3_decontaminate, op4_pack, op5_nearest, op6_language, op7_token_counts, op8_suffix_dedup, op9_quality, op10_passages)}
+    return {f.__name__: f for f in (op1_license_scan, op2_near_duplicates, op3_decontaminate, op4_pack, op5_nearest, op6_language, op7_token_counts, op8_suffix_dedup, op9_quality, op10_passages, op11_periodic_runs)}
 
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -97,5 +125,26 @@ _OP5_SQL = (
 )
 
 
+#: crc32 of the id as decimal text, bit by bit (a 256 stands for a shift).
+_CRC = (
+    "xor(list_reduce(list_concat([4294967295::UBIGINT], flatten(list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: [ascii(c)::UBIGINT, 256, 256, 256, 256, 256, 256, 256, 256]))), "
+    "lambda c, x: CASE WHEN x = 256 THEN xor(c >> 1, 3988292384::UBIGINT * (c & 1)) ELSE xor(c, x) END), 4294967295::UBIGINT)::BIGINT"
+)
+_OP11_SQL = (
+    f"WITH t AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w, {_CRC} AS h FROM documents), "
+    "d AS (SELECT *, len(w) AS n, CASE WHEN h % 10 = 0 AND len(w) > 0 THEN (h // 10) % len(w) ELSE len(w) END AS a FROM t), "
+    "e AS (SELECT *, 1 + (n - a) // (3 + (h // 10) % 8) AS p FROM d), "
+    "x AS (SELECT doc_id, n, i, w[1 + CASE WHEN i >= a THEN a + (i - a) % p ELSE i END] AS v FROM (SELECT *, unnest(range(n)) AS i FROM e)), "
+    "m AS (SELECT x.doc_id, y.i - x.i AS q, x.i, x.i - row_number() OVER (PARTITION BY x.doc_id, y.i - x.i ORDER BY x.i) AS g FROM x JOIN x AS y ON y.doc_id = x.doc_id AND y.v = x.v AND y.i > x.i AND 4 * (y.i - x.i) <= x.n), "
+    "s AS (SELECT doc_id, q, min(i) AS a, max(i) + 1 + q AS b FROM m GROUP BY doc_id, q, g HAVING count(*) >= greatest(3 * q, 6 - q)), "
+    "r AS (SELECT doc_id, a AS s, b - a AS l, min(q) AS q FROM s GROUP BY 1, 2, 3), "
+    "b AS (SELECT * FROM r QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY l::DOUBLE / q DESC, s, q) = 1), "
+    "k AS (SELECT doc_id, count(*) AS n, string_agg(s || ',' || l || ',' || q || chr(10), '' ORDER BY s, q) AS t FROM r GROUP BY 1), "
+    "c AS (SELECT x.doc_id, string_agg(v, ' ' ORDER BY i) AS t FROM x WHERE NOT EXISTS (SELECT 1 FROM r WHERE r.doc_id = x.doc_id AND x.i >= r.s + r.q AND x.i < r.s + r.l) GROUP BY 1) "
+    "SELECT e.doc_id, coalesce(k.n, 0) AS n_runs, b.s AS start, b.l AS length, b.q AS period, 1000 * b.l // b.q AS exponent_milli, sha256(coalesce(k.t, '')) AS runs_sha256, sha256(coalesce(c.t, '')) AS collapsed_sha256 "
+    "FROM e LEFT JOIN k USING (doc_id) LEFT JOIN b USING (doc_id) LEFT JOIN c USING (doc_id)"
+)
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_license_scan": _op1_sql(), "op3_decontaminate": _OP3_SQL, "op5_nearest": _OP5_SQL}
+    return {"op1_license_scan": _op1_sql(), "op3_decontaminate": _OP3_SQL, "op5_nearest": _OP5_SQL, "op11_periodic_runs": _OP11_SQL}
