@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import decontaminate, language, licenses, near_dedup, packing, passages, quality, runs, suffix_dedup, tokens, topk
+from tidemark.llm import decontaminate, language, licenses, manifest, near_dedup, packing, passages, quality, runs, suffix_dedup, tokens, topk
 from tidemark.llm.common import WORD_PATTERN, held_out
 
 
@@ -86,8 +86,14 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tampered = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
+    lower = F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    return manifest.merkle_manifest(_table(spark, sf_dir, "documents"), changed={"text": F.when(tampered, lower).otherwise(F.col("text"))})
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_license_scan, op2_near_duplicates, op3_decontaminate, op4_pack, op5_nearest, op6_language, op7_token_counts, op8_suffix_dedup, op9_quality, op10_passages, op11_periodic_runs)}
+    return {f.__name__: f for f in (op1_license_scan, op2_near_duplicates, op3_decontaminate, op4_pack, op5_nearest, op6_language, op7_token_counts, op8_suffix_dedup, op9_quality, op10_passages, op11_periodic_runs, op12_merkle_manifest)}
 
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -146,5 +152,30 @@ _OP11_SQL = (
 )
 
 
+def _op12_sql(levels: int = 7) -> str:
+    enc = lambda t: " || ".join(f"coalesce(strlen(CAST({c} AS VARCHAR)) || ':' || {c}, '-')" for c in ("doc_id", "source", "lang", "n_chars", t))
+    grow = lambda n, first: ", ".join(
+        [f"{n}0 AS ({first})"]
+        + [f"{n}{k + 1} AS (SELECT tree, {k + 1} AS lvl, i // 16 AS i, (max(n) + 15) // 16 AS n, sha256(string_agg(h, '' ORDER BY i)) AS h FROM {n}{k} WHERE n > 1 GROUP BY tree, i // 16)" for k in range(levels)]
+        + [f"{n} AS (" + " UNION ALL ".join(f"SELECT tree, lvl, i, n, h FROM {n}{k}" for k in range(levels + 1)) + ")"]
+    )
+    lower = _LOWER.replace("coalesce(text, '')", "text")
+    run = "OVER (PARTITION BY tree, lvl, i // 16 ORDER BY i ROWS BETWEEN"
+    return (
+        f"WITH RECURSIVE d AS (SELECT doc_id, dense_rank() OVER (ORDER BY source NULLS FIRST) - 1 AS tree, sha256({enc('text')}) AS h, CASE WHEN {_CRC} % 5 = 0 THEN sha256({enc(lower)}) END AS later FROM documents), "
+        "o AS (SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, h, later) - 1 AS i, count(*) OVER (PARTITION BY tree) AS n FROM d), "
+        + grow("a", "SELECT tree, 0 AS lvl, i, n, h FROM o")
+        + ", s AS (SELECT tree, h FROM a WHERE n = 1), "
+        + grow("b", "SELECT -1 AS tree, 0 AS lvl, tree AS i, count(*) OVER () AS n, h FROM s")
+        + f", nodes AS (SELECT *, coalesce(string_agg(h, '') {run} UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS pre, coalesce(string_agg(h, '') {run} 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS post FROM (FROM a UNION ALL FROM b)), "
+        "f AS (SELECT tree AS t0, i AS i0, tree, 0 AS lvl, i, coalesce(later, h) AS h, '' AS proof FROM o UNION ALL "
+        "SELECT t0, i0, CASE WHEN x.n > 1 THEN x.tree ELSE -1 END, CASE WHEN x.n > 1 THEN x.lvl + 1 ELSE 0 END, CASE WHEN x.n > 1 THEN x.i // 16 ELSE x.tree END, CASE WHEN x.n > 1 THEN sha256(x.pre || f.h || x.post) ELSE f.h END, CASE WHEN x.n > 1 THEN proof || x.pre || x.post ELSE proof END "
+        "FROM f JOIN nodes AS x ON x.tree = f.tree AND x.lvl = f.lvl AND x.i = f.i WHERE x.n > 1 OR x.tree >= 0), "
+        "r AS (SELECT h AS root, lvl FROM b WHERE n = 1) "
+        "SELECT o.doc_id, o.h AS leaf, s.h AS subroot, r.root, sha256(f.proof) AS proof_sha256, f.h AS folded_root, f.h = r.root AS verified "
+        "FROM o JOIN s USING (tree) CROSS JOIN r JOIN f ON f.t0 = o.tree AND f.i0 = o.i AND f.tree = -1 AND f.lvl = r.lvl"
+    )
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_license_scan": _op1_sql(), "op3_decontaminate": _OP3_SQL, "op5_nearest": _OP5_SQL, "op11_periodic_runs": _OP11_SQL}
+    return {"op1_license_scan": _op1_sql(), "op3_decontaminate": _OP3_SQL, "op5_nearest": _OP5_SQL, "op11_periodic_runs": _OP11_SQL, "op12_merkle_manifest": _op12_sql()}
