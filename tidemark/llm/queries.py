@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import decontaminate, language, licenses, manifest, near_dedup, packing, passages, quality, runs, suffix_dedup, tokens, topk
+from tidemark.llm import decontaminate, language, licenses, manifest, near_dedup, packing, passages, quality, runs, suffix_dedup, tokens, topk, url_filter
 from tidemark.llm.common import WORD_PATTERN, held_out
 
 
@@ -92,8 +92,13 @@ def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return manifest.merkle_manifest(_table(spark, sf_dir, "documents"), changed={"text": F.when(tampered, lower).otherwise(F.col("text"))})
 
 
+def op13_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = _table(spark, sf_dir, "pages")
+    return url_filter.filter_urls(pages, url_filter.fit_urls(url_filter.seed_labels(pages)))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_license_scan, op2_near_duplicates, op3_decontaminate, op4_pack, op5_nearest, op6_language, op7_token_counts, op8_suffix_dedup, op9_quality, op10_passages, op11_periodic_runs, op12_merkle_manifest)}
+    return {f.__name__: f for f in (op1_license_scan, op2_near_duplicates, op3_decontaminate, op4_pack, op5_nearest, op6_language, op7_token_counts, op8_suffix_dedup, op9_quality, op10_passages, op11_periodic_runs, op12_merkle_manifest, op13_url_filter)}
 
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
