@@ -1,8 +1,7 @@
 """Model work as Spark jobs: Spark ML estimators, and searches over grids that reduce to confusion counts.
 
-Known differences to other libraries: Spark has no random-cut trees (``extra`` is a forest without bootstrap
-that tries sqrt features), its boosting is binary (three one-vs-rest models, normalised), and its perceptron
-has no class weights (rows are repeated by weight).
+Random-cut trees and boosting of three classes at once are ``trees``' own; Spark's perceptron has no class weights,
+so it learns from rows drawn in proportion to them.
 """
 
 from __future__ import annotations
@@ -12,18 +11,18 @@ from itertools import product
 from multiprocessing.pool import ThreadPool
 
 from pyspark import inheritable_thread_target
-from pyspark.ml.classification import (
-    GBTClassificationModel, GBTClassifier, MultilayerPerceptronClassificationModel, MultilayerPerceptronClassifier, RandomForestClassificationModel, RandomForestClassifier,
-)
+from pyspark.ml.classification import MultilayerPerceptronClassificationModel, MultilayerPerceptronClassifier, RandomForestClassificationModel, RandomForestClassifier
 from pyspark.ml.clustering import KMeans, KMeansModel
 from pyspark.ml.feature import PCA, PCAModel, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import divide
+from tidemark.operators import trees as grown
 from tidemark.operators.evaluate import _counts, confusion, high_recall, macro_f1
 from tidemark.operators.fit import CLASSES, population_scaler
+from tidemark.sources.shared import staged
 
 PROBABILITIES = tuple(f"p_{c}" for c in CLASSES)
 # Search grids.
@@ -154,6 +153,65 @@ def argmax(low: Column, medium: Column, high: Column) -> Column:
     return F.when((low >= medium) & (low >= high), "low").when(medium >= high, "medium").otherwise("high")
 
 
+def systematic_sample(df: DataFrame, weight: str = "weight", by: str = "y", seed: int = 7) -> DataFrame:
+    """Rows repeated by systematic resampling: as often as a unit grid with a random start falls into the row's stretch of
+    the running weight sum of its class.
+
+    A row of weight w comes floor(w) or ceil(w) times, w times on average; a class's rows are within one of its weights'
+    sum, whatever the fractions.  The same stored rows and seed give the same copies.  Null and negative weights count
+    as 0.  Running sums are made per stored partition, from the sums of earlier partitions, in decimals, so no rounding
+    adds up.
+    """
+    w = F.greatest(F.coalesce(F.col(weight), F.lit(0.0)), F.lit(0.0)).cast("decimal(20,9)")
+    rows = staged(df.withColumns({"_w": w, "_row": F.monotonically_increasing_id()}), "weights").withColumn("_part", F.shiftright("_row", 33))
+    parts = rows.groupBy(F.col(by).alias("_by"), F.col("_part").alias("_of")).agg(F.sum("_w").alias("_sum"))
+    earlier = Window.partitionBy("_by").orderBy("_of").rowsBetween(Window.unboundedPreceding, -1)
+    parts = parts.select("_by", "_of", F.coalesce(F.sum("_sum").over(earlier), F.lit(0)).cast("decimal(30,9)").alias("_before"))
+    own = Window.partitionBy(by, "_part").orderBy("_row")
+    found = rows.withColumn("_to", F.sum("_w").over(own).cast("decimal(30,9)")).join(parts, F.col(by).eqNullSafe(F.col("_by")) & (F.col("_part") == F.col("_of")))
+    start = (F.pmod(F.xxhash64(F.col(by).cast("string"), F.lit(seed)), F.lit(1_000_000_000)) / 1_000_000_000).cast("decimal(10,9)")
+    ends = F.col("_before") + F.col("_to") + start
+    times = (F.floor(ends) - F.floor(ends - F.col("_w"))).cast("int")
+    return found.withColumn("_times", times).filter("_times > 0").withColumn("_again", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*df.columns)
+
+
+class Network:
+    """A perceptron on rows drawn by weight, trained in stretches until a held-out part stops gaining."""
+
+    def __init__(self, hidden: Sequence[int] = (96, 48), iterations: int = 60, stretch: int = 15, patience: int = 2, share: float = 0.1, seed: int = 7):
+        self.hidden, self.iterations, self.stretch, self.patience, self.share, self.seed = tuple(hidden), iterations, stretch, patience, share, seed
+
+    def fit(self, data: DataFrame) -> MultilayerPerceptronClassificationModel:
+        """data: features, _label, weight.  The last stretch's model is kept only if no earlier one was better."""
+        out = F.pmod(F.xxhash64("features", "_label", F.lit(self.seed)), F.lit(1000)) < int(1000 * self.share)
+        marked = staged(data.select("features", "_label", "weight", out.alias("_out")), "network")
+        learn = systematic_sample(marked.filter("not _out"), "weight", "_label", self.seed).select("features", "_label").persist()
+        held = marked.filter("_out").persist()
+        size, best, worse, weights = len(marked.select("features").first()[0]), None, 0, None
+        self.losses: list[float] = []
+        try:
+            for _ in range(-(-self.iterations // self.stretch)):
+                step = MultilayerPerceptronClassifier(layers=[size, *self.hidden, 3], maxIter=self.stretch, labelCol="_label", featuresCol="features", seed=self.seed)
+                model = (step if weights is None else step.setInitialWeights(weights)).fit(learn)
+                weights = model.weights
+                true = F.element_at(vector_to_array("probability"), F.col("_label").cast("int") + 1)
+                loss = model.transform(held).agg(F.sum(-F.ln(F.greatest(true, F.lit(1e-12))) * F.col("weight")) / F.sum("weight")).first()[0]
+                if loss is None:  # nothing held out
+                    best = model
+                    continue
+                if not self.losses or loss < min(self.losses):
+                    best, worse = model, 0
+                else:
+                    worse += 1
+                self.losses.append(loss)
+                if worse >= self.patience:
+                    break
+        finally:
+            learn.unpersist()
+            held.unpersist()
+        return best
+
+
 class Candidate:
     """One classifier over a vector column ``features``."""
 
@@ -164,47 +222,42 @@ class Candidate:
         """train: features, the label, weight."""
         index = F.when(F.col(label) == "low", 0.0).when(F.col(label) == "medium", 1.0).otherwise(2.0)
         data = train.withColumn("_label", index)
-        common = {"labelCol": "_label", "featuresCol": "features", "seed": self.seed}
-        if self.kind in ("forest", "extra"):
-            forest = RandomForestClassifier(numTrees=self.trees, minInstancesPerNode=4, weightCol="weight", maxDepth=8, **common)
-            if self.kind == "extra":
-                forest = forest.setBootstrap(False).setFeatureSubsetStrategy("sqrt")
-            self.models = [forest.fit(data)]
+        if self.kind == "forest":
+            self.model = RandomForestClassifier(numTrees=self.trees, minInstancesPerNode=4, weightCol="weight", maxDepth=8, labelCol="_label", featuresCol="features", seed=self.seed).fit(data)
+        elif self.kind == "extra":
+            self.model = grown.ExtraTrees(self.trees, seed=self.seed).fit(grown.training_rows(data, F.col("_label")))
         elif self.kind == "boosting":
-            boost = GBTClassifier(maxIter=max(10, min(180, self.trees // 3)), stepSize=0.045, maxDepth=3, minInstancesPerNode=5, subsamplingRate=0.85, weightCol="weight", **common)
-            self.models = [boost.fit(data.withColumn("_label", (F.col("_label") == i).cast("double"))) for i in range(3)]
+            self.model = grown.Boosting(max(50, min(self.trees, 180)), seed=self.seed).fit(grown.training_rows(data, F.col("_label")))
         else:
-            size = len(data.select("features").first()[0])
-            repeated = data.withColumn("_again", F.explode(F.sequence(F.lit(1), F.greatest(F.lit(1), F.round("weight").cast("int")))))
-            self.models = [MultilayerPerceptronClassifier(layers=[size, 96, 48, 3], maxIter=60, **common).fit(repeated)]
+            self.model = Network(iterations=max(60, min(260, self.trees // 2)), seed=self.seed).fit(data)
         return self
 
     def predict(self, df: DataFrame) -> DataFrame:
         """df with p_low, p_medium, p_high."""
-        if self.kind == "boosting":
-            out = df
-            for i, m in enumerate(self.models):
-                out = m.transform(out).withColumn(f"_p{i}", vector_to_array("probability")[1]).drop("rawPrediction", "probability", "prediction")
-            return out.withColumns(aligned(F.array("_p0", "_p1", "_p2"), CLASSES)).drop("_p0", "_p1", "_p2")
-        out = self.models[0].transform(df)
-        known = list(CLASSES)[: self.models[0].numClasses]
+        if self.kind in ("extra", "boosting"):
+            return grown.predicted(df, self.model, "_p").withColumns(aligned(F.col("_p"), CLASSES)).drop("_p")
+        out = self.model.transform(df)
+        known = list(CLASSES)[: self.model.numClasses]
         return out.withColumns(aligned(vector_to_array("probability"), known)).drop("rawPrediction", "probability", "prediction")
 
-    def save(self, path: str) -> None:
-        for i, m in enumerate(self.models):
-            m.write().overwrite().save(f"{path}/{i}")
+    def save(self, spark: SparkSession, path: str) -> None:
+        if self.kind in ("extra", "boosting"):
+            self.model.save(spark, path)
+        else:
+            self.model.write().overwrite().save(path)
 
-    def load(self, path: str) -> Candidate:
-        """The fitted models of a candidate of this kind."""
-        kind = {"boosting": GBTClassificationModel, "network": MultilayerPerceptronClassificationModel}.get(self.kind, RandomForestClassificationModel)
-        self.models = [kind.load(f"{path}/{i}") for i in range(3 if self.kind == "boosting" else 1)]
+    def load(self, spark: SparkSession, path: str) -> Candidate:
+        """The fitted model of a candidate of this kind."""
+        own = {"boosting": grown.Boosting, "extra": grown.ExtraTrees}.get(self.kind)
+        kind = MultilayerPerceptronClassificationModel if self.kind == "network" else RandomForestClassificationModel
+        self.model = own.load(spark, path) if own else kind.load(path)
         return self
 
     def importances(self, names: Sequence[str]) -> list[tuple[str, float]]:
         if self.kind == "network":
             return [(n, 0.0) for n in names]
-        total = [sum(float(m.featureImportances[i]) for m in self.models) / len(self.models) for i in range(len(names))]
-        return list(zip(names, total))
+        found = self.model.featureImportances if self.kind == "forest" else self.model.importances()
+        return [(n, float(found[i])) for i, n in enumerate(names)]
 
 
 def grid_search(df: DataFrame, grid: DataFrame, pred: Column, bonus: float = 0.0, y: str = "y", weight: str | None = None) -> DataFrame:

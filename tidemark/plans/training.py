@@ -69,13 +69,13 @@ class Bundle:
     def state(self) -> dict:
         return {"preprocessor": self.preprocessor.state(), "features": self.features, "kinds": {k: c.trees for k, c in self.candidates.items()}, "weights": self.weights, "gamma": self.gamma, "cuts": list(self.cuts), "rows": [list(r) for r in self.rows]}
 
-    def save(self, path: str) -> None:
+    def save(self, spark: SparkSession, path: str) -> None:
         for kind, c in self.candidates.items():
-            c.save(f"{path}/{kind}")
+            c.save(spark, f"{path}/{kind}")
 
     @staticmethod
-    def load(state: dict, path: str) -> Bundle:
-        candidates = {k: models.Candidate(k, trees).load(f"{path}/{k}") for k, trees in state["kinds"].items()}
+    def load(spark: SparkSession, state: dict, path: str) -> Bundle:
+        candidates = {k: models.Candidate(k, trees).load(spark, f"{path}/{k}") for k, trees in state["kinds"].items()}
         return Bundle(Preprocessor.from_state(state["preprocessor"]), state["features"], candidates, state["weights"], state["gamma"], tuple(state["cuts"]), [tuple(r) for r in state["rows"]])
 
 
@@ -86,7 +86,10 @@ def fit_bundle(rows: DataFrame, numeric: Sequence[str], categorical: Sequence[st
     bundle = Bundle(pre, list(pre.outputs()), {})
     learn = models.weighted(bundle.vectors(train)).persist()
     try:
-        bundle.candidates = {k: models.Candidate(k, trees, seed).fit(learn) for k in kinds}
+        # independent fits of many small jobs
+        fit = inheritable_thread_target(rows.sparkSession)(lambda k: models.Candidate(k, trees, seed).fit(learn))
+        with ThreadPool(len(kinds)) as pool:
+            bundle.candidates = dict(zip(kinds, pool.map(fit, kinds)))
     finally:
         learn.unpersist()
     # the searches only need the class and the votes
@@ -137,8 +140,8 @@ class Package:
         """One folder: the fitted models, and the parameters as a text of one row."""
         self.regimes.save(f"{path}/regimes")
         self.factors.save(f"{path}/factors")
-        self.bundle.save(f"{path}/bundle")
-        self.expert.save(f"{path}/expert")
+        self.bundle.save(spark, f"{path}/bundle")
+        self.expert.save(spark, f"{path}/expert")
         state = {"regimes": self.regimes.state(), "factors": self.factors.state(), "chosen": self.chosen, "bundle": self.bundle.state(), "expert": self.expert.state(), "sectors": self.sectors, "sector": self.sector}
         spark.createDataFrame([(json.dumps(state),)], "state string").coalesce(1).write.mode("overwrite").text(f"{path}/state")
 
@@ -147,7 +150,7 @@ class Package:
         s = json.loads(spark.read.text(f"{path}/state").first()["value"])
         return Package(
             models.Regimes.load(s["regimes"], f"{path}/regimes"), models.LatentFactors.load(s["factors"], f"{path}/factors"), s["chosen"],
-            Bundle.load(s["bundle"], f"{path}/bundle"), Bundle.load(s["expert"], f"{path}/expert"), s["sectors"], s["sector"],
+            Bundle.load(spark, s["bundle"], f"{path}/bundle"), Bundle.load(spark, s["expert"], f"{path}/expert"), s["sectors"], s["sector"],
         )
 
 
