@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import EPS, clip, divide, finite, flag, floor_at
+from tidemark.functions.longform import to_lines, to_rows
 
 # The features that are ranked within a date.
 RANKED = ("log_market_cap", "beta_60d", "rolling_vol_20d", "downside_vol_60d", "amihud_20d", "avg_daily_traded_value_20d", "spread_proxy", "turnover_ratio", "net_debt_to_ebitda", "interest_coverage", "free_cash_flow", "report_financial_pressure", "report_net_debt_to_ebitda", "report_interest_coverage", "report_free_cf_margin", "report_text_risk_density", "report_lag_days", "report_integrated_stress")
@@ -79,25 +80,29 @@ def percent_rank_average(c: str, by: list[str]) -> Column:
 def cross_sectional(df: DataFrame, features: list[str], date: str = "decision_date", sector: str = "sector") -> DataFrame:
     """Adds <c>_cs_rank (rank within the date) and <c>_sector_z (deviation within date and sector, else 0).
 
-    Ranks come from counts by distinct value, means and deviations from aggregations; all are joined by
-    date (and sector, value), so a date with very many rows is combined before any exchange.
+    Two exchanges for all features: values by date and feature, where ranks and the sector's moments are windows, and
+    the rows again by number.  A window holds one feature's values of one date, one per security.  Rows without a date
+    have no rank and deviation 0.
     """
     have = [c for c in features if c in df.columns]
+    if not have:
+        return df
     by_sector = sector in df.columns
-    out = df
-    long = df.select(date, *([sector] if by_sector else []), *(finite(F.col(c)).alias(c) for c in have)).unpivot([date, *([sector] if by_sector else [])], have, "_f", "_x").filter("_x is not null")
-    counts = long.groupBy(date, "_f", "_x").agg(F.count("*").alias("_n"))
-    w = Window.partitionBy(date, "_f")
-    ranks = counts.select(date, "_f", "_x", ((F.sum("_n").over(w.orderBy("_x")) - (F.col("_n") - 1) / 2) / F.sum("_n").over(w)).alias("_rank"))
-    for c in have:
-        mine = ranks.filter(F.col("_f") == c).select(date, F.col("_x").alias("_v"), F.col("_rank").alias(f"{c}_cs_rank"))
-        out = out.withColumn("_v", finite(F.col(c))).join(mine, [date, "_v"], "left").drop("_v")
+    keys = {"_date": F.col(date)} | ({"_sector": F.col(sector)} if by_sector else {})
+    lines = to_lines(df, {c: finite(F.col(c)) for c in have}, keys)
+    # lines of rows, and of rows without a date, are spread by their number
+    alone = F.when(F.col("_date").isNull(), F.col("_id"))
+    whole = Window.partitionBy("_date", "_name", "_alone")
+    place, peers = whole.orderBy("_x"), Window.partitionBy("_date", "_name", "_alone", "_x")
+    ranked = lines.withColumn("_alone", alone).withColumn("_rank", (F.rank().over(place) + (F.count("*").over(peers) - 1) / 2) / F.count("*").over(whole))
+    ranked = ranked.withColumn("_rank", F.when(F.col("_date").isNotNull(), F.col("_rank")))
+    results = {f"{c}_cs_rank": (c, "_rank") for c in have}
     if by_sector:
-        stats = df.groupBy(date, sector).agg(*(F.avg(finite(F.col(c))).alias(f"_m_{c}") for c in have), *(F.stddev_samp(finite(F.col(c))).alias(f"_s_{c}") for c in have))
-        out = out.join(stats, (out[date].eqNullSafe(stats[date])) & out[sector].eqNullSafe(stats[sector]), "left").drop(stats[date]).drop(stats[sector])
-        out = out.withColumns({f"{c}_sector_z": F.coalesce(finite(divide(finite(F.col(c)) - F.col(f"_m_{c}"), F.col(f"_s_{c}"))), F.lit(0.0)) for c in have})
-        out = out.drop(*(f"_m_{c}" for c in have), *(f"_s_{c}" for c in have))
-    return out
+        own = Window.partitionBy("_date", "_name", "_alone", "_sector")
+        ranked = ranked.withColumn("_z", finite(divide(F.col("_x") - F.avg("_x").over(own), F.stddev_samp("_x").over(own))))
+        results |= {f"{c}_sector_z": (c, "_z") for c in have}
+    out = to_rows(ranked, df.columns, results)
+    return out.withColumns({f"{c}_sector_z": F.coalesce(F.col(f"{c}_sector_z"), F.lit(0.0)) for c in have}) if by_sector else out
 
 
 def augment(df: DataFrame, ranked: tuple[str, ...] = RANKED) -> tuple[DataFrame, list[str]]:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import divide
+from tidemark.functions.longform import ROW, to_lines, to_rows
 
 # The weight of each component in the risk score.
 WEIGHTS = {"future_max_drawdown": 0.35, "future_downside_volatility": 0.30, "future_cvar_95": 0.20, "future_illiquidity": 0.15}
@@ -32,10 +33,10 @@ def ecdf_rank(df: DataFrame, train: DataFrame, columns: list[str], suffix: str =
     before = sums.select("_c", "part", F.coalesce(F.sum("s").over(by.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"), F.sum("s").over(by).alias("total"))
     running = F.sum("n").over(Window.partitionBy("_c", "part").orderBy("_v"))
     found = dealt.withColumn("r", running).filter("asked > 0").join(F.broadcast(before), ["_c", "part"]).select("_c", "_v", ((F.col("r") + F.col("before")) / F.col("total")).alias("share"))
-    for c in columns:
-        mine = found.filter(F.col("_c") == c).select("_v", F.col("share").alias(f"{c}{suffix}"))
-        df = df.withColumn("_v", F.col(c).cast("double")).join(mine, "_v", "left").drop("_v")
-    return df
+    # all columns' values meet their shares in one join; lines of rows have keys of their own
+    lines = to_lines(df, {c: F.col(c) for c in columns}).withColumn("_v", F.when(F.col("_name") == ROW, F.col("_id").cast("double")).otherwise(F.col("_x")))
+    lines = lines.join(found.withColumnRenamed("_c", "_name"), ["_name", "_v"], "left")
+    return to_rows(lines, df.columns, {f"{c}{suffix}": (c, "share") for c in columns})
 
 
 def risk_score(df: DataFrame, suffix: str = "_rank") -> DataFrame:

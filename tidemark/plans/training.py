@@ -10,12 +10,15 @@ from multiprocessing.pool import ThreadPool
 
 from pyspark import inheritable_thread_target
 from pyspark.ml.feature import VectorAssembler
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.functions import finite
 from tidemark.operators import models, splits
-from tidemark.operators.evaluate import classification_scores
-from tidemark.operators.fit import Preprocessor
+from tidemark.operators.clusters import kmeans_folds, regime
+from tidemark.operators.evaluate import classification_scores, metric_delta
+from tidemark.operators.fit import CLASSES, MISSING, Preprocessor
+from tidemark.operators.selection import FoldStatistics
 from tidemark.sources.shared import staged
 
 DEFAULT_RANGES = {"train": ("1996-01-01", "1999-06-30"), "validation": ("1999-07-01", "2000-03-31"), "test": ("2000-04-01", "2000-12-31")}
@@ -79,12 +82,15 @@ class Bundle:
         return Bundle(Preprocessor.from_state(state["preprocessor"]), state["features"], candidates, state["weights"], state["gamma"], tuple(state["cuts"]), [tuple(r) for r in state["rows"]])
 
 
-def fit_bundle(rows: DataFrame, numeric: Sequence[str], categorical: Sequence[str] = (), kinds: Sequence[str] = ("forest", "extra", "boosting"), trees: int = 60, weight_step: float = 0.10, bonus: float = 0.02, seed: int = 7) -> Bundle:
-    """rows: split and y, stored or cheap to make.  Candidates learn from train; weights, power and cuts are chosen on validation."""
+def fit_bundle(rows: DataFrame, numeric: Sequence[str], categorical: Sequence[str] = (), kinds: Sequence[str] = ("forest", "extra", "boosting"), trees: int = 60, weight_step: float = 0.10, bonus: float = 0.02, seed: int = 7, preprocessor: Preprocessor | None = None, weight: Column | None = None) -> Bundle:
+    """rows: split and y, stored or cheap to make.  Candidates learn from train; weights, power and cuts are chosen on validation.
+
+    preprocessor and weight: fitted ones, where they are known already.
+    """
     train, validation = rows.filter("split = 'train'"), rows.filter("split = 'validation'")
-    pre = Preprocessor(list(numeric), list(categorical)).fit(train)
+    pre = Preprocessor(list(numeric), list(categorical)).fit(train) if preprocessor is None else preprocessor
     bundle = Bundle(pre, list(pre.outputs()), {})
-    learn = models.weighted(bundle.vectors(train)).persist()
+    learn = (models.weighted(bundle.vectors(train)) if weight is None else bundle.vectors(train).withColumn("weight", weight)).persist()
     try:
         # independent fits of many small jobs
         fit = inheritable_thread_target(rows.sparkSession)(lambda k: models.Candidate(k, trees, seed).fit(learn))
@@ -163,7 +169,7 @@ class Run:
     package: Package
 
 
-def run(df: DataFrame, numeric: Sequence[str], macro: Sequence[str], report: Sequence[str] = (), sector: str = "sector", ranges: Mapping[str, tuple[str, str]] = DEFAULT_RANGES, trees: int = 60, kinds: Sequence[str] = ("forest", "extra"), report_gain: float = 0.005, embargo_days: int = 0) -> Run:
+def run(df: DataFrame, numeric: Sequence[str], macro: Sequence[str], report: Sequence[str] = (), sector: str = "sector", ranges: Mapping[str, tuple[str, str]] = DEFAULT_RANGES, trees: int = 60, kinds: Sequence[str] = ("forest", "extra", "boosting"), report_gain: float = 0.005, embargo_days: int = 0, weight_step: float = 0.10) -> Run:
     """Fits the architectures, lets reports in if they gain, adds regimes, factors and the sector overlay, and scores.
 
     Architectures: baseline, with reports, with regimes, with factors, with both.  The one with the best (objective,
@@ -176,14 +182,20 @@ def run(df: DataFrame, numeric: Sequence[str], macro: Sequence[str], report: Seq
     factors = models.LatentFactors(list(numeric)).fit(train)
     rich = staged(factors.transform(regimes.transform(rows)), "rich")
     latent = ["latent_0", "latent_1", "latent_2"]
-    bundles = {"baseline": fit_bundle(rich, numeric, [sector], kinds, trees)}
+    fit = inheritable_thread_target(spark)(lambda plan: fit_bundle(rich, *plan, kinds, trees, weight_step))
+
+    def fitted(plans: dict[str, tuple[list[str], list[str]]]) -> dict[str, Bundle]:
+        """Independent fits of many small jobs, side by side."""
+        with ThreadPool(len(plans)) as pool:
+            return dict(zip(plans, pool.map(fit, plans.values())))
+
+    bundles = fitted({"baseline": ([*numeric], [sector])} | ({"reports": ([*numeric, *report], [sector])} if report else {}))
     if report:
-        with_reports = fit_bundle(rich, [*numeric, *report], [sector], kinds, trees)
-        if with_reports.rows[0][3] >= bundles["baseline"].rows[0][3] + report_gain:
-            bundles["reports"], numeric = with_reports, [*numeric, *report]
-    bundles["regime"] = fit_bundle(rich, numeric, [sector, "regime"], kinds, trees)
-    bundles["factors"] = fit_bundle(rich, [*numeric, *latent], [sector], kinds, trees)
-    bundles["factors_regime"] = fit_bundle(rich, [*numeric, *latent], [sector, "regime"], kinds, trees)
+        if bundles["reports"].rows[0][3] >= bundles["baseline"].rows[0][3] + report_gain:
+            numeric = [*numeric, *report]
+        else:
+            del bundles["reports"]
+    bundles |= fitted({"regime": ([*numeric], [sector, "regime"]), "factors": ([*numeric, *latent], [sector]), "factors_regime": ([*numeric, *latent], [sector, "regime"])})
     results = [(name, *b.rows[0][1:]) for name, b in bundles.items()]
     chosen = max(results, key=lambda r: (r[3], r[1], r[2]))[0]
 
@@ -199,38 +211,91 @@ def run(df: DataFrame, numeric: Sequence[str], macro: Sequence[str], report: Seq
     return Run(chosen, spark.createDataFrame(results, "architecture string, macro_f1 double, high_recall double, objective double"), out, overlay, package)
 
 
-def walk_forward_scores(df: DataFrame, numeric: Sequence[str], macro: Sequence[str] = (), initial: int = 12, test: int = 3, step: int = 3, trees: int = 40, kinds: Sequence[str] = ("forest", "extra"), seeds: Sequence[int] = (1, 2, 3, 4), parallel: int = 6) -> DataFrame:
+def report_ablation(df: DataFrame, numeric: Sequence[str], macro: Sequence[str], report: Sequence[str], ranges: Mapping[str, tuple[str, str]] = DEFAULT_RANGES, trees: int = 24, kinds: Sequence[str] = ("forest", "extra"), metrics: Sequence[str] = ("macro_f1", "weighted_f1", "accuracy", "high_recall", "high_precision")) -> DataFrame:
+    """metric, baseline, enhanced and delta of two runs on the same rows and labels, without and with the report columns."""
+    scores = []
+    for names in ((), report):
+        one = run(df, numeric, macro, names, ranges=ranges, trees=trees, kinds=kinds, weight_step=0.25)
+        accuracy = one.predictions.agg(F.avg((F.col("y") == F.col("pred")).cast("double")).alias("accuracy"))  # one row
+        scores.append(staged(classification_scores(one.predictions).crossJoin(F.broadcast(accuracy)).select(*metrics), "ablation"))
+    return metric_delta(*scores)
+
+
+def fold_preprocessors(rows: DataFrame, numeric: Sequence[str], categorical: Sequence[str], folds: int, entry: str = "_entry") -> list[Preprocessor]:
+    """The preprocessor of each fold's train rows (those that enter by it), without a pass per fold."""
+    found = FoldStatistics(rows, numeric, F.col(entry), folds)
+    first = {c: rows.groupBy(F.coalesce(F.col(c).cast("string"), F.lit(MISSING)).alias("v")).agg(F.min(entry).alias("e")).filter("e is not null").collect() for c in categorical}
+    out = []
+    for fold in range(1, folds + 1):
+        pre = Preprocessor(list(numeric), list(categorical))
+        at = lambda values, default: {c: values.get((c, fold), default) for c in numeric}  # noqa: B023, E731
+        pre.medians, pre.bounds, pre.means, scales = at(found.medians, 0.0), at(found.bounds, (0.0, 0.0)), at(found.means, 0.0), at(found.scales, 1.0)
+        pre.scales = {c: v or 1.0 for c, v in scales.items()}
+        pre.values = {c: sorted(r["v"] for r in first[c] if r["e"] <= fold) for c in categorical}
+        out.append(pre)
+    return out
+
+
+def fold_regimes(rows: DataFrame, macro: Sequence[str], folds: int, starts: int = 16, k: int = 2, entry: str = "_entry") -> list[Column]:
+    """The regime of a row by each fold's train rows: all folds and starts are clustered in the same passes."""
+    found = FoldStatistics(rows, macro, F.col(entry), folds)
+    medians = [[found.medians.get((c, f), 0.0) for c in macro] for f in range(1, folds + 1)]
+    scales = [tuple(zip(*(found.filled_moments(c, f) for c in macro))) for f in range(1, folds + 1)]
+    # a null's stand-in differs by fold, so it is left out of the rows and filled in the passes' own scale: at the median
+    filled = rows.filter(F.col(entry).isNotNull()).select(F.array(*(F.coalesce(finite(F.col(c)), F.lit(float("nan"))) for c in macro)).alias("x"), F.col(entry).cast("int").alias("e"), F.monotonically_increasing_id().alias("key"))
+    centres = kmeans_folds(staged(filled, "regimes"), scales, k, starts, medians=medians)
+    return [regime(macro, m, s, c) for m, s, c in zip(medians, scales, centres)]
+
+
+def folds_entered(folds: DataFrame, gated: Sequence[int]) -> DataFrame:
+    """Per month: ``_entry``, the number (from 1) of the first gated fold that trains on it, and the folds that validate and test on it."""
+    known = folds.filter(F.col("fold").isin(list(gated)))
+    number = F.array_position(F.array(*(F.lit(int(g)) for g in gated)), F.col("fold")).cast("int")
+    of = lambda role: F.array_sort(F.collect_set(F.when(F.col("role") == role, F.col("fold")))).alias(f"_{role}")
+    return known.groupBy("month").agg(F.min(F.when(F.col("role") == "train", number)).alias("_entry"), of("validation"), of("test"))
+
+
+def walk_forward_scores(
+    df: DataFrame, numeric: Sequence[str], macro: Sequence[str] = (), initial: int = 12, test: int = 3, step: int = 3, trees: int = 250, kinds: Sequence[str] = ("forest", "extra"), starts: int = 16, weight_step: float = 0.20, parallel: int = 8
+) -> DataFrame:
     """One row of scores for each fold that passes the gate: regimes, forest and extra trees are fitted anew in each.
 
-    The folds are as many as there are steps of months; some are fitted at a time.
+    Train parts grow, so a row is told by the fold at which it enters; medians, bounds, scales, categories and class
+    weights of all folds come from statistics by that fold, and their regimes from shared passes.  Folds differ in
+    their fits only, some of which run at a time; they are as many as there are steps of months.
     """
     spark = df.sparkSession
-    rows = staged(df.withColumn("y", F.col("risk_class")), "walk")
+    rows = staged(df.withColumn("y", F.col("risk_class")).withColumn("_month", F.trunc("decision_date", "month")), "walk")
     folds = splits.walk_forward(rows, initial, test, step)
     gated = [g["fold"] for g in splits.fold_gate(splits.with_folds(rows, folds)).filter("ok").orderBy("fold").collect()]
-    months = {f: [] for f in gated}
-    for m in folds.collect():
-        if m["fold"] in months:
-            months[m["fold"]].append((m["month"], m["role"]))
-
-    def one(fold: int) -> tuple:
-        role = F.lit(None).cast("string")
-        for name in ("train", "validation", "test"):
-            own = [F.lit(m) for m, r in months[fold] if r == name]
-            role = F.when(F.trunc("decision_date", "month").isin(own), name).otherwise(role)
-        part = rows.withColumn("split", role).filter("split is not null")
-        categorical = ["sector"]
+    if not gated:
+        return spark.createDataFrame([], "fold int, macro_f1 double")
+    # as many rows as months
+    rows = rows.join(F.broadcast(folds_entered(folds, gated)), rows["_month"] == F.col("month"), "left").drop("month", "_month")
+    rows = staged(rows, "walk-entry")
+    pres = fold_preprocessors(rows, numeric, ["sector"], len(gated))
+    regimes = fold_regimes(rows, macro, len(gated), starts) if macro else [None] * len(gated)
+    counts = {(r["_entry"], r["y"]): r["n"] for r in rows.filter("_entry is not null").groupBy("_entry", "y").agg(F.count("*").alias("n")).collect()}
+
+    def one(i: int) -> tuple:
+        fold = gated[i]
+        role = F.when(F.col("_entry") <= i + 1, "train").when(F.array_contains("_validation", fold), "validation").when(F.array_contains("_test", fold), "test")
+        part, pre = rows.withColumn("split", role).filter("split is not null"), pres[i]
         if macro:
-            part = models.Regimes(list(macro), seeds=seeds).fit(part.filter("split = 'train'")).transform(part)
-            categorical.append("regime")
-        bundle = fit_bundle(part, numeric, categorical, kinds, trees, weight_step=0.25, seed=7 + fold)
+            part = part.withColumn("regime", regimes[i])
+            pre.categorical.append("regime")
+            pre.values["regime"] = [f"regime_{n}" for n in range(2)]
+        sizes = {y: sum(n for (e, label), n in counts.items() if label == y and e <= i + 1) for y in CLASSES}
+        total, present = sum(sizes.values()), sum(n > 0 for n in sizes.values())
+        weight = F.lit(None).cast("double")
+        for y, n in sizes.items():
+            weight = F.when(F.col("y") == y, total / (present * max(n, 1))).otherwise(weight)
+        bundle = fit_bundle(part, numeric, pre.categorical, kinds, trees, weight_step=weight_step, seed=7 + fold, preprocessor=pre, weight=weight)
         scored = classification_scores(bundle.score(part.filter("split = 'test'")))
         return scored.columns, tuple(scored.first())
 
     with ThreadPool(max(1, min(parallel, len(gated)))) as pool:
-        found = pool.map(inheritable_thread_target(spark)(one), gated)
-    if not found:
-        return spark.createDataFrame([], "fold int, macro_f1 double")
+        found = pool.map(inheritable_thread_target(spark)(one), range(len(gated)))
     return spark.createDataFrame([(int(f), *r) for f, (_, r) in zip(gated, found)], ["fold", *found[0][0]])
 
 

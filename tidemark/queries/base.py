@@ -178,6 +178,7 @@ CTES: dict[str, tuple[tuple[str, ...], str]] = {
     "score": (("ranked",), "SELECT *, 0.35 * future_max_drawdown_rank + 0.30 * future_downside_volatility_rank + 0.20 * future_cvar_95_rank + 0.15 * future_illiquidity_rank AS risk_score FROM ranked"),
     "thirds": (("score",), f"SELECT quantile_cont(risk_score, [1/3.0, 2/3.0]) AS t FROM score WHERE decision_date BETWEEN DATE '{_R['train'][0]}' AND DATE '{_R['train'][1]}'"),
     "labelled": (("score", "thirds"), "SELECT s.*, CASE WHEN risk_score <= t[1] THEN 'low' WHEN risk_score <= t[2] THEN 'medium' ELSE 'high' END AS risk_class FROM score s, thirds WHERE risk_score IS NOT NULL"),
+    "stressed": (("comp", "reports"), "SELECT k.*, " + ", ".join(f"CASE WHEN k.decision_date - x.publish_date <= 550 THEN {e} END AS {n}" for e, n in (("x.report_financial_pressure", "p"), ("(x.doc_id % 6 = 0)::DOUBLE", "a"), ("(x.doc_id % 4 = 0)::DOUBLE", "b"), ("(x.doc_id % 3 = 0)::DOUBLE", "c"))) + " FROM comp k ASOF LEFT JOIN (SELECT * FROM reports QUALIFY row_number() OVER (PARTITION BY ticker, publish_date ORDER BY doc_id DESC) = 1) x ON k.ticker = x.ticker AND k.decision_date >= x.publish_date"),
     "pred0": ((), "SELECT event_id, CASE WHEN event_type IN ('view', 'click') THEN 'low' WHEN event_type = 'purchase' THEN 'medium' ELSE 'high' END AS y, value AS a, event_id % 17 + 1 AS b, user_id % 7 + 1 AS c, 'S' || (user_id % 5) AS sector FROM events WHERE value >= 0"),
     "pred": (("pred0",), "SELECT event_id, y, a / (a + b + c) AS p_low, b / (a + b + c) AS p_medium, c / (a + b + c) AS p_high, sector FROM pred0"),
     "called": (("pred",), "SELECT *, CASE WHEN p_low >= p_medium AND p_low >= p_high THEN 'low' WHEN p_medium >= p_high THEN 'medium' ELSE 'high' END AS pred FROM pred"),

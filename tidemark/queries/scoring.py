@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.ml.functions import array_to_vector
 
-from tidemark.operators import evaluate, models
+from tidemark.operators import evaluate, fit, models, stress
 from tidemark.operators.asof import asof_reports
 from tidemark.plans import training
-from tidemark.queries.base import DataFrame, F, SparkSession, labelled, macro, panel, predictions, q, query, reports, rounded, shared_folder, sql, table
+from tidemark.queries.base import COMPONENTS, DataFrame, F, SparkSession, components, is_train, labelled, macro, panel, predictions, q, query, reports, rounded, shared_folder, sql, table
 from tidemark.sources.shared import staged
 
 _CALLED = ("called",)
@@ -188,6 +188,37 @@ def m24_metric_delta(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(evaluate.metric_delta(pick("global_pred"), pick("expert_pred")), {"baseline": 6, "enhanced": 6, "delta": 6})
 
 
+_NUMERIC = ["rolling_vol_20d", "downside_vol_60d", "beta_60d", "log_market_cap", "momentum_6m", "key_rate", "fx_rate"]
+_STRESSED = ["report_financial_pressure", "report_sanctions_flag", "report_liquidity_refinancing_flag", "report_covenant_flag"]
+
+
+def _stressed(spark: SparkSession, sf: str, also: tuple[str, ...] = ()) -> DataFrame:
+    """The components beside the report columns known at their date."""
+    flags = {f"report_{name}_flag": (F.col("doc_id") % n == 0).cast("double") for name, n in (("sanctions", 6), ("liquidity_refinancing", 4), ("covenant", 3))}
+    return asof_reports(components(spark, sf), reports(spark, sf).withColumns(flags), [*_STRESSED, *also])
+
+
+_STRESS_SQL = (
+    "SELECT ticker, decision_date, " + ", ".join(f"{q(f'{c} * (1 + 0.22 * k)', 6)} AS {c}" for c in COMPONENTS) + f", {q('k', 6)} AS stress_rank FROM ("
+    "SELECT *, (rank() OVER (PARTITION BY date_trunc('month', decision_date) ORDER BY s) + (count(*) OVER (PARTITION BY date_trunc('month', decision_date), s) - 1) / 2.0::DOUBLE) / count(*) OVER (PARTITION BY date_trunc('month', decision_date)) AS k FROM ("
+    "SELECT *, coalesce(p, 0) + 0.10::DOUBLE * coalesce(a, 0) + 0.08::DOUBLE * coalesce(b, 0) + 0.06::DOUBLE * coalesce(c, 0) AS s FROM stressed))"
+)
+
+
+@query(sql(_STRESS_SQL, "stressed"))
+def m24_stress_panel(spark: SparkSession, sf: str) -> DataFrame:
+    out = stress.stress_adjusted(_stressed(spark, sf))
+    return rounded(out, {c: 6 for c in (*COMPONENTS, "stress_rank")}).select("ticker", "decision_date", *COMPONENTS, "stress_rank")
+
+
+@query()
+def m24_report_ablation(spark: SparkSession, sf: str) -> DataFrame:
+    """Deltas of two runs on the stress-adjusted labels, without and with the report columns."""
+    adjusted = stress.stress_adjusted(staged(_stressed(spark, sf, ("report_text_risk_density", "report_free_cf_margin")), "stressed"))
+    rows = fit.prepare_targets(adjusted, is_train()).join(panel(spark, sf), ["ticker", "decision_date"])
+    return training.report_ablation(staged(rows, "ablation"), _NUMERIC, _MACRO_SERIES, [*_STRESSED, "report_text_risk_density", "report_free_cf_margin"])
+
+
 _REPORT = ["report_net_debt_to_ebitda", "report_interest_coverage", "report_free_cf_margin", "report_financial_pressure", "report_text_risk_density"]
 _MACRO_SERIES = ["key_rate", "fx_rate", "curve_slope", "market_vol_20d", "market_corr_60d"]
 
@@ -199,12 +230,9 @@ def _data(spark: SparkSession, sf: str, with_reports: bool = False) -> DataFrame
     return staged(asof_reports(rows, reports(spark, sf), _REPORT) if with_reports else rows, "panel")
 
 
-_NUMERIC = ["rolling_vol_20d", "downside_vol_60d", "beta_60d", "log_market_cap", "momentum_6m", "key_rate", "fx_rate"]
-
-
 @query()
 def m9_leaderboard(spark: SparkSession, sf: str) -> DataFrame:
-    return training.fit_bundle(training.with_split(_data(spark, sf)), _NUMERIC, ["sector"], ("forest", "extra"), trees=60).leaderboard(spark)
+    return training.fit_bundle(training.with_split(_data(spark, sf)), _NUMERIC, ["sector"], ("forest", "extra", "boosting"), trees=60).leaderboard(spark)
 
 
 @query()
