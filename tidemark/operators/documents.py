@@ -50,6 +50,8 @@ SCALE = r"трлн|триллион\w*|trillion|trn|млрд|миллиард\w*
 SCALES = {1e12: r"трлн|триллион|trillion|trn", 1e9: r"млрд|миллиард|billion|bn", 1e6: r"млн|миллион|million|mn", 1e3: r"тыс|тысяч|thousand|\bk\b"}
 YOY = ("report_revenue", "report_ebitda", "report_net_profit", "report_operating_cash_flow", "report_free_cash_flow", "report_total_debt", "report_net_debt", "report_cash_and_equivalents")
 AFTER, BEFORE, EVIDENCE = 260, 180, 700
+#: Characters of a stretch of text, and elements of a run of sums.
+STRETCH, RUN = 2048, 128
 TINY = 1e-12
 
 
@@ -93,29 +95,70 @@ def _candidates(window: Column, evidence: Column, last: int | None = None) -> Co
     return F.filter(found, lambda x: x["value"].isNotNull() & ~F.isnan(x["value"]) & ~year(x))
 
 
+def running_sums(sizes: Column) -> Column:
+    """Sums before each element, without copying what was summed so far at every step: by runs, then within a run."""
+    total = lambda a: F.aggregate(a, F.lit(0), lambda s, x: s + x)
+    numbers = lambda n: F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
+
+    def within(a: Column) -> Column:
+        runs = F.transform(numbers(F.ceil(F.size(a) / RUN).cast("int")), lambda i: total(F.slice(a, i * RUN + 1, RUN)))
+        # one number for each run: few enough to be copied
+        heads = F.aggregate(runs, F.array(F.lit(0)), lambda h, x: F.concat(h, F.array(F.element_at(h, -1) + x)))
+        place = lambda h: F.transform(numbers(F.size(a)), lambda i: h[F.floor(i / RUN).cast("int")] + total(F.slice(a, i - i % RUN + 1, i % RUN)))
+        return _once(heads, place)
+
+    return _once(sizes, within)
+
+
+def _once(value: Column, use) -> Column:
+    """use(value), where the value is made once however often it is used."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def keyword_hits(text: Column, keyword: str | Column) -> Column:
-    """start (characters before) and length of each occurrence: gaps and occurrences interleave."""
+    """start (characters before) and size of each occurrence: gaps and occurrences interleave."""
     pattern = F.concat(F.lit("(?iuU)(?:"), keyword, F.lit(")")) if isinstance(keyword, Column) else F.lit(f"(?iuU)(?:{keyword})")
-    gaps, hits = F.split(text, pattern, -1), F.regexp_extract_all(text, pattern, F.lit(0))
-    sizes = F.zip_with(F.slice(gaps, 1, F.size(hits)), hits, lambda g, h: F.struct(F.length(g).alias("gap"), F.length(h).alias("size")))
-    none = F.array().cast("array<struct<start:int,size:int>>")
-    step = lambda m, x: F.struct((m["at"] + x["gap"] + x["size"]).alias("at"), F.concat(m["all"], F.array(F.struct((m["at"] + x["gap"]).alias("start"), x["size"].alias("size")))).alias("all"))
-    return F.aggregate(sizes, F.struct(F.lit(0).alias("at"), none.alias("all")), step, lambda m: m["all"])
 
+    def placed(hits: Column) -> Column:
+        gaps = F.slice(F.split(text, pattern, -1), 1, F.size(hits))
+        steps = running_sums(F.zip_with(gaps, hits, lambda g, h: F.length(g) + F.length(h)))
+        gap = F.transform(gaps, lambda g: F.length(g))
+        return F.transform(F.arrays_zip(steps.alias("before"), gap.alias("gap"), hits.alias("hit")), lambda x: F.struct((x["before"] + x["gap"]).alias("start"), F.length(x["hit"]).alias("size")))
+
+    hits = F.regexp_extract_all(text, pattern, F.lit(0))
+    return F.when(F.regexp_like(text, pattern), _once(hits, placed)).otherwise(F.array().cast("array<struct<start:int,size:int>>"))
 
-def _around(text: Column, start: Column, end: Column) -> Column:
+
+def stretches(text: Column) -> Column:
+    """The text in stretches of STRETCH characters, so that a window is found without counting from the start."""
+    return F.regexp_extract_all(text, F.lit(rf"(?s).{{1,{STRETCH}}}"), F.lit(0))
+
+
+def _around(parts: Column, start: Column, end: Column) -> Column:
+    """Characters start to end of the text whose stretches are parts."""
     begin = F.greatest(start, F.lit(0))
-    return F.substring(text, begin + 1, F.greatest(end - begin, F.lit(0)))
+    first = F.floor(begin / STRETCH).cast("int")
+    near = F.array_join(F.slice(parts, first + 1, F.floor(F.greatest(end - 1, begin) / STRETCH).cast("int") - first + 1), "")
+    return F.substring(near, begin - first * STRETCH + 1, F.greatest(end - begin, F.lit(0)))
+
+
+def _after(parts: Column, hits: Column) -> Column:
+    end = lambda h: h["start"] + h["size"]
+    return F.flatten(F.transform(hits, lambda h: _candidates(_around(parts, end(h), end(h) + AFTER), F.trim(_around(parts, h["start"] - 80, h["start"] + AFTER)))))
+
+
+def _before(parts: Column, hits: Column) -> Column:
+    return F.flatten(F.transform(hits, lambda h: _candidates(_around(parts, h["start"] - BEFORE, h["start"]), F.trim(_around(parts, h["start"] - BEFORE, h["start"] + h["size"] + 80)), 3)))
 
 
 def candidates_after(text: Column, keyword: str | Column) -> Column:
     """Numbers in the 260 characters after each occurrence."""
-    return F.flatten(F.transform(keyword_hits(text, keyword), lambda h: _candidates(_around(text, h["start"] + h["size"], h["start"] + h["size"] + AFTER), F.trim(_around(text, h["start"] - 80, h["start"] + AFTER)))))
+    return _once(stretches(text), lambda parts: _after(parts, keyword_hits(text, keyword)))
 
 
 def candidates_before(text: Column, keyword: str | Column) -> Column:
     """The last three numbers in the 180 characters before each occurrence."""
-    return F.flatten(F.transform(keyword_hits(text, keyword), lambda h: _candidates(_around(text, h["start"] - BEFORE, h["start"]), F.trim(_around(text, h["start"] - BEFORE, h["start"] + h["size"] + 80)), 3)))
+    return _once(stretches(text), lambda parts: _before(parts, keyword_hits(text, keyword)))
 
 
 def best_candidate(candidates: Column) -> Column:
@@ -134,7 +177,9 @@ def extract_metrics(df: DataFrame, text: str = "text", metrics: Mapping[str, Seq
     none = F.array().cast("array<struct<metric:string,keyword:string>>")
     wanted = [F.when(F.regexp_like("_t", F.lit("(?iuU)" + "|".join(words))), F.array(*(F.struct(F.lit(m).alias("metric"), F.lit(w).alias("keyword")) for w in words))).otherwise(none) for m, words in metrics.items()]
     marked = marked.withColumn("_k", F.concat(*wanted))
-    every = F.transform("_k", lambda k: F.struct(k["metric"].alias("metric"), F.concat(candidates_after(F.col("_t"), k["keyword"]), candidates_before(F.col("_t"), k["keyword"])).alias("found")))
+    # the stretches of a text and the hits of a keyword are made once; the work grows with the text and its hits
+    both = lambda parts, k: _once(keyword_hits(F.col("_t"), k["keyword"]), lambda hits: F.concat(_after(parts, hits), _before(parts, hits)))
+    every = _once(stretches(F.col("_t")), lambda parts: F.transform("_k", lambda k: F.struct(k["metric"].alias("metric"), both(parts, k).alias("found"))))
     marked = marked.withColumn("_f", every).drop("_k", "_t")
     best = {m: best_candidate(F.flatten(F.transform(F.filter("_f", _is(m)), lambda x: x["found"]))).alias(f"_{m}") for m in metrics}
     out = marked.select(*keep, *best.values())

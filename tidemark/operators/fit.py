@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import divide
 from tidemark.functions.longform import ROW, to_lines, to_rows
+from tidemark.operators.selection import FoldStatistics, Selection
 
 # The weight of each component in the risk score.
 WEIGHTS = {"future_max_drawdown": 0.35, "future_downside_volatility": 0.30, "future_cvar_95": 0.20, "future_illiquidity": 0.15}
@@ -49,8 +50,8 @@ def risk_score(df: DataFrame, suffix: str = "_rank") -> DataFrame:
 
 
 def terciles(train: DataFrame, score: str = "risk_score") -> tuple[float | None, float | None]:
-    """The thirds of the train scores, interpolated."""
-    t = train.agg(F.percentile(score, F.array(F.lit(1 / 3), F.lit(2 / 3))).alias("t")).first()["t"]
+    """The thirds of the train scores, interpolated; exact, by range counts."""
+    t = Selection(train, [score]).quantiles([1 / 3, 2 / 3])[score]
     return (t[0], t[1]) if t else (None, None)
 
 
@@ -74,21 +75,17 @@ def class_distribution(df: DataFrame, label_col: str = "risk_class", classes: tu
 class Preprocessor:
     """Median imputation, winsor bounds, signed log, standardisation and one-hot coding, fitted by aggregations.
 
-    Three passes (medians; quantiles of imputed values; moments of transformed values), each one row for all
-    features.
+    All numbers come from one exact selection by range counts, whatever the number of features.
     """
 
     def __init__(self, numeric: list[str], categorical: list[str] = (), lower: float = 0.01, upper: float = 0.99):
         self.numeric, self.categorical, self.lower, self.upper = list(numeric), list(categorical), lower, upper
 
     def fit(self, train: DataFrame) -> Preprocessor:
-        row = train.agg(*(F.percentile(c, 0.5).alias(c) for c in self.numeric)).first()
-        self.medians = {c: row[c] if row[c] is not None else 0.0 for c in self.numeric}
-        row = train.agg(*(F.percentile(self._imputed(c), F.array(F.lit(self.lower), F.lit(self.upper))).alias(c) for c in self.numeric)).first()
-        self.bounds = {c: tuple(row[c] or (0.0, 0.0)) for c in self.numeric}
-        row = train.agg(*(F.avg(self._logged(c)).alias(f"m{i}") for i, c in enumerate(self.numeric)), *(F.stddev_samp(self._logged(c)).alias(f"s{i}") for i, c in enumerate(self.numeric))).first()
-        self.means = {c: row[f"m{i}"] or 0.0 for i, c in enumerate(self.numeric)}
-        self.scales = {c: row[f"s{i}"] or 1.0 for i, c in enumerate(self.numeric)}
+        found = FoldStatistics(train, self.numeric, F.lit(1), 1, self.lower, self.upper)
+        at = lambda values, default: {c: values.get((c, 1), default) for c in self.numeric}
+        self.medians, self.bounds, self.means = at(found.medians, 0.0), at(found.bounds, (0.0, 0.0)), at(found.means, 0.0)
+        self.scales = {c: v or 1.0 for c, v in at(found.scales, 1.0).items()}
         self.values = {}
         for c in self.categorical:
             got = [r[0] for r in train.select(F.coalesce(F.col(c).cast("string"), F.lit(MISSING))).distinct().limit(10_001).collect()]
@@ -139,7 +136,7 @@ def population_scaler(train: DataFrame, columns: list[str]) -> dict[str, tuple[f
 
 
 def drift_report(df: DataFrame, features: list[str], split: str = "split", train: str = "train", bins: int = 10, warn: float = 0.20) -> DataFrame:
-    """Population stability of each feature between the train rows and every other split, in one job.
+    """Population stability of each feature between the train rows and every other split.
 
     Edges are the distinct train quantiles; with two or fewer, equal steps over both ranges.  Bins are closed
     on the right and open to both ends.  A share counts 1e-6 at least.  Fewer than two values: null; a
@@ -148,7 +145,8 @@ def drift_report(df: DataFrame, features: list[str], split: str = "split", train
     long = df.filter(F.col(split).isNotNull()).select(split, *(F.col(c).cast("double").alias(c) for c in features)).unpivot([split], features, "feature", "x")
     long = long.withColumn("x", F.when(~(F.isnan("x") | (F.abs("x") == float("inf"))), F.col("x")))
     stats = long.groupBy("feature", split).agg(F.count("*").alias("rows"), F.count("x").alias("n"), F.avg("x").alias("mean"), F.min("x").alias("lo"), F.max("x").alias("hi"))
-    edges = long.filter(F.col(split) == train).groupBy("feature").agg(F.array_distinct(F.percentile("x", F.array(*(F.lit(i / bins) for i in range(bins + 1))))).alias("edges"))
+    quantiles = Selection(df.filter(F.col(split) == train), features).quantiles([i / bins for i in range(bins + 1)])
+    edges = df.sparkSession.createDataFrame([(f, sorted(set(e)) if e else None) for f, e in quantiles.items()], "feature string, edges array<double>")
     base = stats.filter(F.col(split) == train).select("feature", F.col("rows").alias("t_rows"), F.col("n").alias("t_n"), F.col("mean").alias("t_mean"), F.col("lo").alias("t_lo"), F.col("hi").alias("t_hi"))
     other = stats.filter(F.col(split) != train)
     per = other.join(base, "feature").join(edges, "feature")

@@ -21,7 +21,8 @@ from pyspark.sql import functions as F
 from tidemark.functions import divide
 from tidemark.operators import trees as grown
 from tidemark.operators.evaluate import _counts, confusion, high_recall, macro_f1
-from tidemark.operators.fit import CLASSES, population_scaler
+from tidemark.operators.fit import CLASSES
+from tidemark.operators.selection import FoldStatistics
 from tidemark.sources.shared import staged
 
 PROBABILITIES = tuple(f"p_{c}" for c in CLASSES)
@@ -42,10 +43,8 @@ class _Scaled:
 
     @staticmethod
     def fit(train: DataFrame, columns: Sequence[str]) -> _Scaled:
-        row = train.agg(*(F.percentile(c, 0.5).alias(c) for c in columns)).first()
-        medians = {c: row[c] if row[c] is not None else 0.0 for c in columns}
-        filled = train.select(*(F.coalesce(F.col(c).cast("double"), F.lit(float(medians[c]))).alias(c) for c in columns))
-        return _Scaled(columns, medians, population_scaler(filled, list(columns)))
+        found = FoldStatistics(train, columns, F.lit(1), 1)
+        return _Scaled(columns, {c: found.medians.get((c, 1), 0.0) for c in columns}, {c: found.filled_moments(c, 1) for c in columns})
 
     def state(self) -> dict:
         return {"columns": self.columns, "medians": self.medians, "stats": {c: list(v) for c, v in self.stats.items()}}

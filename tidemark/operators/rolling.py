@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -83,30 +85,61 @@ def last_close(daily: DataFrame, key: str = "ticker", date: str = "date", close:
     return daily.groupBy(date, key).agg(F.max_by(close, close).alias("close"))
 
 
-def market_correlation(daily: DataFrame, window: int = 60, least: int = 20, key: str = "ticker", date: str = "date") -> DataFrame:
+def market_correlation(daily: DataFrame, window: int = 60, least: int = 20, key: str = "ticker", date: str = "date", tile: int = 128, block: int = 21) -> DataFrame:
     """For each date: the mean Pearson correlation over pairs of keys in the last rows of the market's calendar.
 
-    Returns need a close on the previous calendar row.  A pair counts with ``least`` common observations.
-    Common observations are made once, then spread to the dates whose window holds them and summed; with
-    equi-joins only, and no row for all pairs of dates.
+    Returns need a close on the previous calendar row.  A pair counts with ``least`` common observations.  Keys are dealt
+    into tiles and the calendar into blocks: one task call has the returns of two tiles over a block and the window
+    before it, keeps the pairs' sums as matrices, and slides them by adding a date and taking one away.  What is
+    exchanged are a key's returns of a block, once per tile it meets, and a sum per date and pair of tiles; no row is
+    one pair's.
     """
     calendar = daily.select(date).distinct().withColumn("_di", F.row_number().over(Window.orderBy(date)))
     closes = last_close(daily, key, date).join(calendar, date)
     before = Window.partitionBy(key).orderBy("_di")
     returns = closes.withColumn("_gap", F.col("_di") - F.lag("_di").over(before)).withColumn("r", simple_return(F.col("close"), before)).filter("_gap = 1 and r is not null").select(F.col(key).alias("k"), "_di", "r")
-    a, b = returns.selectExpr("k as a", "_di", "r as x"), returns.selectExpr("k as b", "_di", "r as y")
-    common = a.join(b, "_di").filter("a < b")
-    # per pair: running sums over its own rows; the window's sums are differences of them, taken only where a
-    # row enters or leaves, so the number of rows stays in proportion to the common observations
-    last = F.lit(window)
-    events = common.select("a", "b", F.col("_di").alias("at"), F.lit(1.0).alias("s"), "x", "y").unionByName(common.select("a", "b", (F.col("_di") + last).alias("at"), F.lit(-1.0).alias("s"), "x", "y"))
-    steps = events.groupBy("a", "b", "at").agg(*(F.sum(F.col("s") * e).alias(n) for n, e in (("n", F.lit(1.0)), ("sx", F.col("x")), ("sy", F.col("y")), ("xx", F.col("x") * F.col("x")), ("yy", F.col("y") * F.col("y")), ("xy", F.col("x") * F.col("y")))))
-    run = Window.partitionBy("a", "b").orderBy("at")
-    sums = steps.select("a", "b", "at", F.lead("at").over(run).alias("_to"), *(F.sum(c).over(run).alias(c) for c in ("n", "sx", "sy", "xx", "yy", "xy")))
-    corr = F.try_divide(F.col("n") * F.col("xy") - F.col("sx") * F.col("sy"), F.sqrt((F.col("n") * F.col("xx") - F.col("sx") * F.col("sx")) * (F.col("n") * F.col("yy") - F.col("sy") * F.col("sy"))))
-    good = sums.filter(f"n > {least - 0.5}").withColumn("c", corr).filter("c is not null and not isnan(c)")
-    spread = good.select("c", F.explode(F.sequence("at", F.coalesce(F.col("_to"), F.col("at") + 1) - 1)).alias("_di"))
-    means = spread.groupBy("_di").agg(F.avg("c").alias("market_corr_60d"))
+    tiles = -(-max(1, daily.select(key).distinct().count()) // tile)
+    own = F.pmod(F.xxhash64("k"), F.lit(tiles)).cast("int")
+    # a block takes the returns of its dates and of the window before
+    blocks = F.explode(F.sequence(F.floor(F.col("_di") / block), F.floor((F.col("_di") + window - 1) / block)))
+    packed = returns.withColumn("block", blocks).groupBy("block", "k").agg(F.collect_list("_di").alias("di"), F.collect_list("r").alias("r")).withColumn("tile", own)
+    meets = F.explode(F.sequence(F.lit(0), F.lit(tiles - 1))).alias("other")
+    pairs = packed.select("block", "di", "r", "tile", meets).select("block", "di", "r", F.least("tile", "other").alias("a"), F.greatest("tile", "other").alias("b"), (F.col("tile") > F.col("other")).alias("second"))
+
+    def slide(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        number, a, b = key
+        first = number * block - window + 1
+        span = block + window - 1
+
+        def matrix(side: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+            x, there = np.zeros((span, len(side))), np.zeros((span, len(side)))
+            for j, (di, r) in enumerate(zip(side["di"], side["r"])):
+                at = np.asarray(di) - first
+                x[at, j], there[at, j] = r, 1.0
+            return x, there
+
+        x, mx = matrix(rows[~rows["second"]])
+        y, my = (x, mx) if a == b else matrix(rows[rows["second"]])
+        pick = np.triu(np.ones((x.shape[1], y.shape[1]), bool), 1) if a == b else np.ones((x.shape[1], y.shape[1]), bool)
+        products = ((mx, my), (x, my), (mx, y), (x * x, my), (mx, y * y), (x, y))
+        # the window before the block's first date, then a date in and a date out
+        sums = [p[: window - 1].T @ q[: window - 1] for p, q in products]
+        found = []
+        for t in range(window - 1, span):
+            for s, (p, q) in zip(sums, products):
+                s += np.outer(p[t], q[t])
+                if t >= window:
+                    s -= np.outer(p[t - window], q[t - window])
+            n, sx, sy, xx, yy, xy = sums
+            vx, vy = n * xx - sx * sx, n * yy - sy * sy
+            # what rounding leaves of a constant's variance is none
+            good = pick & (n > least - 0.5) & (vx > 1e-12 * n * xx) & (vy > 1e-12 * n * yy)
+            c = (n[good] * xy[good] - sx[good] * sy[good]) / np.sqrt(vx[good] * vy[good])
+            found.append((first + t, float(c.sum()), int(good.sum())))
+        return pd.DataFrame(found, columns=["_di", "s", "n"])
+
+    sums = pairs.groupBy("block", "a", "b").applyInPandas(slide, "_di long, s double, n long").filter("n > 0")
+    means = sums.groupBy("_di").agg((F.sum("s") / F.sum("n")).alias("market_corr_60d"))
     return calendar.join(means, "_di", "left").select(date, "market_corr_60d")
 
 

@@ -127,9 +127,25 @@ def e18_cross_sectional(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(df, {f"{c}_cs_rank": 6 for c in _CROSS} | {f"{c}_sector_z": 4 for c in _CROSS}).select("ticker", "decision_date", *(f"{c}_cs_rank" for c in _CROSS), *(f"{c}_sector_z" for c in _CROSS))
 
 
-@query()
+_ALL_RANKED = feat.RANKED
+_RANK = "CASE WHEN {c} IS NOT NULL THEN (rank() OVER (PARTITION BY decision_date ORDER BY {c} NULLS LAST) + (count(*) OVER (PARTITION BY decision_date, {c}) - 1) / 2.0::DOUBLE) / count({c}) OVER (PARTITION BY decision_date) END"
+_DEVIATION = "coalesce(({c} - avg({c}) OVER s) / nullif(stddev_samp({c}) OVER s, 0), 0)"
+
+
+@query(
+    _rich_sql(
+        f", p4 AS (SELECT *, {_DERIVED['report_integrated_stress'][1]} AS report_integrated_stress FROM p3) SELECT ticker, decision_date, CAST(coalesce(curve_slope < 0, false) AS INT) AS curve_inversion_flag, "
+        + ", ".join(f"{q(e, n)} AS {c}" for c, (n, e) in _DERIVED.items() if c != "report_integrated_stress")
+        + f", {q('report_integrated_stress', 5)} AS report_integrated_stress, "
+        + ", ".join(f"{q(_RANK.format(c=c), 6)} AS {c}_cs_rank, {q(_DEVIATION.format(c=c), 4)} AS {c}_sector_z" for c in _ALL_RANKED)
+        + " FROM p4 WINDOW s AS (PARTITION BY decision_date, sector)"
+    )
+)
 def e20_augment(spark: SparkSession, sf: str) -> DataFrame:
-    return feat.augment(rich(spark, sf))[0]
+    """E20: all that augment adds, for the whole panel."""
+    out, added = feat.augment(rich(spark, sf))
+    digits = {c: n for c, (n, _) in _DERIVED.items()} | {f"{c}_cs_rank": 6 for c in _ALL_RANKED} | {f"{c}_sector_z": 4 for c in _ALL_RANKED}
+    return rounded(out.select("ticker", "decision_date", *added), digits)
 
 
 # --- splits ------------------------------------------------------------------------------------------

@@ -91,7 +91,11 @@ def a13_checksum_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return tables.first_by_digest(table(spark, sf, "documents").withColumn("content", F.col("text").cast("binary")), "content", "doc_id")
 
 
-@query("SELECT count(*) AS row_count, CAST(sum(CAST('0x' || substr(md5(coalesce(CAST(l_orderkey AS VARCHAR), '~') || '|' || coalesce(CAST(l_linenumber AS VARCHAR), '~') || '|' || coalesce(l_returnflag, '~')), 1, 8) AS BIGINT)) AS BIGINT) AS hash_sum FROM lineitem")
+_PREFIXED = " || ".join(f"coalesce(strlen(CAST({c} AS VARCHAR)) || ':' || {c}, '-')" for c in ("l_orderkey", "l_linenumber", "l_returnflag"))
+_HALF = "CAST(sum(CAST('0x' || substr(s, {at}, 16) AS UBIGINT)::HUGEINT) % 18446744073709551616::HUGEINT AS VARCHAR)"
+
+
+@query(f"SELECT count(*) AS row_count, {_HALF.format(at=1)} AS hash_a, {_HALF.format(at=17)} AS hash_b FROM (SELECT sha256({_PREFIXED}) AS s FROM lineitem)")
 def a14_fingerprint(spark: SparkSession, sf: str) -> DataFrame:
     return tables.fingerprint(table(spark, sf, "lineitem"), ["l_orderkey", "l_linenumber", "l_returnflag"])
 
@@ -274,8 +278,27 @@ def t_target_components(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(df, {c: 6 for c in COMPONENTS}).select("ticker", "decision_date", *COMPONENTS)
 
 
-@query()
+_PANEL_DIGITS = {
+    "close": 4, "return_1d": 6, "market_return_1d": 6, "rolling_vol_20d": 6, "downside_vol_60d": 6, "momentum_6m": 6, "avg_daily_traded_value_20d": 2, "spread_proxy": 6, "turnover_ratio": 6, "beta_60d": 5, "log_market_cap": 6, "key_rate": 5, "fx_rate": 5, "curve_slope": 5,
+    "net_debt_to_ebitda": 5, "interest_coverage": 5, "ebitda_margin": 5, "free_cash_flow": 2, "operating_cash_flow": 2, "report_revenue": 2, "report_text_risk_density": 5, **dict.fromkeys(COMPONENTS, 5),
+}
+_PANEL_SQL = sql(
+    "SELECT p.ticker, p.decision_date, p.sector, CAST(p.decision_date - x.publish_date AS INT) AS report_lag_days, f.publish_date AS fund_publish_date, "
+    + ", ".join(f"{q(c, n)} AS {c}" for c, n in _PANEL_DIGITS.items())
+    + " FROM panel p ASOF LEFT JOIN ff f ON p.ticker = f.ticker AND p.decision_date >= f.publish_date ASOF LEFT JOIN one x ON p.ticker = x.ticker AND p.decision_date >= x.publish_date LEFT JOIN comp c ON c.ticker = p.ticker AND c.decision_date = p.decision_date",
+    "members", "panel", "fund", "reports", "comp",
+).replace("FROM days d JOIN shares s ON d.ticker = s.ticker", "FROM days d JOIN shares s ON d.ticker = s.ticker WHERE d.ticker IN (SELECT ticker FROM members WHERE include_flag = 1)").replace(
+    " SELECT p.ticker, p.decision_date, p.sector",
+    ", ff AS (SELECT ticker, publish_date, net_debt / nullif(ebitda, 0) AS net_debt_to_ebitda, ebitda / nullif(abs(interest_expense), 0) AS interest_coverage, ebitda / nullif(revenue, 0) AS ebitda_margin, free_cash_flow, operating_cash_flow FROM fund), one AS (SELECT ticker, publish_date, report_revenue, report_text_risk_density FROM reports QUALIFY row_number() OVER (PARTITION BY ticker, publish_date ORDER BY doc_id DESC) = 1) SELECT p.ticker, p.decision_date, p.sector",
+    1,
+)
+for _c in ("report_revenue", "report_text_risk_density"):
+    _PANEL_SQL = _PANEL_SQL.replace(q(_c, _PANEL_DIGITS[_c]), q(f"CASE WHEN p.decision_date - x.publish_date <= 550 THEN x.{_c} END", _PANEL_DIGITS[_c]))
+
+
+@query(_PANEL_SQL)
 def m26_build_panel(spark: SparkSession, sf: str) -> DataFrame:
     """The whole panel in one plan."""
     one = reports(spark, sf).groupBy("ticker", "publish_date").agg(F.max_by(F.struct("report_period_end", "report_revenue", "report_text_risk_density", "report_document_available"), "doc_id").alias("x")).select("ticker", "publish_date", "x.*")
-    return build_panel(daily(spark, sf), members(spark, sf), None, macro(spark, sf), fundamentals(spark, sf), one, ["report_revenue", "report_text_risk_density"])
+    out = build_panel(daily(spark, sf), members(spark, sf), None, macro(spark, sf), fundamentals(spark, sf), one, ["report_revenue", "report_text_risk_density"])
+    return rounded(out, _PANEL_DIGITS).select("ticker", "decision_date", "sector", "report_lag_days", "fund_publish_date", *_PANEL_DIGITS)

@@ -134,9 +134,17 @@ def first_by_digest(df: DataFrame, content: str, order: str) -> DataFrame:
 
 
 def fingerprint(df: DataFrame, columns: Iterable[str]) -> DataFrame:
-    """Row count and an order-free sum of row hashes over all rows."""
-    text = F.concat_ws("|", *(F.coalesce(F.col(c).cast("string"), F.lit("~")) for c in columns))
-    return df.agg(F.count("*").alias("row_count"), F.sum(F.conv(F.substring(F.md5(text.cast("binary")), 1, 8), 16, 10).cast("long")).alias("hash_sum"))
+    """Row count and two order-free sums over all rows, modulo 2^64, of independent halves of each row's digest.
+
+    A row is the text of its values, each with its length in bytes before it and nulls told apart, so that different
+    rows have different texts.  Sums make copies count, which an exclusive or would cancel.
+    """
+    values = [F.col(c).cast("string") for c in columns]
+    text = F.concat(*(F.coalesce(F.concat(F.octet_length(v).cast("string"), F.lit(":"), v), F.lit("-")) for v in values))
+    sha = F.sha2(text.cast("binary"), 256)
+    half = lambda at: F.conv(F.substring(sha, at, 16), 16, 10).cast("decimal(20,0)")
+    total = lambda at: F.pmod(F.coalesce(F.sum(half(at)), F.lit(0)), F.lit(str(2**64)).cast("decimal(38,0)")).cast("decimal(20,0)").cast("string")
+    return df.agg(F.count("*").alias("row_count"), total(1).alias("hash_a"), total(17).alias("hash_b"))
 
 
 # Extensions that are read, by content type and by name.
