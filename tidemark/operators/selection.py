@@ -1,16 +1,17 @@
 """Exact order statistics of many columns, for nested sets of rows (folds) at once, by counts of ranges.
 
 Rows enter at a fold and stay in all later ones, as the train parts of an expanding walk-forward do; without folds all
-enter at 1.  Lines (one per column and value) are stored and read three times, whatever the columns, folds and ranks:
-for approximate quantiles, which part each column's values; for counts and moments by part and entry, whose prefix sums
-tell in which part a wanted rank lies; and for the distinct values of these parts alone.  Equal values are counted
-before any exchange.  The driver holds columns x parts x folds counts and the wanted ranks.
+enter at 1.  Equal values of a column are counted before any exchange, dealt by range into parts (Spark's own sampled
+bounds, as many as the session has shuffle partitions), and stored.  Counts and moments by part and entry have prefix
+sums that tell in which part a wanted rank lies, and the values of these parts alone are sorted.  The driver holds
+columns x parts x folds counts and the wanted ranks.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterable, Mapping, Sequence
+from collections.abc import Iterable, Sequence
+from functools import cached_property
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
@@ -19,9 +20,6 @@ from pyspark.sql import functions as F
 from tidemark.functions import finite
 from tidemark.sources.shared import staged
 
-_COARSE = 16
-
-
 def signed_log(x: Column) -> Column:
     return F.signum(x) * F.log1p(F.abs(x))
 
@@ -29,24 +27,47 @@ def signed_log(x: Column) -> Column:
 class Selection:
     """Counts of the finite values of columns by part and fold, and the values at ranks."""
 
-    def __init__(self, df: DataFrame, columns: Sequence[str], entry: Column | None = None, folds: int = 1, parts: int = 256):
+    def __init__(self, df: DataFrame, columns: Sequence[str], entry: Column | None = None, folds: int = 1, parts: int | None = None):
         self.columns, self.folds = list(columns), folds
         entry = F.lit(1) if entry is None else entry
-        wide = df.select(entry.cast("int").alias("_e"), *(finite(F.col(c)).alias(f"v{i}") for i, c in enumerate(self.columns)))
+        wide = df.select(entry.cast("int").alias("_e"), *((finite(F.col(c)) + F.lit(0.0)).alias(f"v{i}") for i, c in enumerate(self.columns)))  # -0.0 and 0.0 are one value
         lines = wide.unpivot(["_e"], [f"v{i}" for i in range(len(self.columns))], "_name", "_x").filter("_x is not null and _e is not null")
-        lines = staged(lines.withColumn("_x", F.col("_x") + F.lit(0.0)), "lines")  # -0.0 and 0.0 are one value
-        steps = [i / parts for i in range(1, parts)]
-        edges = {r["_name"]: sorted(set(r["b"])) for r in lines.groupBy("_name").agg(F.percentile_approx("_x", steps, 10_000).alias("b")).collect()}
-        self.lines = lines.withColumn("_part", self._part(lines, edges))
+        counts = lines.groupBy("_name", "_e", "_x").agg(F.count("*").alias("_n"))
+        dealt = counts.repartitionByRange("_name", "_x") if parts is None else counts.repartitionByRange(parts, "_name", "_x")
+        self.lines = staged(dealt.withColumn("_part", F.spark_partition_id()), "lines")
+        found = self.lines.groupBy("_name", "_part", "_e").agg(F.sum("_n").alias("n"), F.min("_x").alias("lo")).collect()
+        #: column -> its parts, in order
+        self.parts = {c: sorted({r["_part"] for r in found if r["_name"] == f"v{i}"}) for i, c in enumerate(self.columns)}
+        #: column -> rows by part and fold, summed over folds up to each
+        self.counts = {c: np.zeros((len(p), folds)) for c, p in self.parts.items()}
+        least: dict[tuple[str, int], float] = {}
+        for r in found:
+            c = self.columns[int(r["_name"][1:])]
+            self.counts[c][self.parts[c].index(r["_part"]), r["_e"] - 1] += r["n"]
+            least[c, r["_part"]] = min(r["lo"], least.get((c, r["_part"]), math.inf))
+        self.counts = {c: t.cumsum(axis=1) for c, t in self.counts.items()}
         #: column -> a value in its middle; moments are taken about it, so that sums of squares lose no digits
-        self.pivot = {c: (lambda b: b[len(b) // 2] if b else 0.0)(edges.get(f"v{i}", [])) for i, c in enumerate(self.columns)}
-        x, log = F.col("_x") - self._pivot(), self._log()
-        sums = self.lines.groupBy("_name", "_part", "_e").agg(F.count("*").alias("n"), F.sum(x).alias("x"), F.sum(x * x).alias("xx"), F.sum(log).alias("l"), F.sum(log * log).alias("ll"))
-        #: column -> (statistic n, x, xx, l, ll; part; fold), summed over folds up to each
-        self.table = {c: np.zeros((5, len(edges.get(f"v{i}", [])) + 1, folds)) for i, c in enumerate(self.columns)}
+        self.pivot = {c: self._middle([(n, least[c, p]) for p, n in zip(self.parts[c], self.counts[c][:, -1])]) for c in self.columns}
+
+    @cached_property
+    def table(self) -> dict[str, np.ndarray]:
+        """column -> (sums of x, x * x, log, log * log about the pivot; part; fold), summed over folds up to each."""
+        x, log, n = F.col("_x") - self._pivot(), self._log(), F.col("_n")
+        sums = self.lines.groupBy("_name", "_part", "_e").agg(F.sum(n * x).alias("x"), F.sum(n * x * x).alias("xx"), F.sum(n * log).alias("l"), F.sum(n * log * log).alias("ll"))
+        out = {c: np.zeros((4, len(p), self.folds)) for c, p in self.parts.items()}
         for r in sums.collect():
-            self.table[self.columns[int(r["_name"][1:])]][:, r["_part"], r["_e"] - 1] += (r["n"], r["x"], r["xx"], r["l"], r["ll"])
-        self.table = {c: t.cumsum(axis=2) for c, t in self.table.items()}
+            c = self.columns[int(r["_name"][1:])]
+            out[c][:, self.parts[c].index(r["_part"]), r["_e"] - 1] += (r["x"], r["xx"], r["l"], r["ll"])
+        return {c: t.cumsum(axis=2) for c, t in out.items()}
+
+    @staticmethod
+    def _middle(parts: list[tuple[int, float]]) -> float:
+        half = sum(n for n, _ in parts) / 2
+        for n, lo in parts:
+            half -= n
+            if half <= 0:
+                return lo
+        return 0.0
 
     def _pivot(self) -> Column:
         found = F.lit(0.0)
@@ -62,40 +83,32 @@ class Selection:
         one = lambda v: math.copysign(math.log1p(abs(v)), v)
         return one(value) - one(self.pivot[column])
 
-    @staticmethod
-    def _part(lines: DataFrame, edges: Mapping[str, list[float]]) -> Column:
-        """The number of edges below a value: first among every sixteenth edge, then among the next sixteen."""
-        part = F.lit(0)
-        for name, b in edges.items():
-            all_ = F.array(*map(F.lit, b)) if b else F.array().cast("array<double>")
-            coarse = F.array(*map(F.lit, b[_COARSE - 1 :: _COARSE])) if len(b) >= _COARSE else F.array().cast("array<double>")
-            below = lambda a: F.size(F.filter(a, lambda e: e < F.col("_x")))
-            part = F.when(F.col("_name") == name, _COARSE * below(coarse) + below(F.slice(all_, _COARSE * below(coarse) + 1, _COARSE))).otherwise(part)
-        return part
-
     def count(self, column: str, fold: int = 1) -> int:
         """Finite values of the column in the fold."""
-        return int(self.table[column][0, :, fold - 1].sum())
+        return int(self.counts[column][:, fold - 1].sum())
 
     def moments(self, column: str, fold: int = 1) -> np.ndarray:
         """Sums of x, x * x, log and log * log (signed logs), about the pivot."""
-        return self.table[column][1:, :, fold - 1].sum(axis=1)
+        return self.table[column][:, :, fold - 1].sum(axis=1)
+
+    def at(self, wanted: Iterable[tuple[str, int, int]], sums: bool = True) -> dict[tuple[str, int, int], tuple[float, float, float]]:
+        """(column, fold, rank from 0) -> the value there, and the sums of logs and of squared logs (about the pivot) of all values up to it.
 
-    def at(self, wanted: Iterable[tuple[str, int, int]]) -> dict[tuple[str, int, int], tuple[float, float, float]]:
-        """(column, fold, rank from 0) -> the value there, and the sums of logs and of squared logs (about the pivot) of all values up to it."""
+        sums: without them, only the values are right.
+        """
         spark, asked = self.lines.sparkSession, {}
         for c, fold, rank in set(wanted):
-            n = self.table[c][0, :, fold - 1]
+            n = self.counts[c][:, fold - 1]
             ends = n.cumsum()
             part = int(np.searchsorted(ends, rank, side="right"))
             asked[c, fold, rank] = (part, rank - int(ends[part] - n[part]))
         if not asked:
             return {}
-        rows = [(f"v{self.columns.index(c)}", p, fold, rank, local) for (c, fold, rank), (p, local) in asked.items()]
+        rows = [(f"v{self.columns.index(c)}", self.parts[c][p], fold, rank, local) for (c, fold, rank), (p, local) in asked.items()]
         # as many rows as ranks are asked for
         targets = spark.createDataFrame(rows, "_name string, _part int, _fold int, _rank long, _local long")
         places = targets.select("_name", "_part", "_fold").distinct()
-        near = self.lines.join(F.broadcast(places), ["_name", "_part"]).filter("_e <= _fold").groupBy("_name", "_part", "_fold", "_x").agg(F.count("*").alias("_n"))
+        near = self.lines.join(F.broadcast(places), ["_name", "_part"]).filter("_e <= _fold").groupBy("_name", "_part", "_fold", "_x").agg(F.sum("_n").alias("_n"))
         log, up = self._log(), Window.partitionBy("_name", "_part", "_fold").orderBy("_x").rowsBetween(Window.unboundedPreceding, 0)
         near = near.select("*", F.sum("_n").over(up).alias("_to"), F.sum(F.col("_n") * log).over(up).alias("_l"), F.sum(F.col("_n") * log * log).over(up).alias("_ll"))
         hit = near.join(F.broadcast(targets), ["_name", "_part", "_fold"]).filter("_local < _to and _local >= _to - _n")
@@ -103,14 +116,14 @@ class Selection:
         out = {}
         for r in hit.select("_name", "_fold", "_rank", "_part", "_x", (F.col("_l") - over * log).alias("l"), (F.col("_ll") - over * log * log).alias("ll")).collect():
             c = self.columns[int(r["_name"][1:])]
-            before = self.table[c][3:, : r["_part"], r["_fold"] - 1].sum(axis=1)
+            before = self.table[c][2:, : self.parts[c].index(r["_part"]), r["_fold"] - 1].sum(axis=1) if sums else (0.0, 0.0)
             out[c, r["_fold"], r["_rank"]] = (r["_x"], before[0] + r["l"], before[1] + r["ll"])
         return out
 
     def quantiles(self, probabilities: Sequence[float], fold: int = 1) -> dict[str, list[float] | None]:
         """Interpolated quantiles of each column; None without values."""
         places = {c: [p * (self.count(c, fold) - 1) for p in probabilities] for c in self.columns if self.count(c, fold)}
-        found = self.at((c, fold, r) for c, ps in places.items() for p in ps for r in (math.floor(p), math.ceil(p)))
+        found = self.at(((c, fold, r) for c, ps in places.items() for p in ps for r in (math.floor(p), math.ceil(p))), sums=False)
         value = lambda c, r: found[c, fold, r][0]
         return {c: [value(c, math.floor(p)) + (p - math.floor(p)) * (value(c, math.ceil(p)) - value(c, math.floor(p))) for p in places[c]] if c in places else None for c in self.columns}
 
@@ -122,7 +135,7 @@ class FoldStatistics:
     moments are those of the signed logs between the bounds.
     """
 
-    def __init__(self, df: DataFrame, columns: Sequence[str], entry: Column, folds: int, lower: float = 0.01, upper: float = 0.99, parts: int = 256):
+    def __init__(self, df: DataFrame, columns: Sequence[str], entry: Column, folds: int, lower: float = 0.01, upper: float = 0.99, parts: int | None = None):
         self.selection = s = Selection(df, columns, entry, folds, parts)
         sizes = {r["e"]: r["n"] for r in df.groupBy(entry.cast("int").alias("e")).agg(F.count("*").alias("n")).filter("e is not null").collect()}
         self.rows = np.cumsum([sizes.get(f, 0) for f in range(1, folds + 1)])
