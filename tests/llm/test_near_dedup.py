@@ -192,3 +192,22 @@ def test_long_text(spark):
     text = [f"w{r.randrange(10**6)}" for _ in range(150_000)]
     rows = [(1, " ".join(text)), (2, " ".join(text[:-100])), (3, "short")]
     assert {x.doc_id: x.class_id for x in near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()} == {1: 1, 2: 1, 3: 3}
+
+
+def test_colliding_names_lose_no_row(spark):
+    """Names of one byte: hundreds of texts share each."""
+    r = random.Random(8)
+    texts = [" ".join(f"w{r.randrange(10**6)}" for _ in range(30)) for _ in range(400)] + ["", "!", "?"]
+    rows = [(i, t) for i, t in enumerate(texts * 2)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = {x.doc_id: (x.class_id, x.class_size) for x in near_dedup.near_duplicates(df, node_bytes=1).collect()}
+    assert got == {i: (i % len(texts), 2) for i in range(len(rows))}
+    kept = near_dedup.one_of_each_class(df, node_bytes=1).collect()
+    assert sorted(x.doc_id for x in kept) == list(range(len(texts)))
+
+
+def test_rows_with_maps_are_known_by_them(spark):
+    text = " ".join(f"w{i}" for i in range(20))
+    rows = [(1, text, {"a": 1}), (1, text, {"a": 2}), (2, "other words " * 9, {"a": 1}), (2, "other words " * 9, {"a": 1})]
+    kept = near_dedup.one_of_each_class(spark.createDataFrame(rows, "doc_id long, text string, m map<string,int>")).collect()
+    assert sorted(x.doc_id for x in kept) == [1, 2]

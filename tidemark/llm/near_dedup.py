@@ -10,7 +10,8 @@ Registers are cut into bands.  Texts that share a band are compared: first by a
 then exactly, by the Jaccard similarity of their shingle sets (as 32-bit fingerprints).  Classes are the
 connected components of the links at ``threshold`` or more.
 
-Texts with the same words are one node from the start, so exact copies never meet in a bucket.
+Texts with the same words are one node from the start, so exact copies never meet in a bucket.  Words are known by a
+digest of 128 bits: a node has half of it as its name, and where the other half differs it is parted.
 
 1. In a bucket all nodes are compared with its smallest node, and small buckets in full.
 2. Of the buckets whose nodes are still in different classes, small ones are compared in full, larger ones with
@@ -108,7 +109,8 @@ def prob_min_hash(row: np.ndarray, element: np.ndarray, weight: np.ndarray, rows
     return mark.reshape(rows, registers)
 
 
-def _sign(id_type: str, k: int, bands: int, rows: int):
+def _sign(id_type: str, k: int, bands: int, rows: int, node_bytes: int):
+    mark = lambda digests, a, b: pa.array([int.from_bytes(d[a:b], "little", signed=True) for d in digests], pa.int64())
     registers = bands * rows
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -120,7 +122,7 @@ def _sign(id_type: str, k: int, bands: int, rows: int):
                 # the set as 32-bit fingerprints
                 values, cut = (h >> np.uint64(32)).astype(np.uint32), np.searchsorted(row, np.arange(batch.num_rows + 1)).tolist()
                 prints = [np.unique(values[x:y]).tobytes() for x, y in zip(cut, cut[1:])]
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), batch.column(3), pa.array([int.from_bytes(d[:8], "little", signed=True) for d in digests], pa.int64()), pa.array(signed, pa.binary()), pa.array(prints, pa.binary())], names=["id", "row", "key", "node", "signature", "prints"])
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), batch.column(3), mark(digests, 0, node_bytes), mark(digests, 8, 16), pa.array(signed, pa.binary()), pa.array(prints, pa.binary())], names=["id", "row", "key", "node", "check", "signature", "prints"])
 
     return run
 
@@ -244,17 +246,21 @@ def _open_links(nodes: DataFrame, prints: DataFrame, threshold: float, block: in
     return met.join(prints, "node").groupBy("bucket", "i", "j").applyInArrow(_blocks(threshold), "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8, shingle: int = SHINGLE, bands: int = BANDS, rows: int = ROWS, block: int = BLOCK) -> DataFrame:
-    """One row per row of docs: id, class_id (smallest id of its class) and class_size (rows of the class)."""
-    return _classes(docs, id_col, text_col, threshold, shingle, bands, rows, block).select(F.col("id").alias(id_col), "class_id", "class_size")
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8, shingle: int = SHINGLE, bands: int = BANDS, rows: int = ROWS, block: int = BLOCK, node_bytes: int = 8) -> DataFrame:
+    """One row per row of docs: id, class_id (smallest id of its class) and class_size (rows of the class).
+
+    node_bytes: bytes of a digest of 16 that name a text; the other half tells apart those of one name.
+    """
+    return _classes(docs, id_col, text_col, threshold, shingle, bands, rows, block, node_bytes=node_bytes).select(F.col("id").alias(id_col), "class_id", "class_size")
 
 
 def one_of_each_class(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The rows of docs but for near copies: of each class one row of smallest id stays (null ids last)."""
     options = {"threshold": 0.8, "shingle": SHINGLE, "bands": BANDS, "rows": ROWS, "block": BLOCK} | options
     scratch: list[str] = []
-    # rows are known by a hash of their columns (maps have none)
-    hashed = F.xxhash64(*(F.col(f"`{f.name}`") for f in docs.schema if "map<" not in f.dataType.simpleString()))
+    # rows are known by 128 bits of hashes of their columns (of maps, which have none, by those of their JSON)
+    values = [F.to_json(F.struct(F.col(f"`{f.name}`"))) if "map<" in f.dataType.simpleString() else F.col(f"`{f.name}`") for f in docs.schema]
+    hashed = F.concat(F.hex(F.xxhash64(*values)), F.lit("-"), F.hex(F.xxhash64(F.lit(1), *reversed(values))))
     classes = _classes(docs, id_col, text_col, **options, key=hashed, scratch=scratch)
     first = classes.groupBy("component").agg(F.min_by("key", F.struct(F.col("id").isNull(), "id", "row")).alias(_KEY))
     times = classes.groupBy(F.col("key").alias(_KEY)).agg(F.count("*").alias("times"))
@@ -269,14 +275,24 @@ def one_of_each_class(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
 _KEY = "_near_dedup_key"
 
 
-def _classes(docs: DataFrame, id_col: str, text_col: str, threshold: float, shingle: int, bands: int, rows: int, block: int, key: Column | None = None, scratch: list[str] | None = None) -> DataFrame:
+def _named_apart(signed: DataFrame, scratch: list[str] | None) -> DataFrame:
+    """Rows whose node is that of other words (told by the rest of their digest) get nodes of their own."""
+    while True:
+        met = signed.groupBy("node").agg(F.min("check").alias("lo"), F.max("check").alias("hi")).filter("lo < hi").select("node", F.lit(True).alias("met"))
+        if met.isEmpty():
+            return signed
+        apart = F.when(F.col("met"), F.xxhash64("node", "check")).otherwise(F.col("node"))
+        signed = staged(signed.join(met, "node", "left").withColumn("node", apart).select(signed.columns), "signed", scratch)
+
+
+def _classes(docs: DataFrame, id_col: str, text_col: str, threshold: float, shingle: int, bands: int, rows: int, block: int, key: Column | None = None, scratch: list[str] | None = None, node_bytes: int = 8) -> DataFrame:
     """id, row, key, component, class_id, class_size of every row of docs; scratch gets the tables that these are read from."""
     kind = docs.schema[id_col].dataType.simpleString()
     bounded_batches(docs.sparkSession)
     registers = bands * rows
     own: list[str] = []
-    numbered = docs.select(F.col(id_col), F.col(text_col), F.monotonically_increasing_id(), F.lit(0).cast("long") if key is None else key)
-    signed = staged(numbered.mapInArrow(_sign(kind, shingle, bands, rows), f"id {kind}, row long, key long, node long, signature binary, prints binary"), "signed", scratch)
+    numbered = docs.select(F.col(id_col), F.col(text_col), F.monotonically_increasing_id(), F.lit("") if key is None else key)
+    signed = _named_apart(staged(numbered.mapInArrow(_sign(kind, shingle, bands, rows, node_bytes), f"id {kind}, row long, key string, node long, check long, signature binary, prints binary"), "signed", scratch), scratch)
     nodes = signed.groupBy("node").agg(F.min("row").alias("row"), F.first("signature", ignorenulls=True).alias("signature"))
     banded = staged(nodes.filter("signature is not null").select("node", "signature").mapInArrow(_band(bands, rows), "bucket long, node long, s0 long, s1 long"), "bands", own)
 
