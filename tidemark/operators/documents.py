@@ -105,12 +105,12 @@ def running_sums(sizes: Column) -> Column:
         # one number for each run: few enough to be copied
         heads = F.aggregate(runs, F.array(F.lit(0)), lambda h, x: F.concat(h, F.array(F.element_at(h, -1) + x)))
         place = lambda h: F.transform(numbers(F.size(a)), lambda i: h[F.floor(i / RUN).cast("int")] + total(F.slice(a, i - i % RUN + 1, i % RUN)))
-        return _once(heads, place)
+        return once(heads, place)
 
-    return _once(sizes, within)
+    return once(sizes, within)
 
 
-def _once(value: Column, use) -> Column:
+def once(value: Column, use) -> Column:
     """use(value), where the value is made once however often it is used."""
     return F.element_at(F.transform(F.array(value), use), 1)
 
@@ -126,7 +126,7 @@ def keyword_hits(text: Column, keyword: str | Column) -> Column:
         return F.transform(F.arrays_zip(steps.alias("before"), gap.alias("gap"), hits.alias("hit")), lambda x: F.struct((x["before"] + x["gap"]).alias("start"), F.length(x["hit"]).alias("size")))
 
     hits = F.regexp_extract_all(text, pattern, F.lit(0))
-    return F.when(F.regexp_like(text, pattern), _once(hits, placed)).otherwise(F.array().cast("array<struct<start:int,size:int>>"))
+    return F.when(F.regexp_like(text, pattern), once(hits, placed)).otherwise(F.array().cast("array<struct<start:int,size:int>>"))
 
 
 def stretches(text: Column) -> Column:
@@ -134,8 +134,8 @@ def stretches(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(rf"(?s).{{1,{STRETCH}}}"), F.lit(0))
 
 
-def _around(parts: Column, start: Column, end: Column) -> Column:
-    """Characters start to end of the text whose stretches are parts."""
+def window(parts: Column, start: Column, end: Column) -> Column:
+    """Characters start to end of the text whose stretches are parts; it begins at 0 at least."""
     begin = F.greatest(start, F.lit(0))
     first = F.floor(begin / STRETCH).cast("int")
     near = F.array_join(F.slice(parts, first + 1, F.floor(F.greatest(end - 1, begin) / STRETCH).cast("int") - first + 1), "")
@@ -144,21 +144,21 @@ def _around(parts: Column, start: Column, end: Column) -> Column:
 
 def _after(parts: Column, hits: Column) -> Column:
     end = lambda h: h["start"] + h["size"]
-    return F.flatten(F.transform(hits, lambda h: _candidates(_around(parts, end(h), end(h) + AFTER), F.trim(_around(parts, h["start"] - 80, h["start"] + AFTER)))))
+    return F.flatten(F.transform(hits, lambda h: _candidates(window(parts, end(h), end(h) + AFTER), F.trim(window(parts, h["start"] - 80, h["start"] + AFTER)))))
 
 
 def _before(parts: Column, hits: Column) -> Column:
-    return F.flatten(F.transform(hits, lambda h: _candidates(_around(parts, h["start"] - BEFORE, h["start"]), F.trim(_around(parts, h["start"] - BEFORE, h["start"] + h["size"] + 80)), 3)))
+    return F.flatten(F.transform(hits, lambda h: _candidates(window(parts, h["start"] - BEFORE, h["start"]), F.trim(window(parts, h["start"] - BEFORE, h["start"] + h["size"] + 80)), 3)))
 
 
 def candidates_after(text: Column, keyword: str | Column) -> Column:
     """Numbers in the 260 characters after each occurrence."""
-    return _once(stretches(text), lambda parts: _after(parts, keyword_hits(text, keyword)))
+    return once(stretches(text), lambda parts: _after(parts, keyword_hits(text, keyword)))
 
 
 def candidates_before(text: Column, keyword: str | Column) -> Column:
     """The last three numbers in the 180 characters before each occurrence."""
-    return _once(stretches(text), lambda parts: _before(parts, keyword_hits(text, keyword)))
+    return once(stretches(text), lambda parts: _before(parts, keyword_hits(text, keyword)))
 
 
 def best_candidate(candidates: Column) -> Column:
@@ -178,8 +178,8 @@ def extract_metrics(df: DataFrame, text: str = "text", metrics: Mapping[str, Seq
     wanted = [F.when(F.regexp_like("_t", F.lit("(?iuU)" + "|".join(words))), F.array(*(F.struct(F.lit(m).alias("metric"), F.lit(w).alias("keyword")) for w in words))).otherwise(none) for m, words in metrics.items()]
     marked = marked.withColumn("_k", F.concat(*wanted))
     # the stretches of a text and the hits of a keyword are made once; the work grows with the text and its hits
-    both = lambda parts, k: _once(keyword_hits(F.col("_t"), k["keyword"]), lambda hits: F.concat(_after(parts, hits), _before(parts, hits)))
-    every = _once(stretches(F.col("_t")), lambda parts: F.transform("_k", lambda k: F.struct(k["metric"].alias("metric"), both(parts, k).alias("found"))))
+    both = lambda parts, k: once(keyword_hits(F.col("_t"), k["keyword"]), lambda hits: F.concat(_after(parts, hits), _before(parts, hits)))
+    every = once(stretches(F.col("_t")), lambda parts: F.transform("_k", lambda k: F.struct(k["metric"].alias("metric"), both(parts, k).alias("found"))))
     marked = marked.withColumn("_f", every).drop("_k", "_t")
     best = {m: best_candidate(F.flatten(F.transform(F.filter("_f", _is(m)), lambda x: x["found"]))).alias(f"_{m}") for m in metrics}
     out = marked.select(*keep, *best.values())

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import first_date
-from tidemark.operators.documents import period_end
+from tidemark.operators.documents import keyword_hits, once, period_end, stretches, window
 from tidemark.sources.tables import url_extension
 
 # Words and years that mark report links and pages, and document extensions.
@@ -14,6 +14,9 @@ YEARS = ("2021", "2022", "2023", "2024", "2025")
 DOCUMENTS = (".pdf", ".xlsx", ".xlsm", ".zip", ".xls", ".doc", ".docx")
 LINK_WORDS = ("ifrs", "msfo", "мсфо", "financial", "финансов", "statement", "отчет", "отчёт", "annual", "годов", "interim", "quarter", "results", "результат", "consolidated", "консолид")
 PAGE_WORDS = ("report", "reports", "financial", "results", "annual", "statement", "investor", "investors", "disclosure", "отчет", "отчеты", "отчёты", "финансов", "результат", "инвест", "раскрыт")
+# A document's address in raw markup, and the characters before and after it that describe it.
+RAW_ADDRESS = r"https?://[^\s\"'<>]+?\.(?:pdf|xlsx|xlsm|zip|xls|docx?)(?:\?[^\s\"'<>]*)?"
+RAW_BEFORE, RAW_AFTER = 900, 300
 _ADDRESS = r"^([a-zA-Z][\w+.-]*://)([^/?#]*)([^?#]*)(\?[^#]*)?(#.*)?$"
 
 
@@ -78,12 +81,11 @@ def extract_links(pages: DataFrame, url: str = "url", html: str = "html", keep:
     zipped = F.arrays_zip(F.regexp_extract_all("_h", anchor, F.lit(1)).alias("tag"), F.regexp_extract_all("_h", anchor, F.lit(2)).alias("inner"))
     value = lambda name: F.regexp_replace(F.regexp_extract(F.col("x.tag"), rf"(?is)\b{name}\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", 1), "^[\"']|[\"']$", "")
     anchors = page.select(*keep, "page_url", F.explode(zipped).alias("x")).select(*keep, "page_url", resolve(F.col("page_url"), _unescape(F.trim(value("href")))).alias("link"), F.trim(F.regexp_replace(F.concat_ws(" ", _unescape(value("title")), _unescape(value("aria-label")), _plain(F.col("x.inner"))), r"(?U)\s+", " ")).alias("text"))
-    raw = r"https?://[^\s\"'<>]+?\.(?:pdf|xlsx|xlsm|zip|xls|docx?)(?:\?[^\s\"'<>]*)?"
-    from tidemark.operators.documents import _around, keyword_hits
-
-    hits = page.filter(F.regexp_like("_h", F.lit("(?i)" + raw))).select(*keep, "page_url", "_h", F.explode(keyword_hits(F.col("_h"), raw)).alias("x"))
-    start, end = F.col("x.start"), F.col("x.start") + F.col("x.size")
-    bare = hits.select(*keep, "page_url", _around(F.col("_h"), start, end).alias("link"), _plain(_around(F.col("_h"), start - 900, end + 300)).alias("text"))
+    # a page's hits take their links and surroundings along, not the page
+    around = lambda parts, h: F.struct(window(parts, h["start"], h["start"] + h["size"]).alias("link"), window(parts, h["start"] - RAW_BEFORE, h["start"] + h["size"] + RAW_AFTER).alias("around"))
+    hits = once(stretches(F.col("_h")), lambda parts: F.transform(keyword_hits(F.col("_h"), RAW_ADDRESS), lambda h: around(parts, h)))
+    found = page.filter(F.regexp_like("_h", F.lit("(?i)" + RAW_ADDRESS))).select(*keep, "page_url", F.explode(hits).alias("x"))
+    bare = found.select(*keep, "page_url", "x.link", _plain(F.col("x.around")).alias("text"))
     return anchors.unionByName(bare)
 
 
