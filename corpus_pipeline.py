@@ -20,6 +20,9 @@ from pyspark.sql import functions as F
 from tidemark.llm import decontaminate, language, near_dedup, packing, suffix_dedup
 from tidemark.llm.common import held_out, kept_names, staged
 
+#: Text of a bucket and of a group of documents in the third stage, whose workers share executors with all that earlier ones left.
+BUCKET_BYTES, GROUP_BYTES = 8 << 20, 6 << 20
+
 #: Predictions below this probability count as rejected, too.
 MIN_SCORE = 0.5
 
@@ -45,7 +48,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Cuts strings of 50 bytes or more that a document of smaller id has."""
     others = tuple(c for c in docs.columns if c not in ("doc_id", "text"))
-    out = suffix_dedup.remove_repeats(docs, keep=others, kept_text=True).filter("n_removed = 0 or length(trim(kept_text)) > 0")
+    out = suffix_dedup.remove_repeats(docs, keep=others, kept_text=True, bucket_bytes=BUCKET_BYTES, group_bytes=GROUP_BYTES).filter("n_removed = 0 or length(trim(kept_text)) > 0")
     names = kept_names(["doc_id", "text", *others], suffix_dedup.RESULTS)
     length = F.when(F.col("n_removed") > 0, F.length("kept_text")).otherwise(F.col(names["n_chars"])).cast(docs.schema["n_chars"].dataType)
     new = {"text": F.col("kept_text"), "n_chars": length}
