@@ -67,12 +67,12 @@ def m2_latent_factors(spark: SparkSession, sf: str) -> DataFrame:
     return models.LatentFactors([f"e{i}" for i in range(64)]).fit(vectors).transform(vectors).select("vec_id", "latent_0", "latent_1", "latent_2")
 
 
-def _learn(spark: SparkSession, sf: str, kind: str) -> DataFrame:
+def _learn(spark: SparkSession, sf: str, kind: str, trees: int = 100) -> DataFrame:
     rows = table(spark, sf, "embeddings").filter("embedding is not null and label is not null")
     y = F.when(F.col("label") < 3, "low").when(F.col("label") < 6, "medium").otherwise("high")
     named = rows.select("vec_id", array_to_vector(F.col("embedding").cast("array<double>")).alias("features"), y.alias("y"))
     train = models.weighted(named.filter("vec_id % 4 <> 3"))
-    return models.Candidate(kind, trees=20).fit(train).predict(named).select("vec_id", "y", "p_low", "p_medium", "p_high")
+    return models.Candidate(kind, trees).fit(train).predict(named).select("vec_id", "y", "p_low", "p_medium", "p_high")
 
 
 @query()
@@ -87,7 +87,7 @@ def m4_extra_trees(spark: SparkSession, sf: str) -> DataFrame:
 
 @query()
 def m5_boosting(spark: SparkSession, sf: str) -> DataFrame:
-    return _learn(spark, sf, "boosting")
+    return _learn(spark, sf, "boosting", 60)
 
 
 @query()
