@@ -86,5 +86,36 @@ def test_suffix_order():
         assert heads == sorted(heads)
 
 
+def test_suffix_order_keeps_every_place_of_repeats_longer_than_the_window():
+    r = np.random.default_rng(5)
+    for _ in range(60):
+        text = r.integers(97, 123, 1500).astype(np.uint8)
+        for size, a, b in zip(r.integers(50, 120, 20), r.integers(0, 1380, 20), r.integers(0, 1380, 20)):
+            text[a : a + size] = text[b : b + size].copy()
+        at = np.arange(1450)
+        order = suffix_order(text, at, 50)
+        assert sorted(order.tolist()) == at.tolist()
+        suffixes = [bytes(text[p:]) for p in order]
+        assert suffixes == sorted(suffixes)
+
+
+def pieces(seed, alphabet, n=120):
+    """Texts of overlapping pieces of one text, longer than the window, with some letters in between."""
+    r = random.Random(seed)
+    base, rows = "".join(r.choice(alphabet) for _ in range(3000)), []
+    for i in range(n):
+        parts = []
+        for _ in range(r.randint(0, 12)):
+            a = r.randrange(len(base))
+            parts += [base[a : a + r.randint(20, 160)], "".join(r.choice(alphabet) for _ in range(r.randint(0, 30))) if r.random() < 0.4 else ""]
+        rows.append((i, "".join(parts)))
+    return rows
+
+
+def test_brute_force_on_overlapping_pieces(spark):
+    check(spark, pieces(2, "abcdefghij klmnop"))
+    check(spark, pieces(3, "aé\0z"), bucket_bytes=1 << 13, group_bytes=1 << 13)
+
+
 def test_cover_is_complete():
     assert (suffix_dedup._OFFSET < suffix_dedup.PERIOD).all()

@@ -12,7 +12,7 @@ Suffixes are dealt into buckets, and a task sorts one bucket at a time:
    hold different runs of several documents are mixed: some of their places may be equal, others not.
 3. ``_mark``: documents meet the decisions on them; mixed runs send their bytes to their buckets.
 4. ``_sort``: each bucket of bytes is suffix-sorted: by 16 bytes first, and longer ties by ranks of a
-   difference-cover sample, computed before by doubling.  Neighbours that agree in ``window`` bytes are one
+   difference-cover sample's whole suffixes, computed before by doubling.  Neighbours that agree in ``window`` bytes are one
    string, covered but for its smallest id.
 5. ``_finish``: documents meet the covered spans, and the rest is kept.
 
@@ -338,12 +338,14 @@ def _mark(window: int, buckets: int, groups: int, text: str):
 
 
 def suffix_order(text: np.ndarray, at: np.ndarray, depth: int) -> np.ndarray:
-    """The places in the order of the texts from them on, to at least depth bytes.
+    """The places in the order of the texts from them on, to at least depth bytes; texts end in zeros without end.
 
     Ties of 16 bytes are resolved by ranks of the places whose residue is in the difference cover: places of
     one residue by the rank at their first such place, residues among each other by the offset common to both.
+    Ranks are those of whole suffixes: ranks of a bounded length would compare different pairs of residues to
+    different ends, which is no order, and places would get lost.
     """
-    padded = np.zeros(len(text) + 2 * depth + 64, np.uint8)
+    padded = np.zeros(len(text) + 2 * PERIOD + 16, np.uint8)
     padded[: len(text)] = text
     load8 = np.ndarray((len(padded) - 8,), ">u8", buffer=padded, strides=(1,))
 
@@ -356,15 +358,23 @@ def suffix_order(text: np.ndarray, at: np.ndarray, depth: int) -> np.ndarray:
     order = np.argsort(group, kind="stable")
     size = np.bincount(group)
     tied = size[group] > 1
-    if not tied.any():
+    if depth <= PERIOD or not tied.any():
         return order
     sample = np.flatnonzero(_IN_COVER[np.arange(len(text) + PERIOD) % PERIOD])
-    rank = np.zeros(len(padded) + 4 * depth, np.int64)
-    rank[sample] = head(sample) + 1
-    have = PERIOD
-    while have < depth:  # doubling: equal residues are samples again
-        both = (rank[sample] << 32) | rank[sample + have]
-        rank[sample] = np.unique(both, return_inverse=True)[1] + 1
+    # a rank is one more than the number of samples before; zeros to the end are the least
+    first = head(sample)
+    alike = np.bincount(first)
+    rank = np.ones(len(text) + PERIOD + 1, np.int64)
+    rank[sample] = 1 + (np.cumsum(alike) - alike)[first]
+    open_, have = sample[alike[first] > 1], PERIOD
+    while len(open_):  # doubling: equal residues are samples again
+        both, number, alike = np.unique((rank[open_] << 32) | rank[np.minimum(open_ + have, len(rank) - 1)], return_inverse=True, return_counts=True)
+        old, before = both >> 32, np.cumsum(alike) - alike
+        now = old + before - before[np.searchsorted(old, old)]
+        if (now == old).all():
+            break
+        rank[open_] = now[number]
+        open_ = open_[alike[number] > 1]
         have *= 2
     begin = np.cumsum(size) - size
     lists = []
