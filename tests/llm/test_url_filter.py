@@ -57,6 +57,15 @@ def test_sample_is_bounded_and_copies_count_once(spark):
     assert dict(url_filter.sampled(labelled, 1000).collect())["http://h0.com/"] == 1
 
 
+def test_model_learns_from_all_labelled_urls(spark):
+    rows = [(f"http://h{i}.net/", 0) for i in range(21_000)] + [(f"http://s{i}.net/", 1) for i in range(20)]
+    labelled = spark.createDataFrame(rows + rows[:50], "url string, blocked int")
+    statistics = url_filter.fit_urls(labelled, rounds=1, depth=1).statistics
+    assert statistics.filter("level = 2").count() == 21_020
+    top = statistics.filter("level = 1").first()
+    assert top.suffix == "net" and top.share == 1 and top.prior == pytest.approx(20 / 21_020)
+
+
 def test_trees_learn_and_judge_unseen_hosts(spark):
     r = random.Random(2)
     word = lambda: "".join(r.choice(["th", "er", "on", "an", "in", "re"]) for _ in range(3))
