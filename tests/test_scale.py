@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import features
 from tidemark.operators import documents, fit, rolling, stress
+from tidemark.queries import scoring
 from tidemark.sources import tables
 
 D = date.fromisoformat
@@ -151,3 +152,15 @@ def test_stress_panel(spark):
     got = {r.ticker: r for r in stress.stress_adjusted(df).collect()}
     assert {k: r.stress_rank for k, r in got.items()} == {"A": 1.0, "B": 0.5, "C": 0.5, "D": 1.0, "E": 0.0}
     assert math.isclose(got["A"].future_cvar_95, 2 * 1.22) and math.isclose(got["B"].future_cvar_95, 2 * 1.11) and got["C"].future_cvar_95 is None and got["E"].future_cvar_95 == 2.0
+
+
+def test_stress_takes_the_last_of_a_days_reports(spark, tmp_path, monkeypatch):
+    """Ids 2,300 apart are published on one day by one ticker; the greatest wins, however the rows are stored (as in the SQL)."""
+    panel = spark.createDataFrame([("Brand#2", D("1995-05-31"))], "ticker string, decision_date date")
+    monkeypatch.setattr(scoring, "components", lambda spark, sf: panel)
+    ids = (1, 4601, 9201)
+    for turn in range(len(ids)):
+        docs = spark.createDataFrame([(i, 10) for i in ids[turn:] + ids[:turn]], "doc_id long, n_chars long").coalesce(1)
+        docs.write.parquet(f"{tmp_path}/{turn}/documents.parquet")
+        row = scoring._stressed(spark, f"{tmp_path}/{turn}").first()
+        assert row.report_covenant_flag == 1.0

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -53,15 +55,18 @@ def asof_join(left: DataFrame, right: DataFrame, key: str, left_time: str, right
     return out.filter("_s = 1").select("_left.*", *(F.col(f"_row.{n}").alias(n) for n in columns.values()))
 
 
-def asof_reports(panel: DataFrame, reports: DataFrame, features: list[str], max_lag_days: int | None = 550, key: str = "ticker", date: str = "decision_date") -> DataFrame:
+def asof_reports(panel: DataFrame, reports: DataFrame, features: list[str], max_lag_days: int | None = 550, key: str = "ticker", date: str = "decision_date", tie: Sequence[str] = ()) -> DataFrame:
     """Joins report features by publish_date; features of reports older than max_lag_days are nulled.
 
+    Of a key's reports of one day the one of the last period end wins, of these the last in the order of the tie columns.
+
     Adds report_publish_date, report_lag_days, report_available and report_stale_flag.
     """
     named = {c: c for c in features} | {"publish_date": "report_publish_date"}
     if "report_document_available" in reports.columns:
         named["report_document_available"] = "report_document_available"
-    df = asof_join(panel, reports, key, date, "publish_date", named, tie=F.struct("report_period_end") if "report_period_end" in reports.columns else None)
+    ties = [c for c in ("report_period_end",) if c in reports.columns] + list(tie)
+    df = asof_join(panel, reports, key, date, "publish_date", named, tie=F.struct(*ties) if ties else None)
     available = F.coalesce(F.col("report_document_available").cast("double"), F.lit(0.0)) if "report_document_available" in df.columns else F.col("report_publish_date").isNotNull().cast("double")
     df = df.withColumns({"report_lag_days": F.datediff(date, "report_publish_date"), "report_available": available})
     stale = F.lit(False) if max_lag_days is None else F.coalesce(F.col("report_lag_days") > max_lag_days, F.lit(True))

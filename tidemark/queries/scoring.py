@@ -195,7 +195,7 @@ _STRESSED = ["report_financial_pressure", "report_sanctions_flag", "report_liqui
 def _stressed(spark: SparkSession, sf: str, also: tuple[str, ...] = ()) -> DataFrame:
     """The components beside the report columns known at their date."""
     flags = {f"report_{name}_flag": (F.col("doc_id") % n == 0).cast("double") for name, n in (("sanctions", 6), ("liquidity_refinancing", 4), ("covenant", 3))}
-    return asof_reports(components(spark, sf), reports(spark, sf).withColumns(flags), [*_STRESSED, *also])
+    return asof_reports(components(spark, sf), reports(spark, sf).withColumns(flags), [*_STRESSED, *also], tie=["doc_id"])
 
 
 _STRESS_SQL = (
@@ -227,7 +227,7 @@ def _data(spark: SparkSession, sf: str, with_reports: bool = False) -> DataFrame
     """The labelled panel, stored, as the fits read it many times."""
     keys = labelled(spark, sf).select("ticker", "decision_date", "risk_class", "future_max_drawdown", "future_cvar_95")
     rows = panel(spark, sf).join(keys, ["ticker", "decision_date"])
-    return staged(asof_reports(rows, reports(spark, sf), _REPORT) if with_reports else rows, "panel")
+    return staged(asof_reports(rows, reports(spark, sf), _REPORT, tie=["doc_id"]) if with_reports else rows, "panel")
 
 
 @query()
