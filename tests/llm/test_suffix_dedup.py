@@ -4,6 +4,8 @@ import hashlib
 import random
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 from tidemark.llm import suffix_dedup
 from tidemark.llm.suffix_dedup import remove_repeats, suffix_order
@@ -119,3 +121,39 @@ def test_brute_force_on_overlapping_pieces(spark):
 
 def test_cover_is_complete():
     assert (suffix_dedup._OFFSET < suffix_dedup.PERIOD).all()
+
+
+def decisions(texts, buckets, groups):
+    batch = pa.record_batch({"doc_id": pa.array(range(len(texts)), pa.int64()), "text": pa.array(texts)})
+    found = pa.Table.from_batches(list(suffix_dedup._emit(50, buckets, groups)(iter([batch.slice(0, len(texts) // 2), batch.slice(len(texts) // 2)]))))
+    return pa.concat_tables([suffix_dedup._resolve(buckets, groups)(found.filter(pc.equal(found.column("key"), k))) for k in sorted(set(found.column("key").to_pylist()))])
+
+
+def test_short_common_strings_do_not_make_runs_mixed():
+    """All texts share 24 bytes, so their runs share buckets; none can share a window, and no bytes need be sorted."""
+    r = random.Random(7)
+    letters = lambda n: "".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
+    texts = [letters(60) + " terms and conditions of " + letters(60) for _ in range(200)]
+    assert not any(decisions(texts, 2, 4).column("mixed").to_pylist())
+    window = "one two three four five six seven eight nine ten 1"
+    assert len(window) == 50 and any(decisions([t[:40] + window + t[-40:] for t in texts[:2]], 2, 4).column("mixed").to_pylist())
+
+
+def test_small_blocks_cost_little():
+    """Blocks number buckets times groups: with a group for each text they hold one entry or two."""
+    r = random.Random(8)
+    passage = " ".join(str(r.random()) for _ in range(20))
+    out = decisions([f"{i} {passage[i % 50 :]}" for i in range(400)], 3, 400)
+    assert out.num_rows > 300 and out.nbytes < 400 * out.num_rows
+
+
+def test_brute_force_on_strings_that_occur_twice_in_a_window(spark):
+    """The string that names a bucket may then be meant in two places of a window."""
+    r = random.Random(9)
+    parts = []
+    for _ in range(40):
+        motif = "".join(r.choice("abcdefgh") for _ in range(r.randint(16, 30)))
+        parts.append(motif + "".join(r.choice("xy") for _ in range(r.randint(0, 3))) + motif[: r.randint(14, 30)])
+    rows = [(i, "".join(r.choice(parts) if r.random() < 0.9 else r.choice("pqrs") * r.randint(1, 60) for _ in range(r.randint(1, 8)))) for i in range(150)]
+    check(spark, rows)
+    check(spark, rows, window=24, bucket_bytes=1 << 12, group_bytes=1 << 12)
