@@ -164,3 +164,30 @@ def test_stress_takes_the_last_of_a_days_reports(spark, tmp_path, monkeypatch):
         docs.write.parquet(f"{tmp_path}/{turn}/documents.parquet")
         row = scoring._stressed(spark, f"{tmp_path}/{turn}").first()
         assert row.report_covenant_flag == 1.0
+
+
+def test_report_text_is_prepared_once(spark):
+    """Below a condition Spark shares no expressions: each count once lower-cased the text anew."""
+    df = spark.createDataFrame([("A", None, None, "revenue 5 million")], "ticker string, report_period_end date, publish_date date, report_text string")
+    before = spark.conf.get("spark.sql.debug.maxToStringFields")
+    spark.conf.set("spark.sql.debug.maxToStringFields", "10000")
+    try:
+        plan = documents.report_features(df)._jdf.queryExecution().optimizedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.debug.maxToStringFields", before)
+    assert plan.count("lower(") <= 2
+
+
+def test_patterns_are_looked_for_where_their_literals_are(spark):
+    """Letters of other case, also such whose lower case is another letter, are found as by the patterns alone."""
+    assert documents.literal(r"long[-\s]?term\s+debt") == "long" and documents.literal(r"finance\s+costs?") == "finance" and documents.literal(r"чист\w+\s+прибыл\w+") == "прибыл"
+    assert documents.literal(r"a+b?cd*e{2}") == documents.literal("ab|cd") == documents.literal(r"\x41bc") == "" and documents.literal("xa+bc?d") == "xa"
+    texts = ["SANCTIONS and ſanction, sanctıon, SANCTİON", "СанКциᲀ ᲃанкции САНКЦИИ", "IMPAIRMENT  of a LİTİGATION, Going\t  Concern", "risK: MARKET ACCESS, lower  demand", "none", ""]
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    plain = F.regexp_replace(F.translate("text", " \t", "  "), " +", " ")
+    for name, patterns in documents.SIGNALS.items():
+        want = sum((F.regexp_count(F.lower(plain), F.lit("(?iuU)" + p)) for p in patterns), F.lit(0)).cast("double")
+        rows = df.select(want.alias("want"), documents.signal_counts(F.col("text"))[f"report_{name}_count"].alias("got"), documents.normalise(F.col("text")).alias("a"), plain.alias("b")).collect()
+        assert all(r.want == r.got and r.a == r.b for r in rows), name
+    amounts = spark.createDataFrame([("DİVİDENDS 5 million",), ("dıvıdendſ 5 million",), ("ДИᲀИДЕНДЫ 5 млн",), ("profits 5 million",)], "text string")
+    assert [r.report_dividends for r in documents.extract_metrics(amounts).collect()] == [5e6, 5e6, 5e6, None]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -53,11 +54,22 @@ AFTER, BEFORE, EVIDENCE = 260, 180, 700
 #: Characters of a stretch of text, and elements of a run of sums.
 STRETCH, RUN = 2048, 128
 TINY = 1e-12
+#: Letters that match another one without regard to case, though it is not their lower case, and the dot that lower case leaves of one.
+ODD = "[ſıİ\u0307\u1C80-\u1C88]"
 
 
 def normalise(text: Column) -> Column:
     """No-break spaces and tabs become spaces, runs of spaces one; line ends stay."""
-    return F.regexp_replace(F.translate(text, " \t", "  "), " +", " ")
+    plain = F.replace(F.replace(text, F.lit("\u00A0"), F.lit(" ")), F.lit("\t"), F.lit(" "))
+    return F.when(plain.contains("  "), F.regexp_replace(plain, " {2,}", " ")).otherwise(plain)
+
+
+def literal(pattern: str) -> str:
+    """The longest string that the lower case of every match of pattern holds (matches with ODD letters apart); '' if unsure."""
+    if re.search(r"[|(){}.^$]|\\[^wWsSdDbB]", pattern):
+        return ""
+    bare = re.sub(r"\[[^\]]*\]|\\.|[a-zа-я0-9][?*]", "\0", pattern.lower())
+    return max(re.findall("[a-zа-я0-9]+", re.sub(r"\+", "\0", bare)), key=len, default="")
 
 
 def parse_number(raw: Column, scale: Column | None = None) -> Column:
@@ -170,31 +182,46 @@ def _is(metric: str):
     return lambda x: x["metric"] == metric
 
 
-def extract_metrics(df: DataFrame, text: str = "text", metrics: Mapping[str, Sequence[str]] = METRICS, keep: Sequence[str] = ()) -> DataFrame:
-    """keep, and value and evidence of each metric.  Texts without a metric's keywords skip its expressions."""
+def extract_metrics(df: DataFrame, text: str = "text", metrics: Mapping[str, Sequence[str]] = METRICS, keep: Sequence[str] = (), clean: str | None = None, odd: str | None = None) -> DataFrame:
+    """keep, and value and evidence of each metric.  Texts without a metric's keywords skip its expressions.
+
+    clean and odd: columns with the text's signal_text and with whether that has ODD letters, where they are there already.
+    """
     marked = df.select(*keep, normalise(F.coalesce(F.col(text), F.lit(""))).alias("_t"))
-    # the patterns of the metrics that occur, as data: the expressions on them stand in the plan once
-    none = F.array().cast("array<struct<metric:string,keyword:string>>")
-    wanted = [F.when(F.regexp_like("_t", F.lit("(?iuU)" + "|".join(words))), F.array(*(F.struct(F.lit(m).alias("metric"), F.lit(w).alias("keyword")) for w in words))).otherwise(none) for m, words in metrics.items()]
-    marked = marked.withColumn("_k", F.concat(*wanted))
+    # the patterns that may occur, as data: the expressions on them stand in the plan once
+    low = F.col(clean) if clean else F.lower("_t")
+    seen = F.struct(low.alias("low"), (F.col(odd) if odd else F.regexp_like(low, F.lit(ODD))).alias("odd"))
+    every = F.array(*(F.struct(F.lit(m).alias("metric"), F.lit(w).alias("keyword"), F.lit(literal(w)).alias("literal")) for m, words in metrics.items() for w in words))
+    marked = marked.withColumn("_k", once(seen, lambda x: F.filter(every, lambda k: x["odd"] | F.contains(x["low"], k["literal"]))))
     # the stretches of a text and the hits of a keyword are made once; the work grows with the text and its hits
     both = lambda parts, k: once(keyword_hits(F.col("_t"), k["keyword"]), lambda hits: F.concat(_after(parts, hits), _before(parts, hits)))
     every = once(stretches(F.col("_t")), lambda parts: F.transform("_k", lambda k: F.struct(k["metric"].alias("metric"), both(parts, k).alias("found"))))
-    marked = marked.withColumn("_f", every).drop("_k", "_t")
+    marked = marked.withColumn("_f", F.when(F.size("_k") > 0, every)).drop("_k", "_t")
     best = {m: best_candidate(F.flatten(F.transform(F.filter("_f", _is(m)), lambda x: x["found"]))).alias(f"_{m}") for m in metrics}
     out = marked.select(*keep, *best.values())
     return out.select(*keep, *(F.col(f"_{m}.value").alias(m) for m in metrics), *(F.substring(F.col(f"_{m}.evidence"), 1, EVIDENCE).alias(f"{m}_evidence") for m in metrics))
 
 
+def signal_text(text: Column) -> Column:
+    """The text that risk terms are counted in."""
+    return F.lower(normalise(F.coalesce(text, F.lit(""))))
+
+
 def signal_counts(text: Column, signals: Mapping[str, Sequence[str]] = SIGNALS) -> dict[str, Column]:
     """Text length, words, and the occurrences of each group of risk terms."""
-    clean = F.lower(normalise(F.coalesce(text, F.lit(""))))
+    clean = signal_text(text)
+    return counts_in(clean, F.regexp_like(clean, F.lit(ODD)), signals)
+
+
+def counts_in(clean: Column, odd: Column, signals: Mapping[str, Sequence[str]] = SIGNALS) -> dict[str, Column]:
+    """signal_counts of a signal_text and of whether it has ODD letters.  A pattern is looked for where its literal is."""
     count = lambda p: F.regexp_count(clean, F.lit(p)).cast("double")
+    term = lambda p: F.when(odd | clean.contains(literal(p)), count("(?iuU)" + p)).otherwise(0.0)
     out = {"report_text_length": F.length(clean).cast("double"), "report_word_count": count(r"(?U)\w+")}
     for name, patterns in signals.items():
-        n = count("(?iuU)" + patterns[0])
+        n = term(patterns[0])
         for p in patterns[1:]:
-            n = n + count("(?iuU)" + p)
+            n = n + term(p)
         out[f"report_{name}_count"] = n
     return out
 
@@ -262,11 +289,13 @@ def report_features(registry: DataFrame, files: DataFrame | None = None, text: s
     own, other = F.length(F.trim(text)) >= min_chars, F.length(F.trim("_file")) >= min_chars
     status = F.when(own, "parsed_embedded_text").when(other, "parsed_file").when(F.col(text).isNotNull() | F.col("_file").isNotNull(), "empty_text").otherwise("missing_document")
     df = df.withColumn("parse_status", status).withColumn("_text", F.when(own, F.col(text)).when(other, F.col("_file"))).drop("_file")
-    df = extract_metrics(df, "_text", metrics, keep=[*columns, "parse_status", "_text"])
+    # made once: expressions below a condition are not shared
+    df = df.withColumn("_clean", signal_text(F.col("_text"))).withColumn("_odd", F.regexp_like("_clean", F.lit(ODD)))
+    df = extract_metrics(df, "_text", metrics, keep=[*columns, "parse_status", "_text", "_clean", "_odd"], clean="_clean", odd="_odd")
     has = F.col("_text").isNotNull()
-    for step in (signal_counts(F.col("_text"), signals), signal_flags(signals), report_ratios(), report_scores(tuple(metrics))):
+    for step in (counts_in(F.col("_clean"), F.col("_odd"), signals), signal_flags(signals), report_ratios(), report_scores(tuple(metrics))):
         df = df.withColumns({k: F.when(has, v) for k, v in step.items()})
-    return previous_change(df.withColumn("report_document_available", has.cast("double")).drop("_text"))
+    return previous_change(df.withColumn("report_document_available", has.cast("double")).drop("_text", "_clean", "_odd"))
 
 
 def previous_change(df: DataFrame, columns: Sequence[str] = YOY, key: str = "ticker") -> DataFrame:
